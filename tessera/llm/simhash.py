@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -80,10 +81,12 @@ def with_fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return map_arrow(slim, batch, "doc_id long, fp long")
 
 
-def blocks_of(bits: int, parts: int) -> list[tuple[int, int]]:
-    """(first bit, width) of each block."""
-    edges = [round(i * bits / parts) for i in range(parts + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+def masks_of(bits: list[int], parts: int, agree: int = 1) -> list[int]:
+    """bits cut into `parts` blocks; a mask, as a signed long, for each choice of `agree` blocks."""
+    edges = [round(i * len(bits) / parts) for i in range(parts + 1)]
+    blocks = [sum(1 << b for b in bits[x:y]) for x, y in zip(edges, edges[1:], strict=False)]
+    sums = (sum(c) for c in combinations(blocks, agree))
+    return [m - (1 << BITS) if m >> (BITS - 1) else m for m in sums]
 
 
 def gray_rank(v: np.ndarray) -> np.ndarray:
@@ -193,35 +196,23 @@ def local_links(groups: DataFrame, radius: int) -> DataFrame:
     return groups.mapInArrow(run, "a long, b long")
 
 
-def _keyed(fps: DataFrame, parts: int) -> DataFrame:
-    """A row for each block: key (block number and the block's bits), fp and the block."""
-    cells = [F.struct(F.lit(k).alias("block"), (F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(k << 56)).alias("key")) for k, (at, width) in enumerate(blocks_of(BITS, parts))]
-    return fps.select("fp", F.explode(F.array(*cells)).alias("c")).select(F.col("c.key").alias("key"), F.col("c.block").alias("block"), "fp")
+def links(fps: DataFrame, radius: int = 3, blocks: int | None = None, node_rows: int = NODE_ROWS) -> DataFrame:
+    """fps: distinct fingerprints in column fp. Stars (a, b) that connect all that links connect.
 
-
-def _split(hot: DataFrame, parts: int) -> DataFrame:
-    """Rows of large upper nodes, dealt again by blocks of the bits that their node does not hold."""
-    cells = []
-    for k, (at, width) in enumerate(blocks_of(BITS, parts)):
-        # the other blocks' bits stand side by side, the node's own block is cut out
-        others = F.shiftrightunsigned("fp", at + width) if at + width < BITS else F.lit(0).cast("long")
-        low = F.col("fp").bitwiseAND(F.lit((1 << at) - 1 if at < 63 else -1)) if at else F.lit(0).cast("long")
-        rest = F.shiftleft(others, at).bitwiseOR(low)
-        sub = [F.xxhash64(F.col("key"), F.lit(j), F.shiftrightunsigned(rest, a).bitwiseAND(F.lit((1 << w) - 1))) for j, (a, w) in enumerate(blocks_of(BITS - width, parts))]
-        cells.append((k, F.array(*sub)))
-    chosen = cells[0][1]
-    for k, c in cells[1:]:
-        chosen = F.when(F.col("block") == k, c).otherwise(chosen)
-    return hot.select(F.explode(chosen).alias("key"), "fp")
-
-
-def links(fps: DataFrame, radius: int = 3, node_rows: int = NODE_ROWS) -> DataFrame:
-    """fps: distinct fingerprints in column fp. Stars (a, b) that connect all that links connect."""
-    keyed = _keyed(fps, radius + 1)
+    blocks: how many blocks the bits are cut into, over radius; blocks - radius of them agree in every link.
+    """
+    blocks = blocks or radius + 1
+    masks = masks_of(list(range(BITS)), blocks, blocks - radius)
+    cells = F.array(*[F.struct(F.lit(k + 1).alias("choice"), F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))).alias("key")) for k, m in enumerate(masks)])
+    keyed = fps.select("fp", F.explode(cells).alias("c")).select("c.key", "c.choice", "fp")
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     many = keyed.join(sizes.where("n > 1"), "key")
     plain = many.where(F.col("n") <= node_rows).select("key", "fp")
-    hot = _split(many.where(F.col("n") > node_rows), radius + 1)
+    # a large upper node is split by blocks of the bits that it does not hold
+    rest = [masks_of([b for b in range(BITS) if not m >> b & 1], radius + 1) for m in masks]
+    parts = F.element_at(F.lit([[int(x) for x in r] for r in rest]).cast("array<array<bigint>>"), F.col("choice"))
+    split = F.transform(parts, lambda m, j: F.xxhash64(F.col("key"), j, F.col("fp").bitwiseAND(m)))
+    hot = many.where(F.col("n") > node_rows).select(F.explode(split).alias("key"), "fp")
     groups = plain.union(hot).repartition("key").sortWithinPartitions("key")
     return local_links(groups, radius)
 
@@ -247,16 +238,30 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     return labels
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, node_rows: int = NODE_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks: int | None = None, node_rows: int = NODE_ROWS) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id: the smallest doc_id that links reach."""
     prints = cut(with_fingerprints(docs, shingle))
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(firsts.select("fp"), radius, node_rows))
+    roots = components(links(firsts.select("fp"), radius, blocks, node_rows))
     classes = cut(firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     of = classes.join(least, "root").select(F.col("fp").alias("f"), "component_id")
     return prints.join(of, prints.fp == of.f).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of their component, one row for each such id."""
+    found = cut(near_duplicates(docs, **options))
+    copies = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("c_id")).distinct()
+    again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("r_id"))
+    stays = docs.join(copies, docs.doc_id.eqNullSafe(copies.c_id), "left_anti")
+    if again.isEmpty():
+        return stays
+    single = stays.join(again, stays.doc_id.eqNullSafe(again.r_id), "left_anti")
+    # rows that repeat an id are one document
+    repeated = stays.join(again, stays.doc_id.eqNullSafe(again.r_id), "left_semi")
+    return single.union(repeated.dropDuplicates(["doc_id"]))
+
+
 def op5_simhash_components(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -204,6 +204,17 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return map_arrow(rest, batch, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), "score double"]))
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score below the threshold."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def batch(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        keep = held.value.score([t or "" for t in b.column("text").to_pylist()]) < threshold
+        yield b.filter(pa.array(keep))
+
+    return map_arrow(docs, batch, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+
+
 def held_out():
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
 
