@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op3_nearest_neighbours
 from .fingerprints import op2_document_fingerprints
 from .html_extract import op4_html_extraction
 from .mixing import OP8_SQL, op8_curriculum_mixing
@@ -10,5 +11,5 @@ from .pii import op6_personal_data
 from .simhash import op5_simhash_components
 from .toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_document_fingerprints, op4_html_extraction, op5_simhash_components, op6_personal_data, op7_best_fit_packing, op8_curriculum_mixing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_document_fingerprints, op3_nearest_neighbours, op4_html_extraction, op5_simhash_components, op6_personal_data, op7_best_fit_packing, op8_curriculum_mixing)}
 ORACLES = {"op8_curriculum_mixing": OP8_SQL}
