@@ -1,8 +1,659 @@
-"""Registered queries over the driver's tables, by name, and the SQL that gives the same rows."""
+"""Registered queries over the driver's tables, by name, and the SQL that gives the same rows.
+
+A query applies an operator to whole tables; sums and means of floating-point numbers are rounded, since their order of
+addition is open.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scores as S
+from ..functions import text as T
+from ..operators import chat, cleaning, evaluation, exams, formats, reports, retrieval, rewards, sampling, token_arrays, web
+from ..streaming import jobs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: White space and words in the other engine's regular expressions.
+SPACES = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+
+
+def collapsed(c: str) -> str:
+    return f"trim(regexp_replace({c}, '{SPACES}', ' ', 'g'))"
+
+
+def word_list(c: str) -> str:
+    return f"list_filter(string_split_regex({c}, '{SPACES}'), lambda w: w <> '')"
+
+
+def plain(c: str) -> str:
+    return f"regexp_replace({c}, '[^\\p{{L}}\\p{{N}}_{SPACES[1:-2]}]', '', 'g')"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# text
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, lang, {collapsed(plain("lower(text)"))} AS body FROM documents),
+    k AS (SELECT *, row_number() OVER (PARTITION BY md5({collapsed("body")}) ORDER BY doc_id) AS r FROM p WHERE length(body) BETWEEN 10 AND 1000)
+    SELECT lang, count(*) AS n_docs, sum(length(body))::BIGINT AS n_chars FROM k WHERE r = 1 GROUP BY lang"""
+)
+def clean_corpus_summary(spark, sf_dir):
+    docs = t(spark, sf_dir, "documents").select("doc_id", "lang", T.preprocess("text").alias("body"))
+    kept = cleaning.exact_dedup(cleaning.length_between(docs, 10, 1000, "body"), "body", "doc_id")
+    return kept.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.length("body")).alias("n_chars"))
+
+
+@query(
+    f"""SELECT doc_id, md5({collapsed("text")}) AS spaces, md5({plain("text")}) AS signs,
+    md5(translate(text, '!"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~', '')) AS ascii_signs, md5({collapsed(plain("lower(text)"))}) AS ready FROM documents"""
+)
+def text_normalisation(spark, sf_dir):
+    m = F.md5
+    return t(spark, sf_dir, "documents").select("doc_id", m(T.collapse_spaces("text")).alias("spaces"), m(T.remove_punctuation("text")).alias("signs"), m(T.remove_ascii_punctuation("text")).alias("ascii_signs"), m(T.preprocess("text")).alias("ready"))
+
+
+@query(
+    f"""SELECT doc_id, len({word_list("text")}) AS n_words, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_{SPACES[1:-2]}]')) AS n_tokens,
+    len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS n_terms FROM documents"""
+)
+def tokenisers(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", F.size(T.words("text")).alias("n_words"), F.size(T.word_tokens("text")).alias("n_tokens"), F.size(T.terms("text")).alias("n_terms"))
+
+
+@query()
+def ascii_folding(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", T.to_ascii("text").alias("folded"), T.transliterate("text").alias("letters"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, {word_list(plain("lower(text)"))} AS w FROM documents)
+    SELECT doc_id, array_to_string(list_filter(w, lambda x: x NOT IN ('the', 'of', 'and', 'to', 'in')), ' ') AS kept FROM w""")
+def stop_word_removal(spark, sf_dir):
+    w = T.words(T.remove_punctuation(F.lower("text")))
+    return t(spark, sf_dir, "documents").select("doc_id", F.array_join(T.remove_stop_words(w, ["the", "of", "and", "to", "in"]), " ").alias("kept"))
+
+
+@query(f"""WITH w AS (SELECT item_id, {word_list("text")} AS w FROM benchmark)
+    SELECT item_id, pos::INTEGER AS pos, array_to_string(list_slice(w, pos + 1, pos + 3), ' ') AS shingle
+    FROM (SELECT item_id, w, unnest(range(len(w) - 2)) AS pos FROM w WHERE len(w) >= 3)""")
+def word_shingles(spark, sf_dir):
+    return t(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.shingles(T.words("text"))).alias("pos", "shingle"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, {word_list("text")} AS w FROM documents)
+    SELECT doc_id, pos::INTEGER AS pos, len(list_slice(w, pos * 75 + 1, pos * 75 + 100))::INTEGER AS n_tokens, md5(array_to_string(list_slice(w, pos * 75 + 1, pos * 75 + 100), ' ')) AS chunk
+    FROM (SELECT doc_id, w, unnest(range(((len(w) - 1) // 75) + 1)) AS pos FROM w WHERE len(w) > 0)""")
+def token_chunks(spark, sf_dir):
+    cut = t(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.chunks(T.words("text"), 100, 0.25)).alias("pos", "c"))
+    return cut.select("doc_id", "pos", F.size("c").alias("n_tokens"), F.md5(F.array_join("c", " ")).alias("chunk"))
+
+
+@query("""SELECT doc_id, regexp_matches(text, '[^a-zA-Z0-9\\s]') AS special, regexp_matches(text, '[0-9]') AS digits, upper(text) = text AND lower(text) <> text AS upper_case FROM documents""")
+def validation_flags(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", T.has_special("text").alias("special"), T.has_digits("text").alias("digits"), T.is_upper("text").alias("upper_case"))
+
+
+@query("""SELECT item_id, trim(text) AS question, 'Câu' AS word, item_id::INTEGER AS number, split_part(text, chr(10), 1) AS rest, 'B' AS letter FROM benchmark""")
+def question_headers(spark, sf_dir):
+    b = t(spark, sf_dir, "benchmark").withColumn("line", F.concat(F.lit("Câu "), "item_id", F.lit(". "), "text"))
+    h = T.question_header("line")
+    return b.select("item_id", T.strip_question_number("line").alias("question"), h["word"].alias("word"), h["number"].alias("number"), h["rest"].alias("rest"), T.option(F.concat(F.lit("B) "), "text"))["letter"].alias("letter"))
+
+
+@query("""SELECT item_id, '$\\frac{' || item_id || '}{7} \\times x^{2} = \\sqrt{' || item_id || '}$' AS latex,
+    'a + ' || item_id || ' - \\frac{2}{5}' AS mixed FROM benchmark""")
+def math_rewrites(spark, sf_dir):
+    b = t(spark, sf_dir, "benchmark")
+    line = F.concat(F.col("item_id").cast("string"), F.lit("/7 × x^2 = √("), F.col("item_id").cast("string"), F.lit(")"))
+    mixed = F.concat(F.lit("a + "), F.col("item_id").cast("string"), F.lit(" 2 5"))
+    return b.select("item_id", T.format_equation(line).alias("latex"), T.format_fractions(mixed).alias("mixed"))
+
+
+@query("""SELECT page_id, md5(url) || '.html' AS name FROM pages WHERE regexp_matches(url, '[.]html([?#]|$)')
+    UNION ALL SELECT page_id, md5(url) || '.jpg' FROM pages WHERE NOT regexp_matches(url, '[.]html([?#]|$)')""")
+def content_names(spark, sf_dir):
+    return t(spark, sf_dir, "pages").select("page_id", T.content_name("url").alias("name"))
+
+
+@query("""SELECT item_id, ['a' || item_id || '.png', 'b.png'] AS links, text || '    end' AS stripped FROM benchmark""")
+def image_markup(spark, sf_dir):
+    b = t(spark, sf_dir, "benchmark").withColumn("md", F.concat("text", F.lit(" ![x](a"), "item_id", F.lit(".png) ![](b.png)end")))
+    return b.select("item_id", T.image_links("md").alias("links"), T.without_images("md").alias("stripped"))
+
+
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS accuracy, 1 AS style FROM events WHERE event_id % 2 = 0
+    UNION ALL SELECT event_id, NULL, NULL FROM events WHERE event_id % 2 = 1""")
+def judge_scores(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    good = F.concat(F.lit('{"accuracy": {"analysis": "x", "score": '), F.get_json_object("props", "$.k"), F.lit('}, "style": {"analysis": "y", "score": 1}}'))
+    j = T.judgement(F.when(F.col("event_id") % 2 == 0, good).otherwise("{broken"))
+    return e.select("event_id", j["accuracy"].alias("accuracy"), j["style"].alias("style"))
+
+
+@query("""SELECT conv_id, turn, 'Q: ' || text AS prompt, CASE WHEN length(text) > 50 THEN substring(text, 1, 50) || '...' ELSE text END AS short, text AS tail, text AS stripped, '<image>' || text AS marked FROM conversations""")
+def prompt_texts(spark, sf_dir):
+    c = t(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", T.fill("Q: {x}", x=F.col("text")).alias("prompt"), T.ellipsis("text", 50).alias("short"), T.after_last(F.concat(F.lit("x<m> y<m>"), "text"), "<m>").alias("tail"), T.strip_prefix(F.concat(F.lit("<bos>"), "text")).alias("stripped"), T.insert_image_token("text").alias("marked"))
+
+
+# filters, deduplication, reports
+
+
+@query("SELECT doc_id FROM documents WHERE length(text) > 50 AND length(text) < 1000")
+def length_filter_exclusive(spark, sf_dir):
+    return cleaning.length_between(t(spark, sf_dir, "documents"), 50, 1000, inclusive=False).select("doc_id")
+
+
+@query(f"""SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY md5({collapsed("text")}) ORDER BY doc_id) AS r FROM documents) WHERE r = 1""")
+def exact_deduplication(spark, sf_dir):
+    return cleaning.exact_dedup(t(spark, sf_dir, "documents"), "text", "doc_id").select("doc_id")
+
+
+@query(f"""SELECT count(DISTINCT source) AS source_files, count(*) AS total, count(DISTINCT md5({collapsed("text")})) AS unique_rows,
+    count(*) - count(DISTINCT md5({collapsed("text")})) AS duplicates_removed, list_sort(list(DISTINCT source)) AS file_list FROM documents""")
+def dedup_statistics(spark, sf_dir):
+    return cleaning.dedup_statistics(t(spark, sf_dir, "documents"), "text", "source")
+
+
+TFIDF = """w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents WHERE length(text) < 2000),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents WHERE length(text) < 2000),
+    f AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    r AS (SELECT doc_id, term, df, tf * (ln((1 + n) / (1.0::DOUBLE + df)) + 1) AS w FROM tf JOIN f USING (term), n),
+    v AS (SELECT doc_id, term, df, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM r)"""
+
+
+@query(f"""WITH {TFIDF}, p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.weight * b.weight) AS s FROM v a JOIN v b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL)
+    SELECT doc_id FROM documents WHERE length(text) < 2000 AND doc_id NOT IN (SELECT b FROM p WHERE s > 0.8)""")
+def near_deduplication(spark, sf_dir):
+    docs = t(spark, sf_dir, "documents").where(F.length("text") < 2000)
+    return cleaning.near_dedup(docs, "doc_id").select("doc_id")
+
+
+@query("""SELECT count(*) AS n_rows, round(avg(length(text)), 6) AS mean_length, count(DISTINCT text) AS n_unique, count(*) FILTER (WHERE length(text) < 10) AS n_short,
+    count(*) FILTER (WHERE regexp_matches(text, '[^a-zA-Z0-9\\s]')) AS n_special, count(*) FILTER (WHERE regexp_matches(text, '[0-9]')) AS n_digits,
+    count(*) FILTER (WHERE upper(text) = text AND lower(text) <> text) AS n_upper FROM documents""")
+def validation_report(spark, sf_dir):
+    return cleaning.validation_report(t(spark, sf_dir, "documents")).withColumn("mean_length", F.round("mean_length", 6))
+
+
+@query("""WITH p AS (SELECT doc_id, list_slice(list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda p: trim(p)), lambda p: length(p) >= 20), 1, 10) AS ps FROM documents)
+    SELECT doc_id, unnest(range(len(ps)))::INTEGER AS pos, md5(unnest(ps)) AS paragraph FROM p""")
+def paragraphs(spark, sf_dir):
+    return cleaning.paragraphs(t(spark, sf_dir, "documents"), "doc_id").withColumn("paragraph", F.md5("paragraph"))
+
+
+@query("""SELECT lang, min(length(text)) AS min_length, max(length(text)) AS max_length, round(avg(length(text)), 6) AS mean_length,
+    round(avg(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))), 6) AS mean_words FROM documents GROUP BY lang""")
+def length_statistics(spark, sf_dir):
+    df = reports.length_statistics(t(spark, sf_dir, "documents"), "text", "lang")
+    return df.withColumns({c: F.round(c, 6) for c in ("mean_length", "mean_words")})
+
+
+@query("""SELECT k AS keyword, count(*) AS n, 100.0::DOUBLE * count(*) / (SELECT count(*) FROM documents) AS percent
+    FROM documents, (SELECT unnest(['the', 'license', 'idiot', 'nothing-of-this']) AS k) WHERE contains(lower(text), k) GROUP BY k""")
+def keyword_counts(spark, sf_dir):
+    return reports.keyword_counts(t(spark, sf_dir, "documents"), "text", ["the", "license", "idiot", "nothing-of-this"])
+
+
+@query("""SELECT CASE WHEN starts_with(q, 'Câu 1') THEN 'Câu 1' WHEN starts_with(q, 'Câu 2') THEN 'Câu 2' WHEN starts_with(q, 'Câu 3') THEN 'Câu 3' WHEN starts_with(q, 'Câu 4') THEN 'Câu 4'
+    WHEN starts_with(q, 'Câu 5') THEN 'Câu 5' ELSE 'Khác' END AS bucket, count(*) AS n FROM (SELECT 'Câu ' || item_id || '. x' AS q FROM benchmark) GROUP BY 1""")
+def question_buckets(spark, sf_dir):
+    b = t(spark, sf_dir, "benchmark").select(F.concat(F.lit("Câu "), "item_id", F.lit(". x")).alias("q"))
+    return reports.head_buckets(b, "q")
+
+
+@query("""SELECT count(*) FILTER (WHERE contains(text, '$')) AS n, 100.0::DOUBLE * count(*) FILTER (WHERE contains(text, '$')) / count(*) AS percent FROM documents""")
+def share_with_sign(spark, sf_dir):
+    return reports.share_where(t(spark, sf_dir, "documents"), reports.has_latex("text", dollars=True))
+
+
+@query("""(SELECT 'shortest' AS kind, length(text) AS length, substring(text, 1, 100) AS preview FROM documents WHERE length(text) > 0 ORDER BY length(text), doc_id LIMIT 1)
+    UNION ALL (SELECT 'longest', length(text), substring(text, 1, 100) FROM documents WHERE length(text) > 0 ORDER BY length(text) DESC, doc_id LIMIT 1)""")
+def extreme_lengths(spark, sf_dir):
+    return reports.extremes(t(spark, sf_dir, "documents"), "text", "doc_id")
+
+
+@query("""WITH f AS (SELECT * FROM documents ORDER BY doc_id LIMIT 100) SELECT (SELECT count(*) FROM f WHERE lang = 'en') AS k, (SELECT count(*) FROM f) AS m, (SELECT count(*) FROM documents) AS total,
+    floor((SELECT count(*) FROM f WHERE lang = 'en') * (SELECT count(*) FROM documents)::DOUBLE / (SELECT count(*) FROM f))::BIGINT AS estimate""")
+def extrapolated_count(spark, sf_dir):
+    return reports.extrapolated(t(spark, sf_dir, "documents"), F.col("lang") == "en", "doc_id")
+
+
+def _languages_sql() -> str:
+    w = word_list(plain("lower(text)"))
+    counts = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(chr(39) + v + chr(39) for v in own)}))) AS n_{k}" for k, own in sorted(cleaning.FUNCTION_WORDS.items()))
+    names = sorted(cleaning.FUNCTION_WORDS)
+    best = f"greatest({', '.join('n_' + k for k in names)})"
+    return f"WITH w AS (SELECT doc_id, {w} AS w FROM documents), c AS (SELECT doc_id, {counts} FROM w) SELECT doc_id, CASE WHEN {best} = 0 THEN 'unknown' {' '.join(f'WHEN n_{k} = {best} THEN {chr(39)}{k}{chr(39)}' for k in names)} END AS language FROM c"
+
+
+@query(_languages_sql())
+def language_detection(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", cleaning.language(F.col("text")).alias("language"))
+
+
+@query()
+def quality_report(spark, sf_dir):
+    return cleaning.quality_report(t(spark, sf_dir, "documents"), "doc_id", vocabulary=["the", "of", "and"])
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[\\t-\\r\\x1c-\\x20\\x85\\xa0]+'), lambda x: x <> '')) AS term FROM documents),
+    c AS (SELECT term, count(*) AS c FROM w GROUP BY term), z AS (SELECT sum(c) AS a, count(*) AS v FROM c)
+    SELECT doc_id, round(ln(exp(-avg(ln((c + 1) / (a + v)::DOUBLE)))), 6) AS log_perplexity FROM w JOIN c USING (term), z GROUP BY doc_id""")
+def unigram_perplexity(spark, sf_dir):
+    return cleaning.perplexity(t(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.round(F.log("perplexity"), 6).alias("log_perplexity"))
+
+
+# retrieval
+
+
+SETS = "list_distinct(list_filter(string_split_regex(trim(translate(lower(text), '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~', '')), '\\s+'), lambda w: w <> ''))"
+
+
+@query(f"""WITH q AS (SELECT item_id, {SETS} AS qt FROM benchmark), c AS (SELECT doc_id, {SETS} AS ct FROM documents),
+    s AS (SELECT item_id AS query, doc_id AS key, len(list_intersect(qt, ct)) / (len(qt) + len(ct) - len(list_intersect(qt, ct)))::DOUBLE AS similarity FROM q, c),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, key) AS rank FROM s)
+    SELECT query, key, round(similarity, 9) AS similarity, rank::INTEGER AS rank FROM r WHERE rank <= 2""")
+def jaccard_retrieval(spark, sf_dir):
+    found = retrieval.jaccard_top(t(spark, sf_dir, "benchmark"), t(spark, sf_dir, "documents"), "item_id", "doc_id")
+    return found.withColumn("similarity", F.round("similarity", 9))
+
+
+@query("""WITH c AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS w FROM documents), tk AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM c),
+    tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM tk GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM tf GROUP BY term), st AS (SELECT count(*) AS n, avg(len(w)) AS a FROM c),
+    q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}'))) AS term FROM benchmark),
+    s AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) AS score FROM q JOIN tf USING (term) JOIN f USING (term), st GROUP BY ALL),
+    m AS (SELECT *, score / max(score) OVER (PARTITION BY item_id) AS relevance FROM s)
+    SELECT item_id AS query, doc_id AS key, round(score, 6) AS score, round(relevance, 6) AS relevance FROM m WHERE relevance >= 0.35""")
+def bm25_ranking(spark, sf_dir):
+    found = retrieval.normalised(retrieval.bm25(t(spark, sf_dir, "benchmark"), t(spark, sf_dir, "documents"), "item_id", "doc_id"))
+    return found.withColumns({c: F.round(c, 6) for c in ("score", "relevance")})
+
+
+# pages
+
+
+HREFS = "regexp_extract_all(html, '<a [^>]*?href=\"([^\"]*)\"', 1)"
+
+
+@query(f"""WITH l AS (SELECT page_id, url, unnest(range(len({HREFS})))::INTEGER AS pos, unnest({HREFS}) AS href FROM pages)
+    SELECT page_id, pos, href, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href AS target, true AS internal FROM l""")
+def page_links(spark, sf_dir):
+    return web.links(t(spark, sf_dir, "pages"))
+
+
+@query("""SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host, nullif(regexp_extract(url, '^[a-zA-Z]+://[^/]+/([^/?#]+)', 1), '') AS section,
+    (CASE WHEN contains(lower(url), 'example') THEN 1 ELSE 0 END + CASE WHEN contains(lower(url), 'blog') THEN 1 ELSE 0 END) / 2.0::DOUBLE * 0.7::DOUBLE AS relevance, contains(url, '/en/') AS english FROM pages""")
+def page_addresses(spark, sf_dir):
+    u = F.col("url")
+    return t(spark, sf_dir, "pages").select("page_id", web.host(u).alias("host"), web.parent_section(u).alias("section"), web.keyword_relevance(u, ["example", "blog"]).alias("relevance"), web.matches_glob(u, "*/en/*").alias("english"))
+
+
+@query("""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', ' ', 'g'),
+    '(?is)<nav\\b[^>]*>.*?</nav\\s*>', ' ', 'g'), '(?is)<footer\\b[^>]*>.*?</footer\\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) AS body FROM pages""")
+def page_text(spark, sf_dir):
+    return t(spark, sf_dir, "pages").select("page_id", F.md5(web.visible_text(web.without_tags(F.col("html")))).alias("body"))
+
+
+@query()
+def page_contents(spark, sf_dir):
+    return web.contents(t(spark, sf_dir, "pages")).select("page_id", "cleaned_html", "raw_text", "fit_text")
+
+
+@query("SELECT page_id, 0 AS pos, trim(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&amp;', '&', 'g')) AS title FROM pages")
+def page_selector(spark, sf_dir):
+    return web.by_selector(t(spark, sf_dir, "pages"), "page_id", "h1").select("page_id", "pos", F.col("fields")["text"].alias("title"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id AS source, (user_id * 7 + event_id % 3) % 100 AS target FROM events), r AS (SELECT 1::BIGINT AS url, 0 AS depth UNION SELECT e.target, r.depth + 1 FROM r JOIN e ON r.url = e.source WHERE r.depth < 3)
+    SELECT url, min(depth)::INTEGER AS depth FROM r GROUP BY url""")
+def crawl_frontier(spark, sf_dir):
+    edges = t(spark, sf_dir, "events").select(F.col("user_id").alias("source"), ((F.col("user_id") * 7 + F.col("event_id") % 3) % 100).alias("target"))
+    return web.crawl_frontier(edges, spark.range(1, 2).select(F.col("id").alias("url")), 3)
+
+
+@query("""SELECT (page_id % 4)::INTEGER AS depth, count(*) AS n_pages, round(avg(length(html)), 6) AS mean_score FROM pages GROUP BY 1""")
+def crawl_statistics(spark, sf_dir):
+    p = t(spark, sf_dir, "pages").select((F.col("page_id") % 4).cast("int").alias("depth"), F.length("html").alias("score"))
+    return web.crawl_statistics(p).withColumn("mean_score", F.round("mean_score", 6))
+
+
+@query("""SELECT page_id, url, page_id % 5 <> 0 AS success, CASE WHEN page_id % 5 = 0 THEN 'no result' END AS error FROM pages""")
+def crawl_failures(spark, sf_dir):
+    p = t(spark, sf_dir, "pages")
+    results = p.where("page_id % 5 <> 0").select("page_id", F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"))
+    return web.with_failures(p.select("page_id", "url"), results, "page_id").select("page_id", "url", "success", "error")
+
+
+@query("""SELECT count(*) AS n_urls, count(*) FILTER (WHERE page_id % 5 <> 0) AS n_success, count(*) FILTER (WHERE page_id % 5 = 0) AS n_failed, count(*) / 10.0::DOUBLE AS urls_per_second FROM pages""")
+def crawl_run_summary(spark, sf_dir):
+    return web.run_summary(t(spark, sf_dir, "pages").select((F.col("page_id") % 5 != 0).alias("success")), 10.0)
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'fallback' ELSE 'primary' END AS method FROM pages""")
+def fallback_selection(spark, sf_dir):
+    p = t(spark, sf_dir, "pages")
+    tries = p.select("page_id", F.explode(F.array(F.struct(F.lit(0).alias("priority"), F.lit("primary").alias("method"), (F.col("page_id") % 3 != 0).alias("ok")), F.struct(F.lit(1).alias("priority"), F.lit("fallback").alias("method"), F.lit(True).alias("ok")))).alias("x")).select("page_id", "x.*")
+    return web.first_good(tries, "page_id", "priority", F.col("ok")).select("page_id", "method")
+
+
+@query("""SELECT item_id, 'start KEY' || chr(10) || text || chr(10) AS section FROM benchmark""")
+def keyword_sections(spark, sf_dir):
+    b = t(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("before\nstart KEY\n"), "text", F.lit("\n")).alias("content"))
+    return web.keyword_section(b, "item_id", "content", ["key"])
+
+
+# exam papers
+
+
+def _papers(spark, sf_dir):
+    head = F.lit("|   TT | Câu hỏi | Đáp án |\n|---|---|---|\n| 1 | ")
+    rest = F.lit(" | A1 |\n| 2 | second | A2 |\n\nCâu 1. x\n## Phương pháp\nby hand\n## Lời giải\none\ntwo\nĐáp án: D\n")
+    return t(spark, sf_dir, "benchmark").select("item_id", F.concat(head, F.col("item_id").cast("string"), F.lit("/7"), rest).alias("content"))
+
+
+@query("""SELECT item_id, 1 AS number, '$\\frac{' || item_id || '}{7}$' AS question, 'by hand' AS method, 'one two' AS solution, 'D' AS answer FROM benchmark
+    UNION ALL SELECT item_id, 2, 'second', '', '', 'A2' FROM benchmark""")
+def exam_records(spark, sf_dir):
+    return exams.exam_records(_papers(spark, sf_dir), "item_id")
+
+
+@query("""SELECT item_id, 1::BIGINT AS ordinal, replace(text, chr(10), ' ') || chr(10) || 'A. one' AS question, 'method: m' AS method, '' AS solution, 'A' AS answer FROM benchmark""")
+def exam_lines(spark, sf_dir):
+    b = t(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("Câu 1. "), "text", F.lit("\nA. one\nmethod: m\nanswer: A\n")).alias("content"))
+    return exams.line_parser(b, "item_id")
+
+
+# dataset types
+
+
+def _preference(spark, sf_dir):
+    b = t(spark, sf_dir, "benchmark")
+    return b.select("item_id", F.concat(F.substring("text", 1, 30), F.lit("|")).alias("prompt"), F.concat(F.lit("A"), F.substring("text", 31, 20)).alias("chosen"), F.concat(F.lit("B"), F.substring("text", 31, 10)).alias("rejected"))
+
+
+PREFERENCE = "p AS (SELECT item_id, substring(text, 1, 30) || '|' AS prompt, 'A' || substring(text, 31, 20) AS chosen, 'B' || substring(text, 31, 10) AS rejected FROM benchmark)"
+STEPS = "s AS (SELECT item_id, substring(text, 1, 30) AS prompt, [substring(text, 31, 10), substring(text, 41, 10)] AS completions, [true, item_id % 2 = 0] AS labels FROM benchmark)"
+
+
+def _unpaired(spark, sf_dir):
+    return formats.preference_to_unpaired(_preference(spark, sf_dir))
+
+
+def _stepwise(spark, sf_dir):
+    b = t(spark, sf_dir, "benchmark")
+    return b.select("item_id", F.substring("text", 1, 30).alias("prompt"), F.array(F.substring("text", 31, 10), F.substring("text", 41, 10)).alias("completions"), F.array(F.lit(True), F.col("item_id") % 2 == 0).alias("labels"))
+
+
+def _completion(spark, sf_dir):
+    return formats.preference_to_prompt_completion(_preference(spark, sf_dir))
+
+
+def _implicit(spark, sf_dir):
+    return formats.preference_to_implicit(_preference(spark, sf_dir))
+
+
+UNPAIRED = "u AS (SELECT item_id, prompt, chosen AS completion, true AS label FROM p UNION ALL SELECT item_id, prompt, rejected, false FROM p)"
+for _name, _make, _sql in (
+    ("prompt_completion_to_lm", _completion, f"WITH {PREFERENCE} SELECT item_id, prompt || chosen AS text FROM p"),
+    ("prompt_completion_to_prompt_only", _completion, f"WITH {PREFERENCE} SELECT item_id, prompt FROM p"),
+    ("implicit_to_lm", _implicit, f"WITH {PREFERENCE} SELECT item_id, prompt || chosen AS text FROM p"),
+    ("implicit_to_prompt_completion", _implicit, f"WITH {PREFERENCE} SELECT item_id, prompt, chosen AS completion FROM p"),
+    ("implicit_to_prompt_only", _implicit, f"WITH {PREFERENCE} SELECT item_id, prompt FROM p"),
+    ("implicit_to_preference", _implicit, f"WITH {PREFERENCE} SELECT * FROM p"),
+    ("implicit_to_unpaired", _implicit, f"WITH {PREFERENCE}, {UNPAIRED} SELECT * FROM u"),
+    ("preference_to_lm", _preference, f"WITH {PREFERENCE} SELECT item_id, prompt || chosen AS text FROM p"),
+    ("preference_to_prompt_completion", _preference, f"WITH {PREFERENCE} SELECT item_id, prompt, chosen AS completion FROM p"),
+    ("preference_to_prompt_only", _preference, f"WITH {PREFERENCE} SELECT item_id, prompt FROM p"),
+    ("preference_to_implicit", _preference, f"WITH {PREFERENCE} SELECT item_id, prompt || chosen AS chosen, prompt || rejected AS rejected FROM p"),
+    ("preference_to_unpaired", _preference, f"WITH {PREFERENCE}, {UNPAIRED} SELECT * FROM u"),
+    ("unpaired_to_lm", _unpaired, f"WITH {PREFERENCE} SELECT item_id, prompt || chosen AS text FROM p"),
+    ("unpaired_to_prompt_completion", _unpaired, f"WITH {PREFERENCE} SELECT item_id, prompt, chosen AS completion FROM p"),
+    ("unpaired_to_prompt_only", _unpaired, f"WITH {PREFERENCE}, {UNPAIRED} SELECT item_id, prompt FROM u"),
+    ("stepwise_to_lm", _stepwise, f"WITH {STEPS} SELECT item_id, prompt || completions[1] || completions[2] AS text FROM s WHERE labels[2]"),
+    ("stepwise_to_prompt_completion", _stepwise, f"WITH {STEPS} SELECT item_id, prompt, completions[1] || completions[2] AS completion FROM s WHERE labels[2]"),
+    ("stepwise_to_prompt_only", _stepwise, f"WITH {STEPS} SELECT item_id, prompt FROM s"),
+    ("stepwise_to_unpaired", _stepwise, f"WITH {STEPS} SELECT item_id, prompt, completions[1] || completions[2] AS completion, labels[2] AS label FROM s"),
+):
+    QUERIES[_name] = lambda spark, sf_dir, make=_make, name=_name: formats.CONVERSIONS[name](make(spark, sf_dir))
+    ORACLES[_name] = _sql
+
+
+@query("""WITH m AS (SELECT conv_id, string_agg('<start_of_turn>' || CASE role WHEN 'assistant' THEN 'model' ELSE role END || chr(10) || text || '<end_of_turn>', chr(10) ORDER BY turn) FILTER (WHERE role IN ('user', 'assistant')) AS body,
+    string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY turn) FILTER (WHERE role IN ('system', 'user', 'assistant')) AS pipes FROM conversations GROUP BY conv_id)
+    SELECT conv_id, body AS turns, coalesce(pipes, '') || '<|endoftext|>' AS pipes FROM m""")
+def chat_templates(spark, sf_dir):
+    c = chat.conversations(t(spark, sf_dir, "conversations"))
+    m = F.col("messages")
+    return c.select("conv_id", chat.apply_template(m).alias("turns"), chat.apply_template(m, "pipes").alias("pipes"))
+
+
+@query("""SELECT item_id, 'user' AS first_role, text AS question, 'a.png' AS image, 'ok' AS answer, 'image' AS kind FROM benchmark""")
+def multimodal_conversations(spark, sf_dir):
+    b = t(spark, sf_dir, "benchmark").select("item_id", chat.multimodal_conversation(F.concat("text", F.lit(" ![i](a.png)")), F.lit("ok")).alias("messages"))
+    m = F.col("messages")
+    return chat.by_kind(b).select("item_id", m[0]["role"].alias("first_role"), chat.text_of(m[0]["content"]).alias("question"), m[0]["content"][1]["image_url"].alias("image"), chat.text_of(m[1]["content"]).alias("answer"), "kind")
+
+
+@query("""SELECT item_id, text AS question, 2 AS n_messages, 1 AS n_prompt, 0 AS n_images FROM benchmark""")
+def question_conversations(spark, sf_dir):
+    b = t(spark, sf_dir, "benchmark")
+    pair, prompt = chat.conversation(F.col("text"), F.lit("x")), chat.question_prompt(F.col("text"), F.lit(None).cast("string"))
+    return b.select("item_id", chat.text_of(pair[0]["content"]).alias("question"), F.size(pair).alias("n_messages"), F.size(prompt).alias("n_prompt"), F.size(F.filter(chat.text_only(pair)[0]["content"], lambda p: p["type"] == "image")).alias("n_images"))
+
+
+# order, samples, splits
+
+
+HASH = "md5(CAST(doc_id AS VARCHAR) || ':42')"
+
+
+@query(f"SELECT doc_id FROM documents ORDER BY {HASH}, doc_id LIMIT 50")
+def random_sample(spark, sf_dir):
+    return sampling.sample_n(t(spark, sf_dir, "documents"), "doc_id", 50).select("doc_id")
+
+
+@query(f"""SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {HASH} DESC, doc_id DESC) <= floor(count(*) OVER () * 0.1) THEN 'test' ELSE 'train' END AS split FROM documents""")
+def shuffled_split(spark, sf_dir):
+    return sampling.shuffle_split(t(spark, sf_dir, "documents"), "doc_id").select("doc_id", "split")
+
+
+@query(f"""SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY {HASH}, doc_id) <= ceil(count(*) OVER (PARTITION BY lang) * 0.2) THEN 'test' ELSE 'train' END AS split FROM documents""")
+def stratified_split(spark, sf_dir):
+    return sampling.stratified_split(t(spark, sf_dir, "documents"), "doc_id", "lang").select("doc_id", "split")
+
+
+@query(f"""SELECT doc_id, CASE WHEN ('0x' || substring({HASH}, 1, 8))::BIGINT < floor(0.1 * 4294967296) THEN 'test' ELSE 'train' END AS split FROM documents""")
+def threshold_split(spark, sf_dir):
+    return sampling.threshold_split(t(spark, sf_dir, "documents"), "doc_id").select("doc_id", "split")
+
+
+@query("SELECT doc_id FROM documents ORDER BY doc_id LIMIT 5 OFFSET 50")
+def slice_of_rows(spark, sf_dir):
+    return sampling.slice_rows(t(spark, sf_dir, "documents"), "doc_id", 50, 55).select("doc_id")
+
+
+@query("SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 32)::BIGINT AS batch FROM documents")
+def row_batches(spark, sf_dir):
+    return sampling.batches(t(spark, sf_dir, "documents").select("doc_id"), "doc_id", 32)
+
+
+@query("""SELECT doc_id, CASE WHEN (row_number() OVER (ORDER BY doc_id) - 1) // 7 < count(*) OVER () // 7 THEN 'p' || ((row_number() OVER (ORDER BY doc_id) - 1) // 7 + 1) ELSE 'last' END AS file FROM documents""")
+def file_roll_over(spark, sf_dir):
+    return sampling.roll_over(t(spark, sf_dir, "documents").select("doc_id"), "doc_id", 7)
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS new_index FROM documents WHERE doc_id % 3 <> 0")
+def renumbered_survivors(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select("doc_id")
+    return sampling.renumbered(d, "doc_id", d.where("doc_id % 3 = 0"))
+
+
+@query("""WITH n AS (SELECT item_id, row_number() OVER (ORDER BY md5(CAST(item_id AS VARCHAR) || ':42'), item_id) - 1 AS n FROM benchmark)
+    SELECT item_id, (((n // 4) * 3 + a) * 4 + n % 4) * 2 + m AS slot FROM n, (SELECT unnest(range(3)) AS a), (SELECT unnest(range(2)) AS m)""")
+def repeated_prompts(spark, sf_dir):
+    return sampling.repeat_sampler(t(spark, sf_dir, "benchmark").select("item_id"), "item_id", 2, 4, 3)
+
+
+@query("""SELECT a AS rank, b AS rate FROM (SELECT unnest([4, 8, 16, 32]) AS a), (SELECT unnest([0.1::DOUBLE, 0.2::DOUBLE, 0.3::DOUBLE]) AS b)""")
+def parameter_grid(spark, sf_dir):
+    g = sampling.grid(spark, rank=[4, 8, 16, 32], rate=[0.1, 0.2, 0.3])
+    return g.select(F.col("rank").cast("int").alias("rank"), "rate")
+
+
+@query(f"""SELECT s.doc_id, s.lang FROM documents s WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, NULL FROM documents WHERE doc_id % 2 = 1""")
+def bag_union(spark, sf_dir):
+    d = t(spark, sf_dir, "documents")
+    return cleaning.union_all([d.where("doc_id % 2 = 0").select("doc_id", "lang"), d.where("doc_id % 2 = 1").select("doc_id")])
+
+
+# evaluation
+
+
+@query("""WITH a AS (SELECT q.conv_id, q.turn, a.text AS answer, q.text AS expected FROM conversations q JOIN conversations a ON q.conv_id = a.conv_id AND a.turn = q.turn + 1),
+    n AS (SELECT *, list_distinct(regexp_extract_all(expected, '[0-9]+')) AS en, list_distinct(regexp_extract_all(answer, '[0-9]+')) AS an FROM a)
+    SELECT conv_id, turn, len(list_filter(['đúng', 'sai', 'kết quả', 'bằng', '=', '+', '-', '*', '/', '×', '÷', 'π'], lambda k: contains(lower(answer), k) AND contains(lower(expected), k))) / 12.0::DOUBLE AS keyword_matching,
+    CASE WHEN len(en) = 0 THEN 0 ELSE len(list_intersect(en, an)) / len(en)::DOUBLE END AS number_matching,
+    CASE WHEN length(expected) = 0 THEN 0 ELSE 1 - abs(length(answer) - length(expected)) / greatest(length(answer), length(expected))::DOUBLE END AS length_similarity,
+    CASE WHEN trim(lower(answer)) = trim(lower(expected)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS exact_match FROM n""")
+def answer_scores(spark, sf_dir):
+    return evaluation.scored(_answers(spark, sf_dir)).select("conv_id", "turn", *S.METRICS)
+
+
+def _answers(spark, sf_dir):
+    c = t(spark, sf_dir, "conversations")
+    a = c.select(F.col("conv_id").alias("c"), (F.col("turn") - 1).alias("n"), F.col("text").alias("answer"))
+    return c.join(a, (c.conv_id == a.c) & (c.turn == a.n)).select("conv_id", "turn", "answer", F.col("text").alias("expected"))
+
+
+@query("""WITH s AS (SELECT event_type AS metric, value AS score FROM events) SELECT metric, round(avg(score), 6) AS mean, min(score) AS least, max(score) AS most, count(score) AS n FROM s GROUP BY metric""")
+def metric_summary(spark, sf_dir):
+    s = t(spark, sf_dir, "events").select(F.col("event_type").alias("metric"), F.col("value").alias("score"))
+    return evaluation.metric_summary(s).withColumn("mean", F.round("mean", 6))
+
+
+@query("""WITH a AS (SELECT event_type AS metric, avg(value) AS m FROM events WHERE user_id % 2 = 0 GROUP BY 1), b AS (SELECT event_type AS metric, avg(value) AS m FROM events WHERE user_id % 2 = 1 GROUP BY 1)
+    SELECT metric, round(a.m, 6) AS base, round(b.m, 6) AS tuned, round(b.m - a.m, 6) AS improvement, CASE WHEN a.m > 0 THEN round((b.m - a.m) / a.m * 100, 6) END AS percent FROM a JOIN b USING (metric)""")
+def run_comparison(spark, sf_dir):
+    e = t(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("metric"), F.col("value").alias("score"))
+    half = lambda k: evaluation.metric_summary(e.where(F.col("user_id") % 2 == k))
+    return evaluation.compared(half(0), half(1)).withColumns({c: F.round(c, 6) for c in ("base", "tuned", "improvement", "percent")})
+
+
+# rewards and token arrays
+
+
+@query("""SELECT event_id, round((value - avg(value) OVER w) / (coalesce(stddev_samp(value) OVER w, 0) + 0.0001), 6) AS advantage FROM events WINDOW w AS (PARTITION BY user_id)""")
+def group_advantages(spark, sf_dir):
+    return rewards.group_advantage(t(spark, sf_dir, "events"), "user_id", "value").select("event_id", F.round("advantage", 6).alias("advantage"))
+
+
+@query("""SELECT event_id, round((sum(value) OVER w - value) / nullif(count(*) OVER w - 1, 0), 9) AS baseline FROM events WINDOW w AS (PARTITION BY user_id)""")
+def leave_one_out_baseline(spark, sf_dir):
+    return rewards.leave_one_out(t(spark, sf_dir, "events"), "user_id", "value").select("event_id", F.round("baseline", 9).alias("baseline"))
+
+
+@query("""WITH r AS (SELECT event_id, (event_id % 5)::DOUBLE AS a, (event_id % 3)::DOUBLE AS b FROM events)
+    SELECT event_id, [round(a + 0.9 * 2 - b + 0.9 * 0.5 * (1 - 2), 6), round(1.0::DOUBLE - 2, 6)] AS advantages FROM r""")
+def generalised_advantages(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    r = F.array((F.col("event_id") % 5).cast("double"), F.lit(1.0))
+    v = F.array((F.col("event_id") % 3).cast("double"), F.lit(2.0))
+    return e.select("event_id", F.transform(rewards.generalised_advantage(r, v, 0.9, 0.5), lambda x: F.round(x, 6)).alias("advantages"))
+
+
+@query("""SELECT event_type, round(avg(value), 6) AS mean_chosen, round(avg(user_id::DOUBLE), 6) AS mean_rejected, round(avg(value - user_id), 6) AS mean_margin, round(avg(CASE WHEN value > user_id THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy FROM events GROUP BY 1""")
+def reward_margins(spark, sf_dir):
+    m = rewards.margins(t(spark, sf_dir, "events"), "value", "user_id", "event_type")
+    return m.select("event_type", *[F.round(c, 6).alias(c) for c in ("mean_chosen", "mean_rejected", "mean_margin", "accuracy")])
+
+
+@query("""WITH g AS (SELECT coalesce(stddev_samp(value), 0) AS s FROM events GROUP BY event_type)
+    SELECT round(avg(user_id), 6) AS mean_length, min(user_id) AS min_length, max(user_id) AS max_length, round(avg(CASE WHEN value <= 20 THEN 1.0::DOUBLE ELSE 0 END), 6) AS clipped_ratio, round(avg(user_id) FILTER (WHERE value > 20), 6) AS mean_terminated_length,
+    min(user_id) FILTER (WHERE value > 20) AS min_terminated_length, max(user_id) FILTER (WHERE value > 20) AS max_terminated_length, round(avg(value), 6) AS reward_mean, round(stddev_samp(value), 6) AS reward_std, (SELECT avg(CASE WHEN s = 0 THEN 1.0::DOUBLE ELSE 0 END) FROM g) AS frac_zero_std FROM events""")
+def completion_metrics(spark, sf_dir):
+    e = t(spark, sf_dir, "events").withColumn("ended", F.col("value") > 20)
+    m = rewards.completion_metrics(e, "user_id", "ended", "value", "event_type")
+    return m.withColumns({c: F.round(c, 6) for c in ("mean_length", "clipped_ratio", "mean_terminated_length", "reward_mean", "reward_std")})
+
+
+@query("""SELECT event_id, coalesce(lag(event_id) OVER (PARTITION BY event_id // 8 ORDER BY event_id), max(event_id) OVER (PARTITION BY event_id // 8)) AS kl_completion FROM events""")
+def mismatched_completions(spark, sf_dir):
+    e = t(spark, sf_dir, "events").select("event_id", F.expr("event_id div 8").alias("batch"), F.col("event_id").alias("completion"))
+    return rewards.mismatched(e, "batch", "event_id").select("event_id", "kl_completion")
+
+
+@query("""WITH c AS (SELECT greatest(count(*) FILTER (WHERE toxic = 1), 1) AS y, greatest(count(*) FILTER (WHERE toxic = 0), 1) AS n FROM labels)
+    SELECT y AS n_desirable, n AS n_undesirable, round(n / y::DOUBLE, 2) AS desirable_low, round(n / y::DOUBLE * 1.33, 2) AS desirable_high, round(y / n::DOUBLE / 1.33, 2) AS undesirable_low, round(y / n::DOUBLE, 2) AS undesirable_high FROM c""")
+def label_balance(spark, sf_dir):
+    return rewards.label_balance(t(spark, sf_dir, "labels").select((F.col("toxic") == 1).alias("label")))
+
+
+@query("""SELECT event_id, round((value - (SELECT avg(value) FROM events)) / sqrt((SELECT var_pop(value) FROM events) + 1e-8), 6) AS whitened FROM events""")
+def whitened_values(spark, sf_dir):
+    return rewards.whitened(t(spark, sf_dir, "events"), "value").select("event_id", F.round("whitened", 6).alias("whitened"))
+
+
+IDS = "list_transform(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''), lambda w: length(w))"
+
+
+@query(f"""WITH i AS (SELECT item_id, {IDS} AS i FROM benchmark)
+    SELECT item_id, i[-5:] AS prompt_input_ids, list_slice(list_append(i, 0), 1, 7) AS chosen_input_ids, list_slice(list_append(list_slice(i, 1, 2), 0), 1, 7) AS rejected_input_ids FROM i""")
+def preference_tokens(spark, sf_dir):
+    b = t(spark, sf_dir, "benchmark").select("item_id", token_arrays.char_ids(F.col("text")).alias("i"))
+    df = b.select("item_id", F.col("i").alias("prompt"), F.col("i").alias("chosen"), F.slice("i", 1, 2).alias("rejected"))
+    return token_arrays.dpo(df, 0, 5, 7).select("item_id", "prompt_input_ids", "chosen_input_ids", "rejected_input_ids")
+
+
+@query("""SELECT item_id, [9, 1, 2, 5, 0, 6, 7, 0] AS input_ids, [-100, -100, -100, -100, 1, -100, -100, CASE WHEN item_id % 2 = 0 THEN 1 ELSE 0 END] AS labels FROM benchmark""")
+def step_tokens(spark, sf_dir):
+    b = t(spark, sf_dir, "benchmark").select("item_id", F.array(F.lit(1), F.lit(2)).alias("prompt"), F.array(F.array(F.lit(5)), F.array(F.lit(6), F.lit(7))).alias("completions"), F.array(F.lit(True), F.col("item_id") % 2 == 0).alias("labels"))
+    return token_arrays.stepwise(b, [0], start=9)
+
+
+@query(f"""WITH i AS (SELECT doc_id, lang, {IDS} AS i FROM documents WHERE length(text) < 300), j AS (SELECT doc_id // 100 AS g, flatten(list(i ORDER BY doc_id)) AS a FROM i GROUP BY 1)
+    SELECT g AS pack, pos::INTEGER AS piece, list_slice(a, pos * 64 + 1, pos * 64 + 64) AS input_ids FROM (SELECT g, a, unnest(range((len(a) - 1) // 64 + 1)) AS pos FROM j WHERE len(a) > 0)""")
+def packed_tokens(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").where(F.length("text") < 300).select("doc_id", F.expr("doc_id div 100").alias("pack"), token_arrays.char_ids(F.col("text")).alias("i"))
+    return token_arrays.packed(d, "pack", "doc_id", "i", 64)
+
+
+@query(f"""WITH i AS (SELECT doc_id, {IDS} AS i FROM documents) SELECT doc_id, list_slice(list_concat([1], i), 1, 32) AS input_ids FROM i WHERE len(i) <= 200 AND (len(i) = 0 OR i[1] <> 1)
+    UNION ALL SELECT doc_id, list_slice(i, 1, 32) FROM i WHERE len(i) <= 200 AND i[1] = 1""")
+def instruction_tokens(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select("doc_id", token_arrays.char_ids(F.col("text")).alias("i"))
+    return token_arrays.sft(token_arrays.fits(d, "i", "i", 200), "i", 32, start=1).select("doc_id", "input_ids")
+
+
+# traces, event time
+
+
+@query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS window_end, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def event_windows(spark, sf_dir):
+    w = jobs.windowed_counts(t(spark, sf_dir, "events"), "ts", "1 hour", None, None, "event_type")
+    return w.withColumn("total", F.round("total", 4))
+
+
+@query("""WITH s AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL '30 minutes' OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    g AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM s)
+    SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL '30 minutes' AS session_end, count(*) AS n FROM g GROUP BY user_id, g""")
+def event_sessions(spark, sf_dir):
+    return jobs.sessions(t(spark, sf_dir, "events"), "user_id")
