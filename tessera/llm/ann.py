@@ -12,7 +12,7 @@ visits and streams past the block's entries, so a task holds one block and one b
 The sample is bounded (`sample` vectors); every vector is indexed. In a sample neighbours are farther apart than in the
 whole, so its trial asks for more rather than less.
 
-Defined results: vectors that are null, zero, of another dimension than most of the sample, or hold null or non-finite
+Defined results: vectors that are null, zero, of another dimension than most of the sample (the larger on a tie), or hold null or non-finite
 components take no part, nor do null ids; rows that repeat count once; rows of one id with other vectors are entries of
 their own, but no query finds its own id; ties go to the smaller id; with fewer candidates than k all are returned; an
 empty table gives no rows; columns beyond the id and the vector are left alone.
@@ -130,7 +130,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str =
     if not picked:
         return spark.createDataFrame([], out)
     sizes = np.array([len(r.v) for r in picked])
-    width = int(np.bincount(sizes).argmax())
+    counts = np.bincount(sizes)
+    width = len(counts) - 1 - int(counts[::-1].argmax())  # the larger on a tie
     index, share = trained(np.array([r.v for r in picked if len(r.v) == width]), k, recall)
     classes = classes.where(F.size("v") == width)
 

@@ -2,8 +2,8 @@
 
 A page is a sequence of words and tags. Words score positive, less so under elements whose cues (tag, role, words of
 class and id) mark page furniture, and tags score negative; all weights come from labelled pages. One linear scan finds
-the contiguous region of largest score. The region grows to the element that holds it, if that is not the whole page
-and the region has most of its words; blocks in the region under furniture are left out.
+the contiguous region of largest score. The region grows to each element that holds it, the whole page left out, if it
+has half of the words there, or a quarter where cues mark an article; blocks in the region under furniture are left out.
 
 Text of a block: character references decoded, white space turned into one blank, trimmed; blocks in page order, joined
 by a newline. Inline tags do not part words, line breaks do.
@@ -193,10 +193,13 @@ class Page:
             while k < len(common) and k < len(h) and common[k] == h[k]:
                 k += 1
             del common[k:]
-        if common and self.names[common[-1]] not in WHOLE:
-            held = [b for b, h in enumerate(self.holders) if common[-1] in h]
+        for holder in reversed(common):
+            if self.names[holder] in WHOLE:
+                continue
+            held = [b for b, h in enumerate(self.holders) if holder in h]
             words = sum(self.sizes[b] for b in held if self.plain[b])
-            if sum(self.sizes[b] for b in range(first, last + 1) if self.plain[b]) >= LEAST_SHARE * words:
+            own = sum(self.sizes[b] for b in range(first, last + 1) if self.plain[b])
+            if own >= (LEAST_SHARE / 2 if self.weight[holder] >= 1 else LEAST_SHARE) * words:
                 first, last = min(first, held[0]), max(last, held[-1])
         return "\n".join(self.blocks[b] for b in range(first, last + 1) if self.plain[b])
 

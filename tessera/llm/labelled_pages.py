@@ -16,7 +16,7 @@ NAMES = {
     "comments": "comment comments replies respond disqus discussion".split(),
     "share": "share social sharing tags meta toolbar".split(),
 }
-ARTICLE = "article content main post story entry post-content entry-content article-body text body-text page".split()
+ARTICLE = "article content main post story entry post-content entry-content article-body text body-text".split()
 
 
 def _words(rng: random.Random, low: int, high: int) -> str:

@@ -131,16 +131,24 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
     Columns are those of docs. Where the end of a source's demand falls inside a document, the text ends there.
     """
-    carried = docs.select("*")
-    held = plan(carried, keep=[c for c in docs.columns if c != "doc_id"], **options)
-    passes = held.withColumn("__pass", F.explode(F.array(F.struct(F.col("pass1").alias("n"), F.col("position").alias("at")), F.struct(F.col("pass2").alias("n"), F.col("position2").alias("at"))))).where("__pass.n > 0")
-    whole = F.col("__pass.n") == F.col("size")
-    first_words = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("__pass.n").cast("string"), F.lit("}+"))
-    text = F.when(whole, F.col("text")).otherwise(F.regexp_substr("text", first_words))
-    out = passes.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.repartitionByRange(F.col("__pass.at"), F.col("doc_id")).sortWithinPartitions("__pass.at", "doc_id").select(*docs.columns)
+    # the row travels as one struct, so its names cannot clash with ours
+    carried = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("row"))
+    held = plan(carried, keep=["row"], **options)
+    passes = F.array(F.struct(F.col("pass1").alias("n"), F.col("position").alias("at")), F.struct(F.col("pass2").alias("n"), F.col("position2").alias("at")))
+    taken = held.withColumn("taken_as", F.explode(passes)).where("taken_as.n > 0")
+    whole = F.col("taken_as.n") == F.col("size")
+    first_words = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("taken_as.n").cast("string"), F.lit("}+"))
+    text = F.when(whole, F.col("row.text")).otherwise(F.regexp_substr("row.text", first_words))
+    taken = taken.withColumn("new_text", text).repartitionByRange(F.col("taken_as.at"), F.col("doc_id")).sortWithinPartitions("taken_as.at", "doc_id")
+
+    def column(c: str):
+        if c == "text":
+            return F.col("new_text").alias(c)
+        if c == "n_chars":
+            return F.when(whole, F.col("row.n_chars")).otherwise(F.length("new_text")).cast(docs.schema[c].dataType).alias(c)
+        return F.col("row")[c].alias(c)
+
+    return taken.select(*[column(c) for c in docs.columns])
 
 
 def op8_curriculum_mixing(spark, sf_dir: str) -> DataFrame:
