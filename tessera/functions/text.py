@@ -252,7 +252,7 @@ def insert_image_token(c: Column | str, token: str = "<image>", special: str = "
     """The token comes after the first line of a text that starts with a special token, else first; once only."""
     c = _col(c)
     line = F.substring_index(c, "\n", 1)
-    second = F.concat(line, F.lit("\n"), F.lit(token), F.substring(c, F.length(line) + 1, F.length(c)))
+    second = F.concat(line, F.lit("\n"), F.lit(token), F.substring(c, F.length(line) + 2, F.length(c)))
     opened = F.startswith(c, F.lit(special)) & F.contains(c, F.lit("\n"))
     return F.when(F.contains(c, F.lit(token)), c).when(opened, second).otherwise(F.concat(F.lit(token), c))
 
