@@ -118,7 +118,8 @@ class Page:
                 name = m["raw"].lower()
                 if not m["rawrest"].endswith("/") or name in ("script", "style"):
                     close = re.compile(rf"</{name}\b[^>]*>" + ("|(?=<body\\b)" if name == "head" else ""), re.I).search(html, at)
-                    at = close.end() if close else n
+                    # what does not end: code runs to the end of the page, of others only the tag goes
+                    at = close.end() if close else n if name in ("script", "style", "textarea") else at
                 if name != "button":
                     text.append(" ")
                 continue
