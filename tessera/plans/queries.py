@@ -173,18 +173,17 @@ def dedup_statistics(spark, sf_dir):
     return cleaning.dedup_statistics(t(spark, sf_dir, "documents"), "text", "source")
 
 
-TFIDF = """w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents WHERE length(text) < 2000),
-    tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents WHERE length(text) < 2000),
+TFIDF = """w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents),
     f AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
     r AS (SELECT doc_id, term, df, tf * (ln((1 + n) / (1.0::DOUBLE + df)) + 1) AS w FROM tf JOIN f USING (term), n),
     v AS (SELECT doc_id, term, df, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM r)"""
 
 
 @query(f"""WITH {TFIDF}, p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.weight * b.weight) AS s FROM v a JOIN v b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL)
-    SELECT doc_id FROM documents WHERE length(text) < 2000 AND doc_id NOT IN (SELECT b FROM p WHERE s > 0.8)""")
+    SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT b FROM p WHERE s > 0.8)""")
 def near_deduplication(spark, sf_dir):
-    docs = t(spark, sf_dir, "documents").where(F.length("text") < 2000)
-    return cleaning.near_dedup(docs, "doc_id").select("doc_id")
+    return cleaning.near_dedup(t(spark, sf_dir, "documents"), "doc_id").select("doc_id")
 
 
 @query("""SELECT count(*) AS n_rows, round(avg(length(text)), 6) AS mean_length, count(DISTINCT text) AS n_unique, count(*) FILTER (WHERE length(text) < 10) AS n_short,
@@ -629,10 +628,10 @@ def step_tokens(spark, sf_dir):
     return token_arrays.stepwise(b, [0], start=9)
 
 
-@query(f"""WITH i AS (SELECT doc_id, lang, {IDS} AS i FROM documents WHERE length(text) < 300), j AS (SELECT doc_id // 100 AS g, flatten(list(i ORDER BY doc_id)) AS a FROM i GROUP BY 1)
+@query(f"""WITH i AS (SELECT doc_id, lang, {IDS} AS i FROM documents), j AS (SELECT doc_id // 100 AS g, flatten(list(i ORDER BY doc_id)) AS a FROM i GROUP BY 1)
     SELECT g AS pack, pos::INTEGER AS piece, list_slice(a, pos * 64 + 1, pos * 64 + 64) AS input_ids FROM (SELECT g, a, unnest(range((len(a) - 1) // 64 + 1)) AS pos FROM j WHERE len(a) > 0)""")
 def packed_tokens(spark, sf_dir):
-    d = t(spark, sf_dir, "documents").where(F.length("text") < 300).select("doc_id", F.expr("doc_id div 100").alias("pack"), token_arrays.char_ids(F.col("text")).alias("i"))
+    d = t(spark, sf_dir, "documents").select("doc_id", F.expr("doc_id div 100").alias("pack"), token_arrays.char_ids(F.col("text")).alias("i"))
     return token_arrays.packed(d, "pack", "doc_id", "i", 64)
 
 
