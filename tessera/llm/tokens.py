@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 #: Texts with characters from here on are not split here.
 LIMIT = 0x250
+SIGNS = frozenset(".,;:!?)")
 
 
 def _chars(wanted) -> str:
@@ -37,7 +38,7 @@ def _byte_names() -> dict[int, str]:
 class Table(dict):
     """Keeps what `make` gives for a key; texts over LONG characters are not kept, and beyond MOST keys it starts anew."""
 
-    MOST, LONG = 500_000, 64
+    MOST, LONG = 800_000, 64
 
     def __init__(self, make):
         super().__init__()
@@ -56,7 +57,7 @@ class Ids(Table):
     """A word after one blank -> the ids of blank and word, as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
-        super().__init__(lambda word: self.joined(" " + word))
+        super().__init__(self.word)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model.tokenize
@@ -71,9 +72,17 @@ class Ids(Table):
         return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def piece(self, text: str) -> bytes:
-        named = "".join(map(self.names.__getitem__, text.encode()))
+        named = "\u0120" + text[1:] if text[1:].isascii() and text[1:].isalpha() and text[0] == " " else "".join(map(self.names.__getitem__, text.encode()))
         return b"".join([t.id.to_bytes(4, "little") for t in self.model(named)])
 
+    def word(self, word: str) -> bytes:
+        """Words of letters, and those with one sign behind, need no split."""
+        if word.isalpha():
+            return self.piece(" " + word)
+        if word[-1:] in SIGNS and word[:-1].isalpha():
+            return self[word[:-1]] + self.pieces[word[-1]]
+        return self.joined(" " + word)
+
     def joined(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
