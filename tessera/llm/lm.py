@@ -111,6 +111,22 @@ def _packed(counts: np.ndarray) -> bytes:
     return small + counts[counts >= 255].astype("<u8").tobytes()
 
 
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys: the first one, how many bytes each step takes, and the steps."""
+    steps = np.diff(keys)
+    wide = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
+    return keys[:1].astype("<u8").tobytes() + bytes([wide]) + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide]).tobytes()
+
+
+def _unpacked_keys(raw: bytes) -> np.ndarray:
+    wide = raw[8]
+    n = (len(raw) - 9) // wide
+    out = np.zeros((n + 1, 8), np.uint8)
+    out[0] = np.frombuffer(raw, np.uint8, 8)
+    out[1:, :wide] = np.frombuffer(raw, np.uint8, offset=9).reshape(n, wide)
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
+
+
 def _unpacked(raw: bytes, n: int) -> np.ndarray:
     counts = np.frombuffer(raw, np.uint8, n).astype(np.int64)
     if len(raw) > n:
@@ -123,7 +139,7 @@ def scored(docs: DataFrame, order: int = ORDER, buckets: int | None = None) -> D
     parts = shuffle_partitions(docs.sparkSession)
     buckets = buckets or parts
     all_words = docs.agg(F.sum(F.regexp_count("text", F.lit(WORDS.pattern)))).first()[0] or 0
-    dealt = _bucketed(docs, buckets).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    dealt = _bucketed(docs, buckets).repartition(parts, "bucket")
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
@@ -136,14 +152,14 @@ def scored(docs: DataFrame, order: int = ORDER, buckets: int | None = None) -> D
             for level in range(order):
                 keys, counts = _distinct(levels[level])
                 levels[level] = []
-                out = [(k, level, int(bucket), keys[a:z].tobytes(), _packed(counts[a:z])) for k, a, z in _spread(level, keys, parts)]
+                out = [(k, level, int(bucket), _packed_keys(keys[a:z]), _packed(counts[a:z])) for k, a, z in _spread(level, keys, parts)]
                 if out:
                     yield _batch(out)
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The count table of one target partition and level, joined back to what each bucket sent."""
         for _, rows in _grouped(batches, "slot"):
-            sent = [(b.column("target")[i].as_py(), b.column("level")[i].as_py(), b.column("bucket")[i].as_py(), np.frombuffer(b.column("keys")[i].as_py(), np.uint64), b.column("counts")[i].as_py()) for b in rows for i in range(b.num_rows)]
+            sent = [(b.column("target")[i].as_py(), b.column("level")[i].as_py(), b.column("bucket")[i].as_py(), _unpacked_keys(b.column("keys")[i].as_py()), b.column("counts")[i].as_py()) for b in rows for i in range(b.num_rows)]
             keys = np.concatenate([s[3] for s in sent])
             counts = np.concatenate([_unpacked(s[4], len(s[3])) for s in sent])
             table_, where = np.unique(keys, return_inverse=True)
@@ -154,39 +170,27 @@ def scored(docs: DataFrame, order: int = ORDER, buckets: int | None = None) -> D
                 yield _batch([(target, level, bucket, b"", _packed(totals[where[at : at + len(own)]]))])
                 at += len(own)
 
-    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums per document. In a bucket its counts come first, by level and target, then its documents."""
+    def looked_up(texts: pa.Table, counted: pa.Table) -> pa.Table:
+        """Sums per document of one bucket, with the counts that came back to it."""
         known = Words()
-        for _, rows in _grouped(batches, "bucket"):
-            totals: list[list[bytes]] = [[] for _ in range(order)]
-            texts, names = [], []
-            for b in rows:
-                for level, raw, text, name in zip(*(b.column(c).to_pylist() for c in ("level", "counts", "text", "doc_id")), strict=True):
-                    if level >= 0:
-                        totals[level].append(raw)
-                    else:
-                        texts.append(text)
-                        names.append(name)
-            grams = [ngram_keys(word_hashes(t, known), order) for t in texts]
-            tables = []
-            for level in range(order):
-                keys, _ = _distinct([g[level] for g in grams])
-                sizes = [z - a for _, a, z in _spread(level, keys, parts)]
-                counts = [_unpacked(raw, n) for raw, n in zip(totals[level], sizes, strict=True)]
-                tables.append((keys, np.concatenate(counts) if counts else np.zeros(0, np.int64)))
-            out = [(name, *_score(g, tables, all_words)) for name, g in zip(names, grams, strict=True)]
-            if out:
-                columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["doc_id", "n_words", "score"])
+        grams = [ngram_keys(word_hashes(t, known), order) for t in texts.column("text").to_pylist()]
+        totals: list[dict[int, bytes]] = [{} for _ in range(order)]
+        for level, target, raw in zip(*(counted.column(c).to_pylist() for c in ("level", "target", "counts")), strict=True):
+            totals[level][target] = raw
+        tables = []
+        for level in range(order):
+            keys, _ = _distinct([g[level] for g in grams])
+            counts = [_unpacked(totals[level][k], z - a) for k, a, z in _spread(level, keys, parts)]
+            tables.append((keys, np.concatenate(counts) if counts else np.zeros(0, np.int64)))
+        found = [_score(g, tables, all_words) for g in grams]
+        return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array([n for n, _ in found], pa.int64()), "score": pa.array([s for _, s in found], pa.float64())})
 
     shape = "slot int, target int, level int, bucket int, keys binary, counts binary"
-    sent = dealt.mapInArrow(exploded, shape)
+    sent = dealt.sortWithinPartitions("bucket").mapInArrow(exploded, shape)
     back = sent.repartition(parts, "slot").sortWithinPartitions("slot").mapInArrow(added, shape)
-    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("counts", "binary"), ("text", "string"), ("doc_id", "long"))]
-    tables = back.select("bucket", "level", "target", "counts", nothing[1], nothing[2])
-    texts = _bucketed(docs, buckets).select("bucket", F.lit(-1).alias("level"), F.lit(0).alias("target"), nothing[0], "text", "doc_id")
-    met = tables.union(texts).repartition(parts, "bucket").sortWithinPartitions("bucket", "level", "target")
-    return met.mapInArrow(looked_up, "doc_id long, n_words long, score double").withColumn("perplexity", F.exp(-F.col("score")))
+    # the documents' shuffle serves both passes
+    met = dealt.groupBy("bucket").cogroup(back.select("bucket", "level", "target", "counts").groupBy("bucket"))
+    return met.applyInArrow(looked_up, "doc_id long, n_words long, score double").withColumn("perplexity", F.exp(-F.col("score")))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
