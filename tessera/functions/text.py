@@ -279,3 +279,8 @@ def judgement(c: Column | str) -> Column:
     parsed = F.from_json(_col(c), "accuracy struct<analysis:string,score:int>, style struct<analysis:string,score:int>")
     whole = parsed["accuracy"]["score"].isNotNull() & parsed["style"]["score"].isNotNull()
     return F.struct(F.when(whole, parsed["accuracy"]["score"]).alias("accuracy"), F.when(whole, parsed["style"]["score"]).alias("style"))
+
+
+def image_tag(image: Column | str, longest: int = 100) -> Column:
+    """The beginning of an image's base64 text in a tag."""
+    return F.concat(F.lit("<image>"), F.substring(F.base64(_col(image)), 1, longest), F.lit("</image>"))

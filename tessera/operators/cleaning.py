@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+def held(df: DataFrame) -> DataFrame:
+    """A table that is used several times: in the checkpoint folder where there is one, else in memory and on disk."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def length_between(df: DataFrame, low: int, high: int, column: str = "text", inclusive: bool = True) -> DataFrame:
     n = F.length(column)
     return df.where((n >= low) & (n <= high) if inclusive else (n > low) & (n < high))
@@ -76,7 +81,7 @@ def near_pairs(df: DataFrame, key: str, column: str = "text", threshold: float =
     a term among those before the squared weights left fall to t * t. Only prefix terms are joined, so common terms make
     no pairs; pairs are then scored over all their terms.
     """
-    weights = tfidf(df, key, column, stop)
+    weights = held(tfidf(df, key, column, stop))
     frequency = weights.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     ranked = weights.join(frequency, "term")
     after = Window.partitionBy(key).orderBy(F.col("df").desc(), F.col("term").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cleaning import held
+
 
 def hashed(key: str, seed: int) -> Column:
     """A hash of key and seed that other engines have too."""
@@ -28,11 +30,11 @@ def numbered(df: DataFrame, *order: str, name: str = "position") -> DataFrame:
     Rows are range-partitioned and sorted; each partition numbers its own and adds the counts of those before it.
     """
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    held = dealt.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else dealt.persist()
-    counts = held.groupBy("__p").agg(F.count(F.lit(1)).alias("n"), F.min("__i").alias("first"))
+    kept = held(dealt)
+    counts = kept.groupBy("__p").agg(F.count(F.lit(1)).alias("n"), F.min("__i").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select(F.col("__p").alias("q"), "first", before.alias("before"))
-    return held.join(F.broadcast(offsets), F.col("__p") == F.col("q")).withColumn(name, F.col("__i") - F.col("first") + F.col("before")).select(*df.columns, name)
+    return kept.join(F.broadcast(offsets), F.col("__p") == F.col("q")).withColumn(name, F.col("__i") - F.col("first") + F.col("before")).select(*df.columns, name)
 
 
 def slice_rows(df: DataFrame, order_by: str, start: int, stop: int) -> DataFrame:

@@ -228,3 +228,34 @@ def sitemap_urls(maps: DataFrame, xml: str = "xml") -> DataFrame:
     """Every <loc> text of sitemaps, trimmed."""
     found = F.xpath(F.col(xml), F.lit("//*[local-name()='loc']/text()"))
     return maps.select(F.explode(found).alias("url")).select(F.trim("url").alias("url"))
+
+
+#: Hosts of social networks that a crawl can leave out.
+SOCIAL = ("facebook.com", "twitter.com", "x.com", "linkedin.com", "instagram.com", "pinterest.com", "tiktok.com", "youtube.com")
+
+
+def kept_links(found: DataFrame, external: bool = False, social: bool = False) -> DataFrame:
+    """Links from `links`, without external ones and those to social networks unless they are asked for."""
+    out = found if external else found.where("internal")
+    h = F.regexp_replace(host(F.col("target")), "^www[.]", "")
+    return out if social else out.where(h.isNull() | ~h.isin(list(SOCIAL)))
+
+
+def of_content_type(df: DataFrame, column: str = "content_type", wanted: str = "text/html") -> DataFrame:
+    """Rows of a content type, whatever its parameters."""
+    return df.where(F.lower(F.trim(F.substring_index(column, ";", 1))) == wanted)
+
+
+def adaptive_crawl(edges: DataFrame, start: DataFrame, terms: DataFrame, wanted: list[str], top: int = 3, confidence: float = 0.7, gain: float = 0.05, most: int = 20) -> DataFrame:
+    """(url, depth) by rounds that follow each page's best links until the pages found cover the wanted terms.
+
+    edges: source, target, score; terms: url, term. A round ends the crawl when the share of wanted terms that its pages
+    have reaches the confidence, grows by less than the gain, or `most` pages are reached. Only counts come to the driver.
+    """
+    seen, depth, before = start.select("url", F.lit(0).alias("depth")), 0, 0.0
+    while True:
+        covered = seen.join(terms.where(F.col("term").isin(wanted)), "url").agg(F.count_distinct("term")).first()[0] / max(1, len(wanted))
+        if covered >= confidence or depth and covered - before < gain or seen.count() >= most:
+            return seen.orderBy("depth", "url").limit(most)
+        before, depth = covered, depth + 1
+        seen = crawl_frontier(edges, start, depth, top, "score")

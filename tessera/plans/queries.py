@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
@@ -656,3 +656,112 @@ def event_windows(spark, sf_dir):
     SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL '30 minutes' AS session_end, count(*) AS n FROM g GROUP BY user_id, g""")
 def event_sessions(spark, sf_dir):
     return jobs.sessions(t(spark, sf_dir, "events"), "user_id")
+
+
+# further operators
+
+
+@query("""WITH m AS (SELECT event_id, 0.1::DOUBLE * (value - 20) AS b, value - 20 AS m FROM events)
+    SELECT event_id, round(ln(1 + exp(-b)), 9) AS sigmoid, round(greatest(0, 1 - b), 9) AS hinge, round((m - 5) * (m - 5), 6) AS ipo FROM m""")
+def preference_losses(spark, sf_dir):
+    m = F.col("value") - 20
+    return t(spark, sf_dir, "events").select("event_id", F.round(S.sigmoid_loss(m), 9).alias("sigmoid"), F.round(S.hinge_loss(m), 9).alias("hinge"), F.round(S.ipo_loss(m), 6).alias("ipo"))
+
+
+@query("""WITH p AS (SELECT event_id, (event_id % 10) / 10.0::DOUBLE AS p FROM events) SELECT event_id, round(greatest(0.5::DOUBLE, least(2.0::DOUBLE, p / (1 - p + 1e-8))), 9) AS weight FROM p""")
+def density_weights(spark, sf_dir):
+    return t(spark, sf_dir, "events").select("event_id", F.round(S.density_weight((F.col("event_id") % 10) / 10.0, 0.5, 2.0), 9).alias("weight"))
+
+
+@query("""SELECT event_id, [round(-0.5::DOUBLE * value, 9), round(-0.5::DOUBLE + user_id, 9)] AS shaped FROM events""")
+def shaped_rewards(spark, sf_dir):
+    out = rewards.shaped(F.array(F.col("value"), F.lit(1.0)), F.col("user_id").cast("double"), 0.5)
+    return t(spark, sf_dir, "events").select("event_id", F.transform(out, lambda x: F.round(x, 9)).alias("shaped"))
+
+
+@query("""SELECT event_id, round(coalesce(value * 0.5, 0) + CASE WHEN event_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0 END, 9) AS total FROM events""")
+def total_rewards(spark, sf_dir):
+    e = t(spark, sf_dir, "events").select("event_id", "value", F.when(F.col("event_id") % 2 == 0, 1.0).otherwise(float("nan")).alias("bonus"))
+    return e.select("event_id", F.round(rewards.total_reward(["value", "bonus"], [0.5, 1.0]), 9).alias("total"))
+
+
+@query(f"""SELECT page_id, length(html) AS html_length, length(url) AS content_length, len({HREFS}) AS n_links, 0 AS n_images FROM pages""")
+def page_metadata(spark, sf_dir):
+    from ..sources import writers
+
+    return writers.metadata_counts(t(spark, sf_dir, "pages"), "html", "url").select("page_id", "html_length", "content_length", "n_links", "n_images")
+
+
+@query(f"""WITH l AS (SELECT page_id, unnest(range(len({HREFS})))::INTEGER AS pos, unnest({HREFS}) AS href FROM pages) SELECT page_id, count(*) AS n FROM l GROUP BY page_id""")
+def internal_links(spark, sf_dir):
+    return web.kept_links(web.links(t(spark, sf_dir, "pages"))).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT DISTINCT 'http://s/' || item_id AS url FROM benchmark""")
+def sitemap_addresses(spark, sf_dir):
+    maps = t(spark, sf_dir, "benchmark").select(F.concat(F.lit("<urlset xmlns='x'><url><loc> http://s/"), "item_id", F.lit(" </loc></url></urlset>")).alias("xml"))
+    return web.seed_urls(web.sitemap_urls(maps), pattern="http://s/*")
+
+
+@query("""SELECT item_id AS query, text AS context FROM benchmark""")
+def retrieval_context(spark, sf_dir):
+    b = t(spark, sf_dir, "benchmark")
+    return retrieval.context(retrieval.jaccard_top(b, b, "item_id", "item_id", 1), b, "item_id")
+
+
+@query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS user_turn FROM conversations""")
+def filled_forward_turns(spark, sf_dir):
+    c = t(spark, sf_dir, "conversations").withColumn("u", F.when(F.col("role") == "user", F.col("turn")))
+    return reports.filled_forward(c, "conv_id", "turn", "u", "user_turn").select("conv_id", "turn", "user_turn")
+
+
+@query("""SELECT conv_id, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id""")
+def last_turns(spark, sf_dir):
+    return reports.last_per(t(spark, sf_dir, "conversations"), "conv_id", "text", "turn")
+
+
+@query("""WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents), d AS (SELECT unnest(range(512)) AS draw)
+    SELECT draw, doc_id FROM d JOIN n ON n.n = ('0x' || substring(md5(CAST(draw AS VARCHAR) || ':42'), 1, 12))::BIGINT % (SELECT count(*) FROM documents)""")
+def draws_with_replacement(spark, sf_dir):
+    return sampling.draw_with_replacement(t(spark, sf_dir, "documents").select("doc_id"), "doc_id", 512).select("draw", "doc_id")
+
+
+@query("""SELECT a.position, a.item_id, b.doc_id FROM (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS position FROM benchmark) a JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents) b USING (position)""")
+def zipped_rows(spark, sf_dir):
+    return evaluation.zipped(t(spark, sf_dir, "benchmark").select("item_id"), t(spark, sf_dir, "documents").select("doc_id"), "item_id", "doc_id")
+
+
+@query("""SELECT doc_id, CASE WHEN lang = source THEN lang ELSE lang || chr(10) || source END AS answer, coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN '' END, ''), 'none') AS note FROM documents""")
+def composed_answers(spark, sf_dir):
+    d = t(spark, sf_dir, "documents")
+    return d.select("doc_id", cleaning.compose_answer(F.col("lang"), F.col("source")).alias("answer"), cleaning.or_default(F.when(F.col("doc_id") % 2 == 0, ""), "none").alias("note"))
+
+
+@query("""WITH s AS (SELECT event_type AS experiment, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS metric, value FROM events) SELECT experiment, metric, round(avg(value), 6) AS mean_score, count(value) AS n_items FROM s GROUP BY ALL""")
+def experiment_scores(spark, sf_dir):
+    from . import traces
+
+    items = t(spark, sf_dir, "events").select(F.col("event_type").alias("experiment"), F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("metric"), F.col("value").alias("score"))
+    return traces.experiment_scores(items).withColumn("mean_score", F.round("mean_score", 6))
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS trace_id, NULL::VARCHAR AS thread_id, arg_min(event_type, (ts, event_id)) AS name, count(*) AS n_spans, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0::DOUBLE, 6) AS seconds FROM events GROUP BY user_id""")
+def trace_summaries(spark, sf_dir):
+    from . import traces
+
+    e = t(spark, sf_dir, "events")
+    spans = e.select(F.col("user_id").cast("string").alias("trace_id"), F.lit(None).cast("string").alias("thread_id"), F.lit(None).cast("string").alias("parent_id"), F.col("event_type").alias("name"), F.col("ts").cast("timestamp").alias("started"), F.col("ts").cast("timestamp").alias("ended"))
+    return traces.trace_summary(spans).withColumn("seconds", F.round("seconds", 6))
+
+
+@query("""WITH s AS (SELECT event_type AS metric, avg(value) AS m FROM events GROUP BY 1) SELECT round(sum(m * CASE metric WHEN 'click' THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END), 6) AS weighted_score FROM s WHERE metric IN ('click', 'view')""")
+def weighted_means(spark, sf_dir):
+    s = evaluation.metric_summary(t(spark, sf_dir, "events").select(F.col("event_type").alias("metric"), F.col("value").alias("score")))
+    return evaluation.weighted_score(s, weights={"click": 0.5, "view": 0.25}).withColumn("weighted_score", F.round("weighted_score", 6))
+
+
+@query("""SELECT '[' || string_agg('{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}', ',' ORDER BY r_regionkey) || ']' AS json FROM region""")
+def region_json(spark, sf_dir):
+    from ..sources import writers
+
+    return writers.json_array(t(spark, sf_dir, "region").select("r_regionkey", "r_name"), "r_regionkey")

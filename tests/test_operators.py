@@ -145,3 +145,28 @@ def test_reports_and_evaluation(spark):
     summary = evaluation.metric_summary(evaluation.long_metrics(evaluation.scored(cases), ["id"]))
     assert {r.metric: r["mean"] for r in summary.collect()}["exact_match"] == 0.5
     assert evaluation.weighted_score(summary).first().weighted_score == pytest.approx(0.4 * 0.5 + 0.2 * 1.0 + 0.1 * 0.5)
+
+
+def test_crawls_and_links(spark):
+    edges = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.1), ("b", "d", 0.5), ("d", "a", 1.0)], "source string, target string, score double")
+    start = spark.createDataFrame([("a",)], "url string")
+    assert {(r.url, r.depth) for r in web.crawl_frontier(edges, start, 3, 1, "score").collect()} == {("a", 0), ("b", 1), ("d", 2)}
+    terms = spark.createDataFrame([("a", "x"), ("b", "y"), ("d", "z")], "url string, term string")
+    assert [r.url for r in web.adaptive_crawl(edges, start, terms, ["x", "y"], 1).collect()] == ["a", "b"]
+    found = spark.createDataFrame([(1, "https://www.x.com/a", False), (1, "https://o.org", False), (1, "https://s/a", True)], "page_id int, target string, internal boolean")
+    assert web.kept_links(found).count() == 1 and web.kept_links(found, external=True).count() == 2 and web.kept_links(found, True, True).count() == 3
+    kinds = spark.createDataFrame([("text/HTML; charset=x",), ("image/png",), (None,)], "content_type string")
+    assert web.of_content_type(kinds).count() == 1
+    urls, results = spark.createDataFrame([("u",), ("v",)], "url string"), spark.createDataFrame([("u", True, None)], "url string, success boolean, error string")
+    assert {(r.url, r.success, r.error) for r in web.with_failures(urls, results).collect()} == {("u", True, None), ("v", False, "no result")}
+
+
+def test_losses_and_balance(spark):
+    from tessera.functions import scores as S
+
+    r = spark.range(1).select(S.sigmoid_loss(F.lit(0.0)).alias("s"), S.hinge_loss(F.lit(5.0)).alias("h"), S.ipo_loss(F.lit(5.0)).alias("i"), S.density_weight(F.lit(0.5), 0.2, 0.8).alias("w")).first()
+    assert r.s == pytest.approx(math.log(2)) and r.h == 0.5 and r.i == 0 and r.w == 0.8
+    df = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "c")], "b int, o int, completion string")
+    assert [r.kl_completion for r in rewards.mismatched(df, "b", "o").orderBy("o").collect()] == ["c", "a", "b"]
+    empty = spark.createDataFrame([], "label boolean")
+    assert rewards.label_balance(empty).first().n_desirable == 1
