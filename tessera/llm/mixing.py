@@ -139,13 +139,14 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     whole = F.col("taken_as.n") == F.col("size")
     first_words = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("taken_as.n").cast("string"), F.lit("}+"))
     text = F.when(whole, F.col("row.text")).otherwise(F.regexp_substr("row.text", first_words))
-    taken = taken.withColumn("new_text", text).repartitionByRange(F.col("taken_as.at"), F.col("doc_id")).sortWithinPartitions("taken_as.at", "doc_id")
+    # the text is cut behind the shuffle, which carries it once
+    taken = taken.repartitionByRange(F.col("taken_as.at"), F.col("doc_id")).sortWithinPartitions("taken_as.at", "doc_id")
 
     def column(c: str):
         if c == "text":
-            return F.col("new_text").alias(c)
+            return text.alias(c)
         if c == "n_chars":
-            return F.when(whole, F.col("row.n_chars")).otherwise(F.length("new_text")).cast(docs.schema[c].dataType).alias(c)
+            return F.when(whole, F.col("row.n_chars")).otherwise(F.length(text)).cast(docs.schema[c].dataType).alias(c)
         return F.col("row")[c].alias(c)
 
     return taken.select(*[column(c) for c in docs.columns])
