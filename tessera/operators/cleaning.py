@@ -79,16 +79,28 @@ def near_pairs(df: DataFrame, key: str, column: str = "text", threshold: float =
 
     Candidates come from prefixes: with terms ordered from rare to common, two unit vectors whose cosine exceeds t share
     a term among those before the squared weights left fall to t * t. Only prefix terms are joined, so common terms make
-    no pairs; pairs are then scored over all their terms.
+    no pairs. A pair goes on if what it shares in classes of frequency (powers of two) that both prefixes hold whole,
+    and the most that the other classes' weights can add, pass the threshold; those left are scored over all terms.
     """
     weights = held(tfidf(df, key, column, stop))
     frequency = weights.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    ranked = weights.join(frequency, "term")
+    square = F.col("weight") * F.col("weight")
     after = Window.partitionBy(key).orderBy(F.col("df").desc(), F.col("term").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    prefix = ranked.withColumn("left", F.sum(F.col("weight") * F.col("weight")).over(after)).where(F.col("left") >= threshold * threshold - 1e-9).where("df > 1")
-    a = prefix.select(F.col(key).alias("a"), "term")
-    b = prefix.select(F.col(key).alias("b"), "term")
-    pairs = a.join(b, "term").where("a < b").select("a", "b").distinct()
+    level = F.floor(F.log2("df")).cast("int").alias("level")
+    ranked = weights.join(frequency, "term").select(key, "term", "weight", "df", level, F.sum(square).over(after).alias("left"))
+    inside = F.col("left") >= threshold * threshold - 1e-9
+    # of each text: the first class that its prefix does not hold whole, and the squared weight of each class
+    own = ranked.groupBy(key, "level").agg(F.sum(square).alias("mass"), F.min(inside.cast("int")).alias("whole"))
+    texts = held(own.groupBy(key).agg(F.coalesce(F.min(F.when(F.col("whole") == 0, F.col("level"))), F.lit(64)).alias("cut"), F.map_from_entries(F.collect_list(F.struct("level", "mass"))).alias("mass")))
+    prefix = ranked.where(inside).where("df > 1")
+    left = prefix.select(F.col(key).alias("a"), "term", "level", F.col("weight").alias("wa"))
+    right = prefix.select(F.col(key).alias("b"), "term", F.col("weight").alias("wb"))
+    shared = left.join(right, "term").where("a < b").groupBy("a", "b", "level").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
+    shared = shared.groupBy("a", "b").agg(F.collect_list(F.struct("level", "dot")).alias("dots"))
+    side = lambda k: texts.select(F.col(key).alias(k), F.col("cut").alias(f"cut_{k}"), F.col("mass").alias(f"mass_{k}"))
+    rest = lambda k: f"aggregate(filter(map_entries(mass_{k}), e -> e.key >= least(cut_a, cut_b)), 0D, (s, e) -> s + e.value)"
+    most = F.expr(f"aggregate(filter(dots, d -> d.level < least(cut_a, cut_b)), 0D, (s, d) -> s + d.dot) + sqrt({rest('a')} * {rest('b')})")
+    pairs = shared.join(side("a"), "a").join(side("b"), "b").where(most > threshold - 1e-9).select("a", "b")
     wa = weights.select(F.col(key).alias("a"), "term", F.col("weight").alias("wa"))
     wb = weights.select(F.col(key).alias("b"), "term", F.col("weight").alias("wb"))
     scored = pairs.join(wa, "a").join(wb, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity"))
