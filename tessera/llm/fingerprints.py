@@ -22,9 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import shuffle_partitions, table, text_or_empty
 
@@ -116,25 +118,40 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     parts = parts or 2 * shuffle_partitions(docs.sparkSession)
-    cuts = slim.select("doc_id").where("doc_id IS NOT NULL").agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts), reverse=True)[: parts - 1] if parts > 1 else []
-    # part k holds ids in (cuts[k], cuts[k - 1]]; null ids come last
-    part = F.lit(len(cuts))
-    for k in range(len(cuts) - 1, -1, -1):
-        part = F.when(F.col("doc_id") > cuts[k], k).otherwise(part)
-    ranked = slim.withColumn("part", F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(part) if cuts else F.lit(0))
-    # the first row of each part: its largest id, and of that the least text's hash
-    order = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), (-(F.xxhash64("text") / 2)).alias("h"))
-    heads = ranked.groupBy("part").agg(F.max(order).alias("o")).orderBy("part").collect()
-    ranked = ranked.withColumn("h", -(F.xxhash64("text") / 2))
-    copies = [F.struct("part", F.lit(False).alias("guest"))]
-    goes = F.lit(None).cast("int")
-    for k, head in enumerate(heads):
-        to = heads[k - 1].part
-        same = F.col("doc_id").eqNullSafe(F.lit(head.o.id if head.o.known else None).cast("long")) & (F.col("h") == head.o.h) & (F.col("part") == head.part)
-        goes = F.when(same, F.lit(to)).otherwise(goes)
-    both = F.when(goes.isNull(), F.array(*copies)).otherwise(F.array(*copies, F.struct(goes.alias("part"), F.lit(True).alias("guest"))))
-    dealt = ranked.select("doc_id", "text", "h", F.explode(both).alias("c")).select("c.part", "doc_id", "text", "h", "c.guest")
+    found = slim.select("doc_id").where("doc_id IS NOT NULL").agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
+    cuts = np.array(sorted(set(found)) if parts > 1 else [], np.int64)
+
+    def part_of(ids: pa.Array) -> np.ndarray:
+        """How many cuts are not below an id; null ids come last."""
+        known = len(cuts) - np.searchsorted(cuts, ids.fill_null(0).to_numpy(zero_copy_only=False))
+        return np.where(ids.is_null().to_numpy(zero_copy_only=False), len(cuts), known)
+
+    @F.arrow_udf(LongType())
+    def part(ids: pa.Array) -> pa.Array:
+        return pa.array(part_of(ids), pa.int64())
+
+    # the first row of each part: its largest id, and of that the text of least hash
+    hashed = slim.withColumn("h", -(F.xxhash64("text") / 2))
+    order = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h")
+    heads = hashed.groupBy(part("doc_id").alias("part")).agg(F.max(order).alias("o")).orderBy("part").collect()
+    at = np.zeros(len(cuts) + 1, np.int64)
+    at[[r.part for r in heads]] = range(len(heads))
+    first = [(r.o.id if r.o.known else None, r.o.h) for r in heads]
+    before = [heads[k - 1].part for k in range(len(heads))]  # the part that is followed by this one; the last by the first
+
+    @F.arrow_udf(LongType())
+    def guest_of(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        """The part that a first row visits as a guest; null for other rows."""
+        where = at[part_of(ids)]
+        heads_at = pa.array(where)
+        own, h = (pa.array(c, t).take(heads_at) for c, t in zip(zip(*first, strict=True), (pa.int64(), pa.float64()), strict=True))
+        same = pc.and_(pc.equal(h, hashes), pc.or_(pc.and_(ids.is_null(), own.is_null()), pc.equal(ids, own).fill_null(False)))
+        return pc.if_else(same, pa.array(before, pa.int64()).take(heads_at), pa.scalar(None, pa.int64()))
+
+    placed = hashed.withColumn("part", part("doc_id")).withColumn("goes", guest_of("doc_id", "h"))
+    own = F.struct("part", F.lit(False).alias("guest"))
+    both = F.when(F.col("goes").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("goes").alias("part"), F.lit(True).alias("guest"))))
+    dealt = placed.select("doc_id", "text", "h", F.explode(both).alias("c")).select("c.part", "doc_id", "text", "h", "c.guest")
     return dealt.repartition(max(1, len(heads)), "part").sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), F.col("h").desc(), "text").drop("h")
 
 
