@@ -15,6 +15,9 @@ Only fingerprints that are distinct enter the index. Each task gives the links o
 member), which keep the components; those are joined by hash-to-min rounds with checkpoints, in which a row travels for
 each node and star only.
 
+`near_copies` is for a given Jaccard similarity, of which bits apart are too rough a measure: pairs at 0.8 differ in some
+ten bits. It takes candidates from MinHash bands and confirms each on the texts.
+
 Defined results: null text counts as empty; no words give fingerprint zero, linked like any other; fewer words than a
 shingle make one shingle of all words; rows that repeat get one component; a null doc_id gets the component of its
 group, and null if no other id is in it; an empty table gives no rows; columns beyond doc_id and text are left alone.
@@ -42,6 +45,12 @@ NODE_ROWS = 4096
 FANOUT = 8
 #: Pairs of a query and a node that a search holds at once.
 FRONT = 1 << 21
+#: Bands of a MinHash and hash functions in each; multipliers are odd.
+BANDS, BAND_ROWS = 32, 4
+MULTIPLY, ADD = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64)
+MULTIPLY |= np.uint64(1)
+#: Rows of one group of candidates that go to one task.
+GROUP_ROWS = 500
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -249,9 +258,102 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks:
     return prints.join(of, prints.fp == of.f).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their component, one row for each such id."""
-    found = cut(near_duplicates(docs, **options))
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of the set's MinHash: the least values of the band's hash functions, and the band's number."""
+    least = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
+    for at in range(0, len(hashes), 512):
+        np.minimum(least, (hashes[at : at + 512, None] * MULTIPLY + ADD).min(0), out=least)
+    rows = least.astype("<u8").reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(rows[k].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64)
+
+
+def with_sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, text_hash, id (of the set of shingles), n (its size), keys (of its bands; none if it is empty)."""
+
+    def batch(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids, sizes, keys = [], [], []
+        for text in b.column("text"):
+            hashes = np.unique(shingle_hashes(text.as_py() or "", shingle))
+            ids.append(xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), 42))
+            sizes.append(len(hashes))
+            keys.append(band_keys(hashes) if len(hashes) else None)
+        columns = [b.column("doc_id"), b.column("text_hash"), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "id", "n", "keys"])
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return map_arrow(slim, batch, "doc_id long, text_hash long, id long, n int, keys array<long>")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of set ids whose texts have a Jaccard similarity of `similarity` or more."""
+
+    def batch(r: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        held, of, keep = None, None, []
+        for x, y in zip(r.column("x"), r.column("y"), strict=True):
+            x, y = x.as_py(), y.as_py()
+            if x != held:
+                held, of = x, np.unique(shingle_hashes(x, shingle))
+            other = np.unique(shingle_hashes(y, shingle))
+            both = len(np.intersect1d(of, other, assume_unique=True))
+            keep.append(both / (len(of) + len(other) - both) >= similarity)
+        yield pa.RecordBatch.from_arrays([r.column("a"), r.column("b")], ["a", "b"]).filter(pa.array(keep))
+
+    ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
+    wanted = firsts.join(ids, "id").select("id", F.col("text_hash").alias("h"))
+    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = cut(wanted.join(texts, F.col("h") == F.col("text_hash")).select("id", "text").dropDuplicates(["id"]))
+    # a member of many pairs is dealt to several tasks
+    often = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("parts"))
+    left = often.join(texts, often.a == texts.id).select(F.col("a").alias("l"), F.col("text").alias("x"), F.col("parts"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = pairs.join(often, "a").select("a", "b", F.pmod(F.hash("b"), "parts").alias("p"))
+    right = dealt.join(texts, dealt.b == texts.id).select("a", "b", "p", F.col("text").alias("y"))
+    return map_arrow(right.join(left, (F.col("a") == F.col("l")) & (F.col("p") == F.col("part"))).select("a", "b", "x", "y"), batch, "a long, b long")
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, text_hash, component_id: components of texts whose sets of shingles have a Jaccard similarity of `similarity` or more.
+
+    Sets that share a band of their MinHash are candidates: at 32 bands of 4 a pair at 0.8 shares none once in 20 million
+    times. A link is the exact similarity. A band's members are compared with one of them in two rounds, and then, where
+    that leaves several components, all with all across those. Components are of distinct sets, and equal sets are one.
+    """
+    prints = cut(with_sketches(docs, shingle))
+    firsts = cut(prints.groupBy("id").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    cells = firsts.select(F.explode("keys").alias("key"), "id", "n")
+    shared = cells.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    members = cut(cells.join(shared, "key").select("key", "id", "n"))
+    alike = F.least("n", "m") / F.greatest("n", "m") >= similarity
+    edges = roots = None
+    for turn in range(3):
+        state = members.withColumn("root", F.col("id"))
+        if roots is not None:
+            state = members.join(roots, members.id == roots.node, "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+        open_keys = state.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", F.col("n").alias("m"), "root")).alias("head"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        if turn < 2:
+            both = state.join(open_keys.select("key", F.col("head.id").alias("a"), F.col("head.m").alias("m"), F.col("head.root").alias("other")), "key")
+            pairs = both.where((F.col("root") != F.col("other")) & alike).select("a", F.col("id").alias("b"))
+        else:
+            state = cut(state.join(open_keys.select("key", F.ceil(F.col("c") / GROUP_ROWS).cast("int").alias("parts")), "key"))
+            ones = state.select("key", F.pmod(F.hash("id"), "parts").alias("part"), F.col("id").alias("a"), F.col("n").alias("m"), F.col("root").alias("other"))
+            others = state.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "n", "root")
+            pairs = ones.join(others, ["key", "part"]).where((F.col("a") < F.col("id")) & (F.col("root") != F.col("other")) & alike).select("a", F.col("id").alias("b"))
+        pairs = cut(pairs.distinct())
+        if pairs.isEmpty():
+            break
+        found = confirmed(pairs, docs, firsts, shingle, similarity).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        edges = cut(found if edges is None else edges.union(found))
+        roots = components(edges)
+    classes = firsts.select("id", "first", F.col("id").alias("root"))
+    if roots is not None:
+        classes = cut(firsts.join(roots, firsts.id == roots.node, "left").select("id", "first", F.coalesce("root", "id").alias("root")))
+    least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
+    of = classes.join(least, "root").select(F.col("id").alias("i"), "component_id")
+    return prints.join(of, prints.id == of.i).select("doc_id", "text_hash", "component_id")
+
+
+def one_of_each(docs: DataFrame, method=near_duplicates, **options) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of their component, one row for each such id. method: gives the components."""
+    found = cut(method(docs, **options))
     copies = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("c_id")).distinct()
     again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("r_id"))
     stays = docs.join(copies, docs.doc_id.eqNullSafe(copies.c_id), "left_anti")

@@ -152,6 +152,31 @@ def test_simhash_components(spark):
     assert len({r.doc_id for r in kept}) == len(kept)
 
 
+def test_near_copies_are_those_of_exact_similarity(spark):
+    rng = random.Random(12)
+    rows = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([20, 80, 300]))]
+        rows.append(" ".join(words))
+        for share in (0.01, 0.015, 0.02, 0.025, 0.04, 0.08):
+            rows.append(" ".join(f"x{rng.randrange(10**6)}" if rng.random() < share else w for w in words))
+    rows += ["", None, "one", "one"]
+    sets = [set(zip(*[(t or "").split()[k:] for k in range(5)], strict=False)) or {tuple((t or "").split())} for t in rows]
+    label = list(range(len(rows)))
+    pairs = [(i, j) for j in range(len(rows)) for i in range(j) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    assert sum(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) < 0.9 for i, j in pairs) > 50
+    for _ in rows:
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+    docs = table(spark, [(k, t, "s") for k, t in enumerate(rows)])
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert [got[k] for k in range(len(rows))] == label
+    import corpus_pipeline
+
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()) == sorted(set(label))
+    assert simhash.near_copies(docs.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("node_rows", [4096, 20])
 def test_gray_index_loses_no_link(spark, node_rows):
     rng = np.random.default_rng(1)
