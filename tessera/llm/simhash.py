@@ -78,16 +78,23 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(sum(1 << b for b in np.flatnonzero(2 * counts > len(hashes)).tolist()))
 
 
+def text_hash():
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def slim_rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
+
+
 def with_fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+    """doc_id, text_hash and fp, the fingerprint as a signed long."""
 
     def batch(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = b.column("text")
         values = np.array([fingerprint(texts[i].as_py(), shingle) for i in range(len(texts))], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(values)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(values)], ["doc_id", "text_hash", "fp"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(slim, batch, "doc_id long, fp long")
+    return map_arrow(slim_rows(docs), batch, "doc_id long, text_hash long, fp long")
 
 
 def masks_of(bits: list[int], parts: int, agree: int = 1) -> list[int]:
@@ -247,15 +254,21 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     return labels
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks: int | None = None, node_rows: int = NODE_ROWS) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits), component_id: the smallest doc_id that links reach."""
+def linked_rows(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks: int | None = None, node_rows: int = NODE_ROWS) -> DataFrame:
+    """doc_id, text_hash, fp, root (the component) and component_id for each row."""
     prints = cut(with_fingerprints(docs, shingle))
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(firsts.select("fp"), radius, blocks, node_rows))
     classes = cut(firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = classes.join(least, "root").select(F.col("fp").alias("f"), "component_id")
-    return prints.join(of, prints.fp == of.f).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = classes.join(least, "root").select(F.col("fp").alias("f"), "root", "component_id")
+    return prints.join(of, prints.fp == of.f).select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks: int | None = None, node_rows: int = NODE_ROWS) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits), component_id: the smallest doc_id that links reach."""
+    rows = linked_rows(docs, shingle, radius, blocks, node_rows)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
@@ -280,8 +293,7 @@ def with_sketches(docs: DataFrame, shingle: int) -> DataFrame:
         columns = [b.column("doc_id"), b.column("text_hash"), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "id", "n", "keys"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return map_arrow(slim, batch, "doc_id long, text_hash long, id long, n int, keys array<long>")
+    return map_arrow(slim_rows(docs), batch, "doc_id long, text_hash long, id long, n int, keys array<long>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -300,7 +312,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int
 
     ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
     wanted = firsts.join(ids, "id").select("id", F.col("text_hash").alias("h"))
-    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(text_hash().alias("text_hash"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = cut(wanted.join(texts, F.col("h") == F.col("text_hash")).select("id", "text").dropDuplicates(["id"]))
     # a member of many pairs is dealt to several tasks
     often = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("parts"))
@@ -311,7 +323,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, text_hash, component_id: components of texts whose sets of shingles have a Jaccard similarity of `similarity` or more.
+    """doc_id, text_hash, root, component_id: components of texts whose sets of shingles have a Jaccard similarity of `similarity` or more.
 
     Sets that share a band of their MinHash are candidates: at 32 bands of 4 a pair at 0.8 shares none once in 20 million
     times. A link is the exact similarity. A band's members are compared with one of them in two rounds, and then, where
@@ -347,22 +359,28 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     if roots is not None:
         classes = cut(firsts.join(roots, firsts.id == roots.node, "left").select("id", "first", F.coalesce("root", "id").alias("root")))
     least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = classes.join(least, "root").select(F.col("id").alias("i"), "component_id")
-    return prints.join(of, prints.id == of.i).select("doc_id", "text_hash", "component_id")
+    of = classes.join(least, "root").select(F.col("id").alias("i"), "root", "component_id")
+    return prints.join(of, prints.id == of.i).select("doc_id", "text_hash", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, method=linked_rows, **options) -> DataFrame:
+    """One row of docs for each component: the one of the smallest doc_id (null last), then of the least hash of the text.
+
+    method: gives doc_id, text_hash and root for each row. Rows are judged by id and text, so a null or repeated id takes
+    no other text along; rows that repeat both are one.
+    """
+    rows = method(docs, **options).groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n")).alias("k")
+    chosen = cut(rows.groupBy("root").agg(least).select(F.col("k.doc_id").alias("c_id"), F.col("k.text_hash").alias("c_hash"), F.col("k.n").alias("c_n")))
 
+    def of(some: DataFrame) -> DataFrame:
+        return docs.join(some, docs.doc_id.cast("long").eqNullSafe(some.c_id) & (text_hash() == some.c_hash), "left_semi")
 
-def one_of_each(docs: DataFrame, method=near_duplicates, **options) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their component, one row for each such id. method: gives the components."""
-    found = cut(method(docs, **options))
-    copies = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("c_id")).distinct()
-    again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("r_id"))
-    stays = docs.join(copies, docs.doc_id.eqNullSafe(copies.c_id), "left_anti")
+    again = chosen.where("c_n > 1")
     if again.isEmpty():
-        return stays
-    single = stays.join(again, stays.doc_id.eqNullSafe(again.r_id), "left_anti")
-    # rows that repeat an id are one document
-    repeated = stays.join(again, stays.doc_id.eqNullSafe(again.r_id), "left_semi")
-    return single.union(repeated.dropDuplicates(["doc_id"]))
+        return of(chosen)
+    repeated = of(again).withColumn("__hash", text_hash()).dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+    return of(chosen.where("c_n = 1")).union(repeated)
 
 
 def op5_simhash_components(spark, sf_dir: str) -> DataFrame:

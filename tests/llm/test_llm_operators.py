@@ -177,6 +177,16 @@ def test_near_copies_are_those_of_exact_similarity(spark):
     assert simhash.near_copies(docs.limit(0)).count() == 0
 
 
+def test_null_and_repeated_ids_are_judged_by_row(spark):
+    rng = random.Random(21)
+    a, b, c, d, e, f = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(6))
+    rows = [(1, a, "s"), (None, a, "s"), (None, b, "s"), (None, c, "s"), (None, c + " x", "s"), (7, d, "s"), (7, e, "s"), (7, a, "s"), (8, f, "s"), (8, f, "s"), (9, None, "s"), (9, "", "s")]
+    for options in ({}, {"method": simhash.near_copies}):
+        kept = simhash.one_of_each(table(spark, rows), **options).collect()
+        assert len(kept) == 7
+        assert {(r.doc_id, r.text or "") for r in kept} - {(None, c), (None, c + " x")} == {(1, a), (None, b), (7, d), (7, e), (8, f), (9, "")}
+
+
 @pytest.mark.parametrize("node_rows", [4096, 20])
 def test_gray_index_loses_no_link(spark, node_rows):
     rng = np.random.default_rng(1)
