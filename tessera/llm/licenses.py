@@ -1,8 +1,9 @@
 """Licence scan: sparse TF-IDF cosine of sentences to licence templates, then inheritance along directories.
 
-A text's sentences that hold a marker word of licensing are candidates. Each is compared with every template by the
+A text's sentences are read twice, line by line and with the lines of a paragraph joined (comment leaders removed).
+Those that hold a term without which no template reaches the threshold are candidates. Each is compared with every template by the
 cosine of TF-IDF vectors with two terms or more in common (term counts; idf = ln((1 + n) / (1 + df)) + 1 over the templates; unknown terms have df 0).
-The best template at or over the threshold is the text's own licence. A text that names itself a licence file, or of
+The best template at or over the threshold is the text's own licence; reserved rights count only where nothing else is found. A text that names itself a licence file, or of
 whose words a fair share stand in such sentences, is the licence file of its directory. A text without a licence of its own takes that of the nearest
 directory above it that has a licence file. Directories are resolved once each, so a directory that holds most files is
 one row there.
@@ -24,7 +25,10 @@ from pyspark.sql import functions as F
 from .common import cut, table, text_or_empty
 
 TERM = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
-MARKER = r"(?i)\b(?:licen[cs]e[ds]?|licensing|copyright|rights|permission|warranty|gnu|l?gpl|agpl|bsd|mozilla|mpl|cc by|cc0|creative commons|unlicense|spdx-license-identifier)\b"
+#: Words of ordinary prose, the most frequent first; the gate to the comparison does without them as far as it can.
+COMMON = "the of and to a in is that it for as be with this are not by or you at all can any use work may under without your from found file".split()
+#: Of the licences found in a text, this one counts only if there is no other: files under a licence also reserve rights.
+RESERVED = "proprietary"
 THRESHOLD = 0.6
 #: Share of words in licence sentences from which on a text is a licence file.
 FILE_SHARE = 0.25
@@ -34,9 +38,9 @@ TEMPLATES = {
     "MIT": ("Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.", "SPDX-License-Identifier: MIT"),
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "SPDX-License-Identifier: GPL-3.0-or-later"),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only"),
-    "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-or-later"),
-    "AGPL-3.0": ("This program is licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.", "SPDX-License-Identifier: GPL-2.0-only"),
+    "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3.", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    "AGPL-3.0": ("This program is licensed under the GNU Affero General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "SPDX-License-Identifier: AGPL-3.0-or-later"),
     "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -59,12 +63,36 @@ def template_weights(templates: dict[str, tuple[str, ...]] = TEMPLATES) -> tuple
     return rows, math.log(1 + len(named)) + 1
 
 
-def sentences(files: DataFrame) -> DataFrame:
-    """key, n_words, at, sentence: candidates of each text. files: key, text."""
+def gate(rows: list[tuple[str, str, float, float]], threshold: float) -> str:
+    """A pattern that every lower-cased sentence at or over the threshold to some template holds.
+
+    By Cauchy and Schwarz the squared weights of a template's terms in such a sentence add up to threshold ** 2 or more.
+    So terms that weigh less together can be left out, and one of the others is there; common words are left out first.
+    """
+    of: dict[str, list[tuple[int, float, str]]] = {}
+    for name, term, _, weight in rows:
+        of.setdefault(name, []).append((COMMON.index(term) if term in COMMON else len(COMMON), weight, term))
+    kept: set[str] = set()
+    for terms in of.values():
+        left_out = 0.0
+        for _, weight, term in sorted(terms):
+            if left_out + weight * weight < threshold * threshold - 1e-9:
+                left_out += weight * weight
+            else:
+                kept.add(term)
+    return r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, sorted(kept))) + r")(?![a-z0-9])"
+
+
+def sentences(files: DataFrame, pattern: str) -> DataFrame:
+    """key, n_words, at, sentence: candidates of each text. files: key, text. at is negative in joined paragraphs."""
     text = text_or_empty()
-    parts = F.split(text, r"\n|(?<=[.!?])\s+")
-    candidates = F.filter(F.transform(parts, lambda s, i: F.struct(i.alias("at"), s.alias("sentence"))), lambda s: F.rlike(s["sentence"], F.lit(MARKER)))
-    held = files.where(F.rlike(text, F.lit(MARKER)))
+    ends = r"(?<=[.!?])\s+"
+    lines = F.split(text, r"\n|" + ends)
+    joined = F.transform(F.split(text, r"\n[\s#/*;%-]*\n"), lambda p: F.regexp_replace(p, r"\s*\n[\s#/*;%-]*", " "))
+    whole = F.flatten(F.transform(joined, lambda p: F.split(p, ends)))
+    both = F.concat(F.transform(lines, lambda s, i: F.struct(i.alias("at"), s.alias("sentence"))), F.transform(whole, lambda s, i: F.struct((-1 - i).alias("at"), s.alias("sentence"))))
+    candidates = F.filter(both, lambda s: F.rlike(F.lower(s["sentence"]), F.lit(pattern)))
+    held = files.where(F.rlike(F.lower(text), F.lit(pattern)))
     return held.select("key", F.regexp_count(text, F.lit(r"\S+")).alias("n_words"), F.explode(candidates).alias("s")).select("key", "n_words", "s.at", "s.sentence")
 
 
@@ -75,7 +103,7 @@ def own_licences(files: DataFrame, threshold: float = THRESHOLD, templates: dict
     weights = F.broadcast(spark.createDataFrame(rows, "template string, term string, idf double, weight double"))
     idfs = F.broadcast(spark.createDataFrame(sorted({(t, i) for _, t, i, _ in rows}), "term string, idf double"))
     terms = F.filter(F.regexp_extract_all(F.lower("sentence"), F.lit(TERM), F.lit(0)), lambda t: t != "")
-    found = sentences(files).dropDuplicates(["key", "at"])
+    found = sentences(files, gate(rows, threshold)).dropDuplicates(["key", "at"])
     spread = found.select("key", "n_words", "at", F.size(terms).alias("n"), F.explode(terms).alias("term"))
     counted = spread.groupBy("key", "n_words", "at", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
     norms = counted.join(idfs, "term", "left").groupBy("key", "at").agg(F.sqrt(F.sum((F.col("tf") * F.coalesce("idf", F.lit(unknown))) ** 2)).alias("norm"))
@@ -84,8 +112,10 @@ def own_licences(files: DataFrame, threshold: float = THRESHOLD, templates: dict
     hits = scored.where(F.col("score") >= threshold)
     best = Window.partitionBy("key", "at").orderBy(F.col("score").desc(), "license")
     per = hits.withColumn("r", F.row_number().over(best)).where("r = 1")
-    first = F.min(F.struct((-F.col("score")).alias("s"), F.col("license").alias("license")))
-    return per.groupBy("key").agg(first.alias("b"), (F.sum("n") / F.greatest(F.max("n_words"), F.lit(1))).alias("share")).select("key", F.col("b.license").alias("own_license"), (-F.col("b.s")).alias("own_score"), "share")
+    first = F.min(F.struct((F.col("license") == RESERVED).alias("reserved"), (-F.col("score")).alias("s"), F.col("license").alias("license")))
+    # a sentence can stand in a line and in a joined paragraph: each reading has its share
+    read = per.groupBy("key", (F.col("at") < 0).alias("joined")).agg(first.alias("b"), (F.sum("n") / F.greatest(F.max("n_words"), F.lit(1))).alias("share"))
+    return read.groupBy("key").agg(F.min("b").alias("b"), F.max("share").alias("share")).select("key", F.col("b.license").alias("own_license"), (-F.col("b.s")).alias("own_score"), "share")
 
 
 def scanned(files: DataFrame, **options) -> DataFrame:

@@ -304,6 +304,29 @@ def test_licences(spark):
     assert licenses.scanned(files).count() == len(rows) and licenses.scanned(files.limit(0)).count() == 0
 
 
+def test_wrapped_and_unmarked_licences(spark):
+    notice = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU {}General Public License as
+# published by the Free Software Foundation, either version {} of the
+# License, or (at your option) any later version.
+"""
+    bsd = """Copyright (c) 2020, Someone
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above notice."""
+    texts = [notice.format("Affero ", 3), notice.format("", 3), notice.format("", 2), bsd, licenses.TEMPLATES["BSD-3-Clause"][0], "Some words. All rights reserved."]
+    files = spark.createDataFrame([(k, f"{k}/x", t) for k, t in enumerate(texts)], "doc_id long, path string, text string")
+    got = {r.doc_id: r.own_license for r in licenses.scanned(files).collect()}
+    assert [got[k] for k in range(len(texts))] == ["AGPL-3.0", "GPL-3.0", "GPL-2.0", "BSD-3-Clause", "BSD-3-Clause", "proprietary"]
+    every = [(k, v) for k, (name, some) in enumerate(sorted(licenses.TEMPLATES.items())) for v in some]
+    own = licenses.scanned(spark.createDataFrame([(n, f"{n}/x", v) for n, (_, v) in enumerate(every)], "doc_id long, path string, text string")).collect()
+    names = sorted(licenses.TEMPLATES)
+    assert {r.doc_id: r.own_license for r in own} == {n: names[k] for n, (k, _) in enumerate(every)}
+
+
 def stupid_backoff(rows, order):
     tokens = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t, _ in rows]
     counts = Counter(g for w in tokens for n in range(order) for g in zip(*[w[k:] for k in range(n + 1)], strict=False))
