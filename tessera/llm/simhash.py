@@ -233,15 +233,15 @@ def links(fps: DataFrame, radius: int = 3, blocks: int | None = None, node_rows:
     return local_links(groups, radius)
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges (a, b), b given as label of a. Smallest label reachable, for each node with an edge: (node, root).
 
     Each round joins neighbours' least labels (as counts and minima, so a node with very many neighbours stays one row
-    a task) and then takes the label of the label, which halves distances; it ends when nothing changes.
+    a task) and then passes on what a root learned; it ends when nothing changes. A path whose labels rise takes a round a node.
     """
     pairs = cut(edges.union(edges.select("b", "a")).toDF("a", "b").distinct())
     labels = cut(pairs.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
-    for _ in range(limit):
+    while True:
         near = pairs.join(labels, pairs.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
         step = labels.join(near, labels.node == near.a).select("node", F.col("root").alias("old"), F.least("root", "near").alias("new"))
         # a root that now has a smaller neighbour passes that on to all that hang on it

@@ -211,6 +211,11 @@ def test_gray_index_loses_no_link(spark, node_rows):
     assert len(set(got.values())) == len(set(root[linked].tolist()))
 
 
+def test_components_of_a_long_rising_path(spark):
+    path = spark.createDataFrame([(k + 1, k) for k in range(69)], "a long, b long")
+    assert {(r.node, r.root) for r in simhash.components(path).collect()} == {(k, 0) for k in range(70)}
+
+
 def base_spans(text):
     text, out = text or "", []
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
