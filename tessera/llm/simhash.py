@@ -8,15 +8,15 @@ block, fingerprints are rotated so that the block leads, and sorted by Gray rank
 together under one upper node, and near neighbours tend to be close. Below it the tree is built bottom-up: a node covers a few children
 and holds the bits in which all of them agree (their mask) and those bits' values. Bits that the node above holds already
 count there. A search carries the differences gathered so far from node to node and drops a whole group once they pass
-the radius. An upper node that holds very many fingerprints is split the same way over its remaining bits before it is
-dealt to tasks, so no task gets an unbounded group.
+the radius, or once all that the group holds is already joined to the one who searches. An upper node that holds very
+many fingerprints is split the same way over its remaining bits before it is dealt to tasks, twice at most, and then by
+rows, so no task gets an unbounded group.
 
 Only fingerprints that are distinct enter the index. Each task gives the links of a group as stars (member, smallest
 member), which keep the components; those are joined by hash-to-min rounds with checkpoints, in which a row travels for
 each node and star only.
 
-`near_copies` is for a given Jaccard similarity, of which bits apart are too rough a measure: pairs at 0.8 differ in some
-ten bits. It takes candidates from MinHash bands and confirms each on the texts.
+`near_copies.py` builds on the same tree for a given Jaccard similarity, of which 64 bits are too rough a measure.
 
 Defined results: null text counts as empty; no words give fingerprint zero, linked like any other; fewer words than a
 shingle make one shingle of all words; rows that repeat get one component; a null doc_id gets the component of its
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, table
+from .common import cut, map_arrow, shuffle_partitions, stored, table
 
 BITS = 64
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -45,12 +45,10 @@ NODE_ROWS = 4096
 FANOUT = 8
 #: Pairs of a query and a node that a search holds at once.
 FRONT = 1 << 21
-#: Bands of a MinHash and hash functions in each; multipliers are odd.
-BANDS, BAND_ROWS = 32, 4
-MULTIPLY, ADD = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64)
-MULTIPLY |= np.uint64(1)
-#: Rows of one group of candidates that go to one task.
-GROUP_ROWS = 500
+#: How often a node can be split.
+SPLITS = 2
+#: Neighbours of a node that one task reads.
+HUB = 4096
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -112,59 +110,71 @@ def gray_rank(v: np.ndarray) -> np.ndarray:
     return out
 
 
-def group_pairs(group: np.ndarray, value: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs i < j with equal group and values that differ in at most radius bits. Sorted by group, then Gray rank."""
-    n = len(value)
+def agreeing(values: np.ndarray, masks: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of nodes from `heads` on: the bits that they all hold with one value, and those values."""
+    ones = np.bitwise_and.reduceat(values & masks, heads)
+    zeros = np.bitwise_and.reduceat(~values & masks, heads)
+    return ones | zeros, ones
+
+
+def group_pairs(group: np.ndarray, value: np.ndarray, radius: int, root: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j with equal group and values that differ in at most radius bits. Sorted by group, then Gray rank.
+
+    value: one 64-bit word a row, or several. root: labels, which the caller may merge from pair to pair; what already
+    has one label is not paired any more, and a node all of one label is skipped as a whole.
+    """
+    n, value = len(value), value.reshape(len(value), -1)
     if n < 2:
         return
-    # levels[k]: for each node the first leaf, the bits on which its leaves agree, and their values
-    firsts, masks, values, children = [np.arange(n)], [np.full(n, ~np.uint64(0))], [value], []
+    # for each level: the nodes' first leaves, the bits on which their leaves agree, and the values of those
+    firsts, masks, values, children = [np.arange(n)], [np.full(value.shape, ~np.uint64(0))], [value], []
     owner, place = group, np.arange(n) - np.searchsorted(group, group)
-    low, high = value, value
     while place.max() > 0:
         place = place // FANOUT
         head = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (place[1:] != place[:-1]))))
         children.append(np.append(head, len(owner)))
-        low, high = np.bitwise_and.reduceat(low, head), np.bitwise_or.reduceat(high, head)
+        mask, held = agreeing(values[-1], masks[-1], head)
         owner, place = owner[head], place[head]
         firsts.append(firsts[-1][head])
-        masks.append(~(low ^ high))
-        values.append(low)
+        masks.append(mask)
+        values.append(held)
     lasts = [np.append(f[1:], n) for f in firsts]
-    root = np.searchsorted(owner, group)
-    held = np.append(firsts[-1][1:], n)[root] - np.arange(n) > 1  # the last of a group has no later partner
-    stack = [(len(masks) - 1, part, root[part], None) for part in np.array_split(np.flatnonzero(held), max(1, int(held.sum()) // (FRONT // 64) + 1)) if len(part)]
-    while stack:
-        level, who, node, gathered = stack.pop()
-        if gathered is None:
-            known = np.zeros(len(who), np.uint64)
-            gathered = np.zeros(len(who), np.uint8)
-        else:
-            gathered, known = gathered
-        fresh = masks[level][node] & ~known
-        gathered = gathered + np.bitwise_count((value[who] ^ values[level][node]) & fresh)
-        keep = (gathered <= radius) & (lasts[level][node] > who + 1)
-        if level == 0:
-            keep &= node > who
-        who, node, gathered = who[keep], node[keep], gathered[keep]
-        if not len(who):
-            continue
-        if level == 0:
-            yield who, node
-            continue
-        known = masks[level][node]
-        edges = children[level - 1]
-        width = edges[node + 1] - edges[node]
-        cuts = np.append(np.arange(0, len(who), max(1, FRONT // FANOUT)), len(who))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            w = width[a:b]
-            offset = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-            stack.append((level - 1, np.repeat(who[a:b], w), np.repeat(edges[node[a:b]], w) + offset, (np.repeat(gathered[a:b], w), np.repeat(known[a:b], w))))
-
-
-def stars(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The smallest member of each node's component among n nodes."""
-    root = np.arange(n)
+    top = np.searchsorted(owner, group)
+    asks = np.flatnonzero(np.append(firsts[-1][1:], n)[top] - np.arange(n) > 1)  # the last of a group has no later partner
+    front = FRONT // value.shape[1]
+    done, width = 0, 64
+    while done < len(asks):
+        part = asks[done : done + width]
+        done, width = done + width, min(4 * width, max(64, front // 64))
+        if root is not None:
+            least, most = ([f(root, k) for k in firsts] for f in (np.minimum.reduceat, np.maximum.reduceat))
+        stack = [(len(masks) - 1, part, top[part], np.zeros(len(part), np.int64), np.zeros((len(part), value.shape[1]), np.uint64))]
+        while stack:
+            level, who, node, gathered, known = stack.pop()
+            fresh = masks[level][node] & ~known
+            gathered = gathered + np.bitwise_count((value[who] ^ values[level][node]) & fresh).sum(1, dtype=np.int64)
+            keep = (gathered <= radius) & (lasts[level][node] > who + 1)
+            if level == 0:
+                keep &= node > who
+            if root is not None:
+                keep &= (least[level][node] != root[who]) | (most[level][node] != root[who])
+            who, node, gathered = who[keep], node[keep], gathered[keep]
+            if not len(who):
+                continue
+            if level == 0:
+                yield who, node
+                continue
+            known, edges = masks[level][node], children[level - 1]
+            span = edges[node + 1] - edges[node]
+            cuts = np.append(np.arange(0, len(who), max(1, front // FANOUT)), len(who))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                w = span[a:b]
+                offset = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+                stack.append((level - 1, np.repeat(who[a:b], w), np.repeat(edges[node[a:b]], w) + offset, np.repeat(gathered[a:b], w), np.repeat(known[a:b], w, 0)))
+
+
+def stars(root: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Merges the labels, in place, of what pairs connect: each label is a smallest member."""
     for i, j in pairs:
         while True:
             a, b = root[i], root[j]
@@ -172,86 +182,116 @@ def stars(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
                 break
             np.minimum.at(root, np.maximum(a, b)[differ], np.minimum(a, b)[differ])
             while (root != root[root]).any():
-                root = root[root]
-    while (root != root[root]).any():
-        root = root[root]
+                root[:] = root[root]
     return root
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 1 << 18) -> Iterator[pa.Table]:
+    """A stream sorted by its first column, in tables that hold every value of that column whole."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            end = int(np.searchsorted(keys, keys[-1]))  # the last key can go on in the next batch
+            if end:
+                yield pa.Table.from_batches([*held[:-1], batch.slice(0, end)])
+                held = [batch.slice(end)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def local_links(groups: DataFrame, radius: int) -> DataFrame:
     """groups: (key, fp) in partitions that hold a key whole, sorted by key. Links (a, b) as stars of the groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps, size = [], [], 0
-
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal keys, fps, size
-            key, fp = np.concatenate(keys), np.concatenate(fps)
-            end = len(key) if last else int(np.searchsorted(key, key[-1]))  # the last key can go on in the next batch
-            rest = key[end:], fp[end:]
-            _, group = np.unique(key[:end], return_inverse=True)
-            v = fp[:end].view(np.uint64)
+        for some in whole_groups(batches):
+            _, group = np.unique(some.column(0).to_numpy(), return_inverse=True)
+            v = some.column(1).to_numpy().view(np.uint64)
             order = np.lexsort((gray_rank(v), group))
             group, v = group[order], v[order]
-            root = stars(len(v), group_pairs(group, v, radius))
+            root = np.arange(len(v))
+            stars(root, group_pairs(group, v, radius, root))
             far = np.flatnonzero(root != np.arange(len(root)))
-            keys, fps, size = [rest[0]], [rest[1]], len(rest[0])
             if len(far):
                 yield pa.RecordBatch.from_arrays([pa.array(v[far].view(np.int64)), pa.array(v[root[far]].view(np.int64))], ["a", "b"])
 
-        for batch in batches:
-            if batch.num_rows:
-                keys.append(batch.column(0).to_numpy(zero_copy_only=False))
-                fps.append(batch.column(1).to_numpy(zero_copy_only=False))
-                size += batch.num_rows
-                if size >= 1 << 18 and keys[-1][0] != keys[-1][-1]:
-                    yield from flush(False)
-        if size:
-            yield from flush(True)
-
     return groups.mapInArrow(run, "a long, b long")
 
 
+def split(many: DataFrame, masks: list[int], radius: int) -> tuple[DataFrame, list[int]]:
+    """many: (key, choice, fp) of nodes that hold too much; masks: the bits that nodes of each choice hold.
+
+    Each node goes to radius + 1 nodes below, by blocks of its other bits: two fingerprints of a node that differ in at
+    most radius bits agree in one of those blocks at least. Returns the nodes below and their masks.
+    """
+    blocks = [masks_of([b for b in range(BITS) if not m >> b & 1], radius + 1) for m in masks]
+    table_ = F.element_at(F.lit([[int(x) for x in r] for r in blocks]).cast("array<array<bigint>>"), F.col("choice") + 1)
+    cells = F.transform(table_, lambda m, j: F.struct(F.xxhash64("key", j, F.col("fp").bitwiseAND(m)).alias("key"), (F.col("choice") * (radius + 1) + j).cast("int").alias("choice")))
+    return many.select("fp", F.explode(cells).alias("c")).select("c.key", "c.choice", "fp"), [m | x for m, r in zip(masks, blocks, strict=True) for x in r]
+
+
 def links(fps: DataFrame, radius: int = 3, blocks: int | None = None, node_rows: int = NODE_ROWS) -> DataFrame:
     """fps: distinct fingerprints in column fp. Stars (a, b) that connect all that links connect.
 
-    blocks: how many blocks the bits are cut into, over radius; blocks - radius of them agree in every link.
+    blocks: how many blocks the bits are cut into, over radius; blocks - radius of them agree in every link. A node with
+    more than node_rows fingerprints is split, and what it is split into once more. Nodes that are too large even then
+    hold a cluster that no bits part: they are dealt as pairs of blocks of rows, so that every pair meets in some task.
     """
     blocks = blocks or radius + 1
     masks = masks_of(list(range(BITS)), blocks, blocks - radius)
-    cells = F.array(*[F.struct(F.lit(k + 1).alias("choice"), F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))).alias("key")) for k, m in enumerate(masks)])
-    keyed = fps.select("fp", F.explode(cells).alias("c")).select("c.key", "c.choice", "fp")
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    many = keyed.join(sizes.where("n > 1"), "key")
-    plain = many.where(F.col("n") <= node_rows).select("key", "fp")
-    # a large upper node is split by blocks of the bits that it does not hold
-    rest = [masks_of([b for b in range(BITS) if not m >> b & 1], radius + 1) for m in masks]
-    parts = F.element_at(F.lit([[int(x) for x in r] for r in rest]).cast("array<array<bigint>>"), F.col("choice"))
-    split = F.transform(parts, lambda m, j: F.xxhash64(F.col("key"), j, F.col("fp").bitwiseAND(m)))
-    hot = many.where(F.col("n") > node_rows).select(F.explode(split).alias("key"), "fp")
-    groups = plain.union(hot).repartition("key").sortWithinPartitions("key")
-    return local_links(groups, radius)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """edges (a, b), b given as label of a. Smallest label reachable, for each node with an edge: (node, root).
-
-    Each round joins neighbours' least labels (as counts and minima, so a node with very many neighbours stays one row
-    a task) and then passes on what a root learned; it ends when nothing changes. A path whose labels rise takes a round a node.
+    cells = F.array(*[F.struct(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))).alias("key"), F.lit(k).alias("choice")) for k, m in enumerate(masks)])
+    nodes, found = fps.select("fp", F.explode(cells).alias("c")).select("c.key", "c.choice", "fp"), None
+    for turn in range(SPLITS + 1):
+        sizes = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("key", "k")
+        many = cut(nodes.join(sizes, F.col("key") == F.col("k")).drop("k"))
+        small = many.where(F.col("n") <= node_rows).select("key", "fp")
+        found = small if found is None else found.union(small)
+        large = many.where(F.col("n") > node_rows)
+        if large.isEmpty():
+            break
+        if turn < SPLITS:
+            nodes, masks = split(large, [m & (1 << BITS) - 1 for m in masks], radius)
+        else:
+            parts = F.ceil(F.col("n") / node_rows).cast("int")
+            block = F.pmod(F.hash("fp"), parts)
+            spots = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.xxhash64("key", F.least(block, j), F.greatest(block, j)))
+            found = found.union(large.select(F.explode(spots).alias("key"), "fp"))
+    return local_links(found.repartition("key").sortWithinPartitions("key"), radius)
+
+
+def renamed(rows: DataFrame, column: str, to: DataFrame) -> DataFrame:
+    """rows with values of `column` replaced as `to` (via, to) says; a value that most rows have is dealt to several tasks."""
+    salts = min(64, shuffle_partitions(rows.sparkSession))
+    told = to.select("via", "to", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    onto = (F.col(column) == F.col("via")) & (F.pmod(F.hash("node"), F.lit(salts)) == F.col("salt"))
+    return rows.join(told, onto, "left").withColumn(column, F.coalesce("to", column)).drop("via", "to", "salt")
+
+
+def components(edges: DataFrame, hub: int = HUB) -> DataFrame:
+    """edges (a, b). Smallest label reachable, for each node with an edge: (node, root).
+
+    A round takes the neighbours' least label; a label of which some node learned a smaller one gives way to it
+    wherever it stands; then labels are replaced by their own nodes' labels, so the way to the root halves. It ends when nothing
+    changes. A node with more than `hub` neighbours is dealt to several tasks, and so are the nodes of one label.
     """
-    pairs = cut(edges.union(edges.select("b", "a")).toDF("a", "b").distinct())
-    labels = cut(pairs.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    both = edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").distinct()
+    degrees = stored(both.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / hub).cast("int").alias("parts")).withColumnRenamed("b", "node"))
+    pairs = stored(both.join(degrees, F.col("b") == F.col("node")).select("a", "b", F.pmod(F.hash("a"), "parts").alias("part")))
+    labels = stored(pairs.groupBy("a").agg(F.min("b").alias("m")).join(degrees, F.col("a") == F.col("node")).select("node", F.least("a", "m").alias("root"), "parts"))
     while True:
-        near = pairs.join(labels, pairs.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
-        step = labels.join(near, labels.node == near.a).select("node", F.col("root").alias("old"), F.least("root", "near").alias("new"))
-        # a root that now has a smaller neighbour passes that on to all that hang on it
-        moved = step.where("old <> new").groupBy("old").agg(F.min("new").alias("to"))
-        jumped = step.join(moved.withColumnRenamed("old", "via"), F.col("old") == F.col("via"), "left").select("node", "old", F.least("new", F.coalesce("to", "new")).alias("root"))
-        state = cut(jumped)
-        if state.where("old <> root").isEmpty():
-            break
-        labels = state.select("node", "root")
-    return labels
+        told = labels.select("node", "root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"))
+        near = pairs.join(told, (F.col("b") == F.col("node")) & (F.col("part") == F.col("p"))).groupBy("a").agg(F.min("root").alias("near"))
+        step = stored(labels.join(near, labels.node == near.a).select("node", "parts", F.col("root").alias("old"), F.least("root", "near").alias("new"), F.col("root").alias("given")))
+        lower = step.where("old <> new").groupBy(F.col("old").alias("via")).agg(F.min("new").alias("to"))
+        step = stored(renamed(step, "given", lower).select("node", "parts", "old", F.least("new", "given").alias("root")))
+        used = step.select(F.col("root").alias("via")).distinct()
+        onward = used.join(step, F.col("via") == F.col("node")).where("root < via").select("via", F.col("root").alias("to"))
+        labels = stored(renamed(step, "root", onward))
+        if labels.where("old <> root").isEmpty():
+            return labels.select("node", "root")
 
 
 def linked_rows(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks: int | None = None, node_rows: int = NODE_ROWS) -> DataFrame:
@@ -260,7 +300,7 @@ def linked_rows(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks: int
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(firsts.select("fp"), radius, blocks, node_rows))
     classes = cut(firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
-    least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
+    least = cut(classes.groupBy("root").agg(F.min("first").alias("component_id")))
     of = classes.join(least, "root").select(F.col("fp").alias("f"), "root", "component_id")
     return prints.join(of, prints.fp == of.f).select("doc_id", "text_hash", "fp", "root", "component_id")
 
@@ -271,98 +311,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band of the set's MinHash: the least values of the band's hash functions, and the band's number."""
-    least = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
-    for at in range(0, len(hashes), 512):
-        np.minimum(least, (hashes[at : at + 512, None] * MULTIPLY + ADD).min(0), out=least)
-    rows = least.astype("<u8").reshape(BANDS, BAND_ROWS)
-    return np.array([xxhash.xxh64_intdigest(rows[k].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64)
-
-
-def with_sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, text_hash, id (of the set of shingles), n (its size), keys (of its bands; none if it is empty)."""
-
-    def batch(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, sizes, keys = [], [], []
-        for text in b.column("text"):
-            hashes = np.unique(shingle_hashes(text.as_py() or "", shingle))
-            ids.append(xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), 42))
-            sizes.append(len(hashes))
-            keys.append(band_keys(hashes) if len(hashes) else None)
-        columns = [b.column("doc_id"), b.column("text_hash"), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "id", "n", "keys"])
-
-    return map_arrow(slim_rows(docs), batch, "doc_id long, text_hash long, id long, n int, keys array<long>")
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of set ids whose texts have a Jaccard similarity of `similarity` or more."""
-
-    def batch(r: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        held, of, keep = None, None, []
-        for x, y in zip(r.column("x"), r.column("y"), strict=True):
-            x, y = x.as_py(), y.as_py()
-            if x != held:
-                held, of = x, np.unique(shingle_hashes(x, shingle))
-            other = np.unique(shingle_hashes(y, shingle))
-            both = len(np.intersect1d(of, other, assume_unique=True))
-            keep.append(both / (len(of) + len(other) - both) >= similarity)
-        yield pa.RecordBatch.from_arrays([r.column("a"), r.column("b")], ["a", "b"]).filter(pa.array(keep))
-
-    ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
-    wanted = firsts.join(ids, "id").select("id", F.col("text_hash").alias("h"))
-    texts = docs.select(text_hash().alias("text_hash"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = cut(wanted.join(texts, F.col("h") == F.col("text_hash")).select("id", "text").dropDuplicates(["id"]))
-    # a member of many pairs is dealt to several tasks
-    often = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("parts"))
-    left = often.join(texts, often.a == texts.id).select(F.col("a").alias("l"), F.col("text").alias("x"), F.col("parts"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    dealt = pairs.join(often, "a").select("a", "b", F.pmod(F.hash("b"), "parts").alias("p"))
-    right = dealt.join(texts, dealt.b == texts.id).select("a", "b", "p", F.col("text").alias("y"))
-    return map_arrow(right.join(left, (F.col("a") == F.col("l")) & (F.col("p") == F.col("part"))).select("a", "b", "x", "y"), batch, "a long, b long")
-
-
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, text_hash, root, component_id: components of texts whose sets of shingles have a Jaccard similarity of `similarity` or more.
-
-    Sets that share a band of their MinHash are candidates: at 32 bands of 4 a pair at 0.8 shares none once in 20 million
-    times. A link is the exact similarity. A band's members are compared with one of them in two rounds, and then, where
-    that leaves several components, all with all across those. Components are of distinct sets, and equal sets are one.
-    """
-    prints = cut(with_sketches(docs, shingle))
-    firsts = cut(prints.groupBy("id").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    cells = firsts.select(F.explode("keys").alias("key"), "id", "n")
-    shared = cells.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    members = cut(cells.join(shared, "key").select("key", "id", "n"))
-    alike = F.least("n", "m") / F.greatest("n", "m") >= similarity
-    edges = roots = None
-    for turn in range(3):
-        state = members.withColumn("root", F.col("id"))
-        if roots is not None:
-            state = members.join(roots, members.id == roots.node, "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-        open_keys = state.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", F.col("n").alias("m"), "root")).alias("head"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        if turn < 2:
-            both = state.join(open_keys.select("key", F.col("head.id").alias("a"), F.col("head.m").alias("m"), F.col("head.root").alias("other")), "key")
-            pairs = both.where((F.col("root") != F.col("other")) & alike).select("a", F.col("id").alias("b"))
-        else:
-            state = cut(state.join(open_keys.select("key", F.ceil(F.col("c") / GROUP_ROWS).cast("int").alias("parts")), "key"))
-            ones = state.select("key", F.pmod(F.hash("id"), "parts").alias("part"), F.col("id").alias("a"), F.col("n").alias("m"), F.col("root").alias("other"))
-            others = state.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "n", "root")
-            pairs = ones.join(others, ["key", "part"]).where((F.col("a") < F.col("id")) & (F.col("root") != F.col("other")) & alike).select("a", F.col("id").alias("b"))
-        pairs = cut(pairs.distinct())
-        if pairs.isEmpty():
-            break
-        found = confirmed(pairs, docs, firsts, shingle, similarity).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        edges = cut(found if edges is None else edges.union(found))
-        roots = components(edges)
-    classes = firsts.select("id", "first", F.col("id").alias("root"))
-    if roots is not None:
-        classes = cut(firsts.join(roots, firsts.id == roots.node, "left").select("id", "first", F.coalesce("root", "id").alias("root")))
-    least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = classes.join(least, "root").select(F.col("id").alias("i"), "root", "component_id")
-    return prints.join(of, prints.id == of.i).select("doc_id", "text_hash", "root", "component_id")
-
-
 def one_of_each(docs: DataFrame, method=linked_rows, **options) -> DataFrame:
     """One row of docs for each component: the one of the smallest doc_id (null last), then of the least hash of the text.
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tessera.llm import ann, fingerprints, html_extract, licenses, lm, mixing, packing, pii, simhash, toxicity
+from tessera.llm import ann, fingerprints, html_extract, licenses, lm, mixing, near_copies, packing, pii, simhash, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, target double, key string"
 
@@ -169,19 +169,20 @@ def test_near_copies_are_those_of_exact_similarity(spark):
         for i, j in pairs:
             label[i] = label[j] = min(label[i], label[j])
     docs = table(spark, [(k, t, "s") for k, t in enumerate(rows)])
-    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
-    assert [got[k] for k in range(len(rows))] == label
+    for rows_ in (near_copies.ROWS, 3):
+        got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs, rows=rows_).collect()}
+        assert [got[k] for k in range(len(rows))] == label
     import corpus_pipeline
 
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()) == sorted(set(label))
-    assert simhash.near_copies(docs.limit(0)).count() == 0
+    assert near_copies.near_copies(docs.limit(0)).count() == 0
 
 
 def test_null_and_repeated_ids_are_judged_by_row(spark):
     rng = random.Random(21)
     a, b, c, d, e, f = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(6))
     rows = [(1, a, "s"), (None, a, "s"), (None, b, "s"), (None, c, "s"), (None, c + " x", "s"), (7, d, "s"), (7, e, "s"), (7, a, "s"), (8, f, "s"), (8, f, "s"), (9, None, "s"), (9, "", "s")]
-    for options in ({}, {"method": simhash.near_copies}):
+    for options in ({}, {"method": near_copies.near_copies}):
         kept = simhash.one_of_each(table(spark, rows), **options).collect()
         assert len(kept) == 7
         assert {(r.doc_id, r.text or "") for r in kept} - {(None, c), (None, c + " x")} == {(1, a), (None, b), (7, d), (7, e), (8, f), (9, "")}
@@ -203,7 +204,9 @@ def test_gray_index_loses_no_link(spark, node_rows):
     for i, j in simhash.group_pairs(np.zeros(len(v), int), v, 3):
         found |= set(zip(i.tolist(), j.tolist(), strict=True))
     assert found == set(zip(*(k.tolist() for k in np.nonzero(near)), strict=True))
-    root = simhash.stars(len(v), iter([np.nonzero(near)]))
+    root = simhash.stars(np.arange(len(v)), iter([np.nonzero(near)]))
+    merged = np.arange(len(v))
+    assert (simhash.stars(merged, simhash.group_pairs(np.zeros(len(v), int), v, 3, merged)) == root).all()
     df = spark.createDataFrame([(int(x),) for x in v.view(np.int64)], "fp long")
     got = {r.node: r.root for r in simhash.components(simhash.links(df, 3, None, node_rows)).collect()}
     linked = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
@@ -212,8 +215,8 @@ def test_gray_index_loses_no_link(spark, node_rows):
 
 
 def test_components_of_a_long_rising_path(spark):
-    path = spark.createDataFrame([(k + 1, k) for k in range(69)], "a long, b long")
-    assert {(r.node, r.root) for r in simhash.components(path).collect()} == {(k, 0) for k in range(70)}
+    path = spark.createDataFrame([(k + 1, k) for k in range(200)], "a long, b long")
+    assert {(r.node, r.root) for r in simhash.components(path).collect()} == {(k, 0) for k in range(201)}
 
 
 def base_spans(text):
