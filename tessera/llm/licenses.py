@@ -1,32 +1,45 @@
 """Licence scan: sparse TF-IDF cosine of sentences to licence templates, then inheritance along directories.
 
 A text's sentences are read twice, line by line and with the lines of a paragraph joined (comment leaders removed).
-Those that hold a term without which no template reaches the threshold are candidates. Each is compared with every template by the
-cosine of TF-IDF vectors with two terms or more in common (term counts; idf = ln((1 + n) / (1 + df)) + 1 over the templates; unknown terms have df 0).
-The best template at or over the threshold is the text's own licence; reserved rights count only where nothing else is found. A text that names itself a licence file, or of
-whose words a fair share stand in such sentences, is the licence file of its directory. A text without a licence of its own takes that of the nearest
-directory above it that has a licence file. Directories are resolved once each, so a directory that holds most files is
-one row there.
+Those that hold a term without which no template reaches the threshold are compared with every template by the cosine of
+TF-IDF vectors with two terms or more in common (term counts; idf = ln((1 + n) / (1 + df)) + 1 over the templates; unknown
+terms have df 0). The templates are few and fixed, so their weights travel to the texts: one pass, no shuffle of texts.
+The best template at or over the threshold is the text's own licence; reserved rights count only where nothing else is
+found. A text that names itself a licence file, or of whose words a fair share stand in such sentences, is the licence
+file of its directory. A text without a licence of its own takes that of the nearest directory above it that has a
+licence file. Directories are resolved once each, so a directory that holds most files is one row there.
+
+The gate to the comparison follows from the templates: by Cauchy and Schwarz the squared weights of a template's terms in
+a sentence at the threshold add up to its square or more, so no sentence at the threshold is left out by it.
 
 Defined results: null text counts as empty and has no licence of its own, but can inherit; a null path has no directory;
 ties go to the template that comes first by name, and of licence files of one directory to the best score, then the least
-path; rows that repeat get equal results; an empty table gives no rows; clashing columns are not read.
+path; rows that repeat get equal results; an empty table gives no rows; clashing columns are not read; very long texts
+are read whole, and a sentence of any length is one sentence.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_or_empty
+from .common import cut, map_arrow, table
 
 TERM = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 #: Words of ordinary prose, the most frequent first; the gate to the comparison does without them as far as it can.
 COMMON = "the of and to a in is that it for as be with this are not by or you at all can any use work may under without your from found file".split()
+ENDS = re.compile(r"(?<=[.!?])\s+", re.ASCII)
+PARTS = re.compile(r"\n[\s#/*;%-]*\n", re.ASCII)
+LINES = re.compile(r"\s*\n[\s#/*;%-]*", re.ASCII)
+WORDS = re.compile(r"\S+", re.ASCII)
 #: Of the licences found in a text, this one counts only if there is no other: files under a licence also reserve rights.
 RESERVED = "proprietary"
 THRESHOLD = 0.6
@@ -63,11 +76,11 @@ def template_weights(templates: dict[str, tuple[str, ...]] = TEMPLATES) -> tuple
     return rows, math.log(1 + len(named)) + 1
 
 
-def gate(rows: list[tuple[str, str, float, float]], threshold: float) -> str:
-    """A pattern that every lower-cased sentence at or over the threshold to some template holds.
+def gate(rows: list[tuple[str, str, float, float]], threshold: float) -> set[str]:
+    """Terms of which every sentence at or over the threshold to some template holds one.
 
-    By Cauchy and Schwarz the squared weights of a template's terms in such a sentence add up to threshold ** 2 or more.
-    So terms that weigh less together can be left out, and one of the others is there; common words are left out first.
+    Terms of a template that weigh too little together can be left out, for one of the others is there; common words
+    are left out first.
     """
     of: dict[str, list[tuple[int, float, str]]] = {}
     for name, term, _, weight in rows:
@@ -80,57 +93,122 @@ def gate(rows: list[tuple[str, str, float, float]], threshold: float) -> str:
                 left_out += weight * weight
             else:
                 kept.add(term)
-    return r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, sorted(kept))) + r")(?![a-z0-9])"
+    return kept
+
+
+class Scanner:
+    """Finds the licence of one text."""
+
+    def __init__(self, threshold: float, templates: dict[str, tuple[str, ...]]):
+        rows, self.unknown = template_weights(templates)
+        self.threshold = threshold
+        self.idf = {t: i for _, t, i, _ in rows}
+        self.weights: dict[str, list[tuple[str, float]]] = {}
+        for name, term, _, weight in rows:
+            self.weights.setdefault(term, []).append((name, weight))
+        self.term = re.compile(TERM)
+        self.gate = gate(rows, threshold)
+        self.find = ahocorasick.Automaton()
+        for term in self.gate:
+            self.find.add_word(term, len(term))
+        if self.gate:
+            self.find.make_automaton()
+
+    def hits(self, low: str) -> list[int]:
+        """Where gate terms end that stand between other characters than letters and digits; low: in lower case."""
+        out, n = [], len(low)
+        for end, size in self.find.iter(low):
+            after, before = low[end + 1 : end + 2], low[end - size : end - size + 1] if end >= size else ""
+            if not (after.isascii() and after.isalnum() or before.isascii() and before.isalnum()):
+                out.append(end)
+        return out
+
+    def best(self, sentence: str) -> tuple[float, str, int] | None:
+        """Minus the score, the licence and the terms of a sentence at or over the threshold."""
+        terms = self.term.findall(sentence)
+        if self.gate.isdisjoint(terms):
+            return None
+        counts, dots, common, norm = Counter(terms), Counter(), Counter(), 0.0
+        for t, c in sorted(counts.items()):
+            w = c * self.idf.get(t, self.unknown)
+            norm += w * w
+            for name, weight in self.weights.get(t, ()):
+                dots[name] += w * weight
+                common[name] += 1
+        found = [(-round(d / math.sqrt(norm), 12), name.partition("#")[0]) for name, d in dots.items() if common[name] > 1 and d / math.sqrt(norm) >= self.threshold]
+        return (*min(found), len(terms)) if found else None
+
+    def read(self, sentences: list[str], known: dict) -> tuple[tuple[bool, float, str], int] | None:
+        """The licence of one reading, and how many terms stand in its licence sentences."""
+        hits = []
+        for s in sentences:
+            if s not in known:
+                known[s] = self.best(s)
+            if known[s]:
+                hits.append(known[s])
+        return (min((name == RESERVED, score, name) for score, name, _ in hits), sum(n for *_, n in hits)) if hits else None
+
+    def of(self, text: str) -> tuple[str, float, float] | None:
+        """Licence, score and share of the words in licence sentences."""
+        low = text.lower()
+        if not self.gate or not (at := self.hits(low)):
+            return None
+        known: dict[str, tuple | None] = {}
+        lines = [s for a, z in _pieces(low, "\n", at) for s in ENDS.split(low[a:z])]
+        # only paragraphs with a gate term can hold a licence sentence
+        joined, start = [], 0
+        for m in [*PARTS.finditer(low), None]:
+            end = m.start() if m else len(low)
+            if bisect_left(at, start) < bisect_left(at, end):
+                joined += ENDS.split(LINES.sub(" ", low[start:end]))
+            start = m.end() if m else end
+        read = [r for r in (self.read(lines, known), self.read(joined, known)) if r]
+        if not read:
+            return None
+        (_, score, name), _ = min(read)
+        return name, -score, max(n for _, n in read) / max(1, len(WORDS.findall(text)))
+
+
+def _pieces(text: str, sign: str, at: list[int]) -> Iterator[tuple[int, int]]:
+    """Ends of the pieces between signs that hold one of the places."""
+    done = -1
+    for place in at:
+        if place > done:
+            start, end = text.rfind(sign, 0, place) + 1, text.find(sign, place)
+            done = end if end >= 0 else len(text)
+            yield start, done
 
 
-def sentences(files: DataFrame, pattern: str) -> DataFrame:
-    """key, n_words, at, sentence: candidates of each text. files: key, text. at is negative in joined paragraphs."""
-    text = text_or_empty()
-    ends = r"(?<=[.!?])\s+"
-    lines = F.split(text, r"\n|" + ends)
-    joined = F.transform(F.split(text, r"\n[\s#/*;%-]*\n"), lambda p: F.regexp_replace(p, r"\s*\n[\s#/*;%-]*", " "))
-    whole = F.flatten(F.transform(joined, lambda p: F.split(p, ends)))
-    both = F.concat(F.transform(lines, lambda s, i: F.struct(i.alias("at"), s.alias("sentence"))), F.transform(whole, lambda s, i: F.struct((-1 - i).alias("at"), s.alias("sentence"))))
-    candidates = F.filter(both, lambda s: F.rlike(F.lower(s["sentence"]), F.lit(pattern)))
-    held = files.where(F.rlike(F.lower(text), F.lit(pattern)))
-    return held.select("key", F.regexp_count(text, F.lit(r"\S+")).alias("n_words"), F.explode(candidates).alias("s")).select("key", "n_words", "s.at", "s.sentence")
+def own_licences(files: DataFrame, threshold: float = THRESHOLD, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
+    """doc_id, path, own_license, own_score, share (null without a licence). files: doc_id, path, text."""
+    scanner = None
 
+    def batch(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        nonlocal scanner
+        if scanner is None:
+            scanner = Scanner(threshold, templates)
+        found = [scanner.of(t) if t else None for t in b.column("text").to_pylist()]
+        columns = [pa.array([f and f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("path"), *columns], ["doc_id", "path", "own_license", "own_score", "share"])
 
-def own_licences(files: DataFrame, threshold: float = THRESHOLD, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
-    """key, own_license, own_score, share: for texts with a licence. files: key, text."""
-    spark: SparkSession = files.sparkSession
-    rows, unknown = template_weights(templates)
-    weights = F.broadcast(spark.createDataFrame(rows, "template string, term string, idf double, weight double"))
-    idfs = F.broadcast(spark.createDataFrame(sorted({(t, i) for _, t, i, _ in rows}), "term string, idf double"))
-    terms = F.filter(F.regexp_extract_all(F.lower("sentence"), F.lit(TERM), F.lit(0)), lambda t: t != "")
-    found = sentences(files, gate(rows, threshold)).dropDuplicates(["key", "at"])
-    spread = found.select("key", "n_words", "at", F.size(terms).alias("n"), F.explode(terms).alias("term"))
-    counted = spread.groupBy("key", "n_words", "at", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
-    norms = counted.join(idfs, "term", "left").groupBy("key", "at").agg(F.sqrt(F.sum((F.col("tf") * F.coalesce("idf", F.lit(unknown))) ** 2)).alias("norm"))
-    dots = counted.join(weights, "term").groupBy("key", "n_words", "at", "n", "template").agg(F.sum(F.col("tf") * F.col("idf") * F.col("weight")).alias("dot"), F.count(F.lit(1)).alias("common")).where("common > 1")
-    scored = dots.join(norms, ["key", "at"]).select("key", "n_words", "n", "at", F.substring_index("template", "#", 1).alias("license"), (F.col("dot") / F.col("norm")).alias("score"))
-    hits = scored.where(F.col("score") >= threshold)
-    best = Window.partitionBy("key", "at").orderBy(F.col("score").desc(), "license")
-    per = hits.withColumn("r", F.row_number().over(best)).where("r = 1")
-    first = F.min(F.struct((F.col("license") == RESERVED).alias("reserved"), (-F.col("score")).alias("s"), F.col("license").alias("license")))
-    # a sentence can stand in a line and in a joined paragraph: each reading has its share
-    read = per.groupBy("key", (F.col("at") < 0).alias("joined")).agg(first.alias("b"), (F.sum("n") / F.greatest(F.max("n_words"), F.lit(1))).alias("share"))
-    return read.groupBy("key").agg(F.min("b").alias("b"), F.max("share").alias("share")).select("key", F.col("b.license").alias("own_license"), (-F.col("b.s")).alias("own_score"), "share")
+    slim = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
+    return map_arrow(slim, batch, "doc_id long, path string, own_license string, own_score double, share double")
 
 
 def scanned(files: DataFrame, **options) -> DataFrame:
     """files: doc_id, path, text. doc_id, path, own_license, own_score, license_file, license, inherited_from."""
-    keyed = files.select("doc_id", "path", "text", F.xxhash64(text_or_empty()).alias("key"))
-    own = cut(own_licences(keyed.select("key", "text"), **options))
+    own = own_licences(files, **options)
     place = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    slim = keyed.select("doc_id", "path", "key", F.when(F.col("path").isNotNull(), place).alias("dir"))
-    named = slim.join(own, "key", "left").select("doc_id", "path", "dir", "own_license", "own_score", (F.coalesce((F.col("share") >= FILE_SHARE) | F.col("own_license").isNotNull() & F.regexp_extract("path", "[^/]*$", 0).rlike(FILE_NAME), F.lit(False))).alias("license_file"))
-    named = cut(named)
-    sources = named.where("license_file AND dir IS NOT NULL").groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("s"), "path", F.col("own_license").alias("l"))).alias("b")).select(F.col("dir").alias("holder"), F.col("b.l").alias("held"))
+    holds = F.coalesce((F.col("share") >= FILE_SHARE) | F.col("own_license").isNotNull() & F.regexp_extract("path", "[^/]*$", 0).rlike(FILE_NAME), F.lit(False))
+    named = cut(own.select("doc_id", "path", F.when(F.col("path").isNotNull(), place).alias("dir"), "own_license", "own_score", holds.alias("license_file")))
+    best = F.min(F.struct((-F.col("own_score")).alias("s"), "path", F.col("own_license").alias("l"))).alias("b")
+    sources = cut(named.where("license_file AND dir IS NOT NULL").groupBy("dir").agg(best).select(F.col("dir").alias("holder"), F.col("b.l").alias("held")))
     parts = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("holder")))
-    steps = named.where("dir IS NOT NULL").select("dir").distinct().select("dir", F.explode(above).alias("a")).select("dir", "a.*")
-    near = steps.join(sources, "holder").groupBy("dir").agg(F.max(F.struct("depth", "holder", "held")).alias("n")).select(F.col("dir").alias("d"), "n.holder", "n.held")
+    steps = named.where("dir IS NOT NULL").select("dir").distinct().select("dir", F.explode(above).alias("a")).select("dir", "a.depth", F.col("a.holder").alias("h"))
+    near = steps.join(sources, F.col("h") == F.col("holder")).groupBy("dir").agg(F.max(F.struct("depth", "holder", "held")).alias("n"))
+    # written out, so that a directory of very many files can be dealt to several tasks in the join
+    near = cut(near.select(F.col("dir").alias("d"), "n.holder", "n.held"))
     out = named.join(near, named.dir == near.d, "left")
     inherits = F.col("own_license").isNull() & F.col("held").isNotNull()
     return out.select("doc_id", "path", "own_license", "own_score", "license_file", F.coalesce("own_license", "held").alias("license"), F.when(inherits, F.col("holder")).alias("inherited_from"))
