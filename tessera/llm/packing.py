@@ -3,8 +3,10 @@
 Documents are tokenised, an end id is added, and only those longer than a sequence are cut, from the end, into whole
 sequences; the first piece may be shorter. Whole pieces are sequences by themselves. The others are dealt by a hash to
 islands of bounded size. A chromosome is a packing: a list of bins of pieces. Crossover injects well-filled bins of one
-parent into the other, removes the bins that now hold a piece twice, and puts displaced pieces where they fit best. An
-island stops when it meets its lower bound, the tokens divided by the sequence length.
+parent into the other, removes the bins that now hold a piece twice, exchanges displaced pieces for smaller ones where
+that fills a bin better, and puts the rest where they fit best. An island stops when it meets its lower bound, the tokens
+divided by the sequence length: no packing is better, so where the first chromosomes, best fits of several orders, meet
+it, no crossover runs.
 
 Two epochs run on the islands; between them each sends its fullest bins, as lists of sizes, to the next island, which
 injects such bins where it has pieces of those sizes. Then pieces of all bins with room are dealt to new islands, with
@@ -31,7 +33,9 @@ from .common import cut, map_arrow, table
 LENGTH = 2048
 ISLAND_ROWS = 8192
 POPULATION = 4
-CROSSOVERS = 12
+CROSSOVERS = 40
+#: Displaced pieces of a child for which an exchange is tried; the others go straight to best fit.
+EXCHANGES = 1000
 #: Bins that an island sends on.
 ELITE = 64
 #: Share of a bin that may stay empty when the last islands are dealt.
@@ -116,10 +120,32 @@ def injected(into: Packing, bins: list[list[int]], sizes: list[int], length: int
             kept.append(list(b))
         else:
             displaced += [i for i in b if i not in came]
+    exchanged(kept, displaced, sizes, length)
     displaced.sort(key=lambda i: -sizes[i])
     return Packing(sizes, length, kept + [list(b) for b in bins]).best_fit(displaced)
 
 
+def exchanged(bins: list[list[int]], displaced: list[int], sizes: list[int], length: int) -> None:
+    """Displaced pieces, the largest first, take the place of smaller ones where that fills a bin best; those are displaced instead."""
+    if not bins or not displaced:
+        return
+    items = np.array([i for b in bins for i in b])
+    of = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
+    size = np.array(sizes)[items]
+    room = length - np.bincount(of, size).astype(np.int64)
+    for place, d in enumerate(sorted(range(len(displaced)), key=lambda k: -sizes[displaced[k]])):
+        more = sizes[displaced[d]] - size
+        left = room[of] - more
+        k = int(np.where((more > 0) & (left >= 0), left, length).argmin())
+        if more[k] <= 0 or left[k] < 0 or place >= EXCHANGES:
+            continue
+        b = of[k]
+        bins[b][bins[b].index(int(items[k]))] = displaced[d]
+        displaced[d], items[k] = int(items[k]), displaced[d]
+        room[b] -= more[k]
+        size[k] += more[k]
+
+
 def evolve(sizes: list[int], length: int, seed: int, given: list[list[int]] | None = None, immigrants: list[list[int]] | None = None, population: int = POPULATION, crossovers: int = CROSSOVERS) -> list[list[int]]:
     """The best packing found. given: a packing to start from; immigrants: bins as lists of sizes."""
     rng = np.random.default_rng(seed)

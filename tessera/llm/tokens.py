@@ -2,7 +2,8 @@
 
 The library's model is asked once for each different piece of text between its own split points; ids of a text are those
 of its pieces side by side. The split is done here for texts of Latin characters, for which its classes are spelled out;
-any other text goes to the library whole, so ids are the library's in every case.
+any other text, and one that holds a token added to the vocabulary (such as its end-of-text mark), goes to the library
+whole, so ids are the library's in every case.
 """
 
 from __future__ import annotations
@@ -59,9 +60,10 @@ class Ids(Table):
     def __init__(self, path: str):
         super().__init__(self.word)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model.tokenize
         self.names = _byte_names()
+        #: Texts that hold one of these go to the library whole: it gives them ids of their own.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces = Table(self.piece)
         self.split = _pattern().findall
         self.foreign = re.compile(f"[^\\x00-{chr(LIMIT - 1)}]").search
@@ -87,7 +89,7 @@ class Ids(Table):
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
     def of(self, text: str) -> bytes:
-        if self.foreign(text):
+        if self.foreign(text) or any(t in text for t in self.added):
             return self.whole(text)
         if self.runs(text):
             return self.joined(text)

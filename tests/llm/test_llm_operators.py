@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -262,15 +263,17 @@ def test_packing(spark):
     path = packing.public_tokenizer()
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choices(["alpha", "beta,", "Größe", "漢字", "don't  stop", "x1\n"], k=rng.randint(0, 300))), "s") for i in range(150)] + edge_rows()[1:]
-    rows = [(k, t, s) for k, (_, t, s) in enumerate(rows)] + [(None, "same", None), (None, "same", None)]
+    rows = [(k, t, s) for k, (_, t, s) in enumerate(rows)] + [(2000, "a <|endoftext|> b" + "<|endoftext|>" * 200, "s"), (None, "same", None), (None, "same", None)]
     pieces = packing.pack(table(spark, rows), path, 128).toPandas()
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
+    assert 50256 in plain.encode(rows[-3][1], add_special_tokens=False).ids
     for i, text, _ in rows[:-2]:
         ids = plain.encode(text or "", add_special_tokens=False).ids + [0]
         own = pieces[pieces.doc_id == i].sort_values("piece")
         assert own.length.sum() == len(ids) and own.start.tolist() == (own.length.cumsum() - own.length).tolist()
         assert (own.length.iloc[1:] == 128).all() and len(own) == -(-len(ids) // 128)
+        raw = np.array(ids, "<u4")
+        assert own.ids_crc32.tolist() == [zlib.crc32(raw[a : a + n].tobytes()) for a, n in zip(own.start, own.length, strict=True)]
     filled = pieces.sort_values(["sequence_id", "offset"])
     assert (filled.groupby("sequence_id").length.cumsum() - filled.length == filled.offset).all()
     sums = filled.groupby("sequence_id").length.sum()
@@ -287,6 +290,19 @@ def test_islands_improve_on_best_fit():
     assert max(sum(sizes[i] for i in b) for b in bins) <= 2048 and len(bins) <= len(first.bins)
 
 
+def test_crossover_beats_best_fit():
+    """Sizes that fill bins by threes only: best fit, in the order of size, needs more bins than what crossover finds."""
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        one, two = rng.integers(500, 800, 300), rng.integers(500, 740, 300)
+        sizes = np.concatenate([one, two, 2048 - one - two]).tolist()
+        first = packing.Packing(sizes, 2048).best_fit(sorted(range(900), key=lambda i: -sizes[i]))
+        without = packing.evolve(sizes, 2048, seed, crossovers=0)
+        bins = packing.evolve(sizes, 2048, seed)
+        assert 300 <= len(bins) < min(len(first.bins), len(without))
+        assert sorted(i for b in bins for i in b) == list(range(900)) and max(sum(sizes[i] for i in b) for b in bins) <= 2048
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(8)
     rows = [(i, " ".join(["w"] * rng.randint(0, 30)), rng.choice(["a", "a", "a", "b", "c", "d", None])) for i in range(400)] + [(500 + k, t, s) for k, (_, t, s) in enumerate(edge_rows())]
