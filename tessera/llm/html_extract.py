@@ -6,7 +6,9 @@ the contiguous region of largest score. The region grows to each element that ho
 has half of the words there, or a quarter where cues mark an article; blocks in the region under furniture are left out.
 
 Text of a block: character references decoded, white space turned into one blank, trimmed; blocks in page order, joined
-by a newline. Inline tags do not part words, line breaks do.
+by a newline. Inline tags do not part words, line breaks do. Formulas and the fallback text of embedded objects are text.
+
+Reading is one pass: a tag that does not end is looked for once, and an element costs the same at any depth.
 
 Defined results: null and empty html, and pages without words, give the empty text; markup that does not end, or closes
 what was not open, is read as far as it goes; very long pages are read whole; rows that repeat give equal rows; null ids
@@ -29,7 +31,7 @@ from .labelled_pages import labelled_pages
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|math|canvas|object|textarea|select|button|title|head)\b(?P<rawrest>(?:\"[^\"<]*\"|'[^'<]*'|[^'\">])*+)>"
+    r"|<(?P<raw>script|style|noscript|template|iframe|textarea|select|button|title|head)\b(?P<rawrest>(?:\"[^\"<]*\"|'[^'<]*'|[^'\">])*+)>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"<]*\"|'[^'<]*'|[^'\">])*+)>"
     r"|<[/!?a-zA-Z][^>]*+>",
     re.S | re.I,
@@ -37,7 +39,12 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split())
-BREAK = frozenset("br td th wbr img input".split())
+BREAK = frozenset("br td th input".split())
+#: Cells of a row are one block, but for cells that are furniture.
+CELL = frozenset(("td", "th"))
+#: Elements of which nothing is shown, or only a control: code that does not end runs to the end of the page.
+CODE = frozenset(("script", "style", "textarea"))
+CLOSE = {n: re.compile(rf"</{n}\b[^>]*>" + ("|(?=<body\\b)" if n == "head" else ""), re.I) for n in "script style noscript template iframe textarea select button title head".split()}
 #: Elements that are followed from start to end; others do not carry cues.
 HOLDS = frozenset("article aside body details dialog div dl fieldset figure footer form header html main menu nav ol section table ul td li dd p span label".split())
 WHOLE = frozenset(("html", "body"))
@@ -70,62 +77,119 @@ class Weights:
         return max((self.cue.get(c, 0.0) for c in found), key=abs, default=0.0)
 
 
+class Elements:
+    """The open elements, and for every element its parent, its last descendant and the blocks that it holds.
+
+    Every step costs what it opens or closes, however deep it stands: the last place of each name on the stack is kept.
+    """
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.parent: list[int] = []
+        self.last: list[int] = []
+        self.first_block: list[int] = []
+        self.end_block: list[int] = []
+        self.weight: list[float] = []
+        self.seen: list[list[str]] = []
+        self.stack: list[int] = []
+        self.inside: list[bool] = []  # of each on the stack: whether it or one above marks an article
+        self.spots: dict[str, list[int]] = {}
+        self.cleared = 0  # so many from the bottom are known to hold an article
+
+    def open(self, name: str, found: list[str], weight: float, block: int) -> None:
+        self.spots.setdefault(name, []).append(len(self.stack))
+        self.inside.append(name in ("article", "main") or weight >= 1 or bool(self.inside and self.inside[-1]))
+        self.parent.append(self.stack[-1] if self.stack else -1)
+        self.stack.append(len(self.names))
+        self.names.append(name)
+        self.seen.append(found)
+        self.weight.append(weight)
+        self.last.append(-1)
+        self.first_block.append(block)
+        self.end_block.append(-1)
+
+    def close_from(self, place: int, block: int) -> None:
+        while len(self.stack) > place:
+            e = self.stack.pop()
+            self.inside.pop()
+            self.spots[self.names[e]].pop()
+            self.last[e], self.end_block[e] = len(self.names) - 1, block
+        self.cleared = min(self.cleared, len(self.stack))
+
+    def spot(self, name: str) -> int:
+        """The highest place of a name on the stack; -1 without one."""
+        held = self.spots.get(name)
+        return held[-1] if held else -1
+
+    def holds_article(self) -> None:
+        """What holds an article is not furniture, whatever its names say."""
+        for e in self.stack[self.cleared :]:
+            self.weight[e] = max(self.weight[e], 0.0)
+        self.cleared = len(self.stack)
+
+
 class Page:
-    """Items (score, block) in page order, and blocks with their text, element path and furniture mark."""
+    """Items (score, block) in page order; blocks with their text, innermost element and furniture mark."""
 
     def __init__(self, html: str, weights: Weights):
         self.html, self.weights = html, weights
         self.scores: list[float] = []
         self.of: list[int] = []
         self.blocks: list[str] = []
-        self.holders: list[tuple[int, ...]] = []
+        self.holder: list[int] = []
         self.plain: list[bool] = []
-        self.seen: list[list[str]] = []
-        self.names: list[str] = []
-        self.weight: list[float] = []
         self.sizes: list[int] = []
+        self.elements = Elements()
         self._read()
         self._judge()
 
     def _read(self) -> None:
-        html, weights = self.html, self.weights
-        stack: list[tuple[str, int, float]] = []
+        html, weights, el = self.html, self.weights, self.elements
         text: list[str] = []
-        at = 0
+        unclosed: set[str] = set()
 
         def flush() -> None:
             if not text:
                 return
-            words = unescape("".join(text)).split()
+            words = "".join(text).split()
             text.clear()
             if words:
                 self.scores.append(0.0)
                 self.of.append(len(self.blocks))
                 self.blocks.append(" ".join(words))
                 self.sizes.append(len(words))
-                self.holders.append(tuple(s[1] for s in stack))
+                self.holder.append(el.stack[-1] if el.stack else -1)
 
-        n = len(html)
+        def say(piece: str) -> None:
+            text.append(unescape(piece) if "&" in piece else piece)
+
+        # no tag ends behind the last bracket, so none is looked for there
+        at, n, end = 0, len(html), html.rfind(">") + 1
         while at < n:
-            m = TOKEN.search(html, at)
+            m = TOKEN.search(html, at, end) if at < end else None
             if m is None:
-                text.append(html[at:])
+                open_comment = html.find("<!--", max(at, end))
+                say(html[at : open_comment if open_comment >= 0 else n])
                 break
             if m.start() > at:
-                text.append(html[at : m.start()])
+                say(html[at : m.start()])
             at = m.end()
             if m["raw"]:
                 name = m["raw"].lower()
                 if not m["rawrest"].endswith("/") or name in ("script", "style"):
-                    close = re.compile(rf"</{name}\b[^>]*>" + ("|(?=<body\\b)" if name == "head" else ""), re.I).search(html, at)
-                    # what does not end: code runs to the end of the page, of others only the tag goes
-                    at = close.end() if close else n if name in ("script", "style", "textarea") else at
+                    close = None if name in unclosed else CLOSE[name].search(html, at)
+                    # of what does not end only the tag goes, but for code
+                    at = close.end() if close else n if name in CODE else at
+                    if not close:
+                        unclosed.add(name)
                 if name != "button":
                     text.append(" ")
                 continue
             if not m["tag"]:
+                if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                    at = n
                 continue
-            tag, rest, end = m["tag"].lower(), m["rest"], bool(m["end"])
+            tag, rest, ends = m["tag"].lower(), m["rest"], bool(m["end"])
             if tag in BLOCK:
                 flush()
             elif tag in BREAK:
@@ -134,43 +198,47 @@ class Page:
             self.of.append(-1)
             if tag not in HOLDS:
                 continue
-            if end:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        if tag != "p" or k == len(stack) - 1:
-                            del stack[k:]
-                        break
+            block = len(self.blocks)
+            if ends:
+                k = el.spot(tag)
+                if tag in CELL and k >= 0 and el.weight[el.stack[k]] < FURNITURE:
+                    flush()
+                    block = len(self.blocks)
+                if k >= 0 and (tag != "p" or k == len(el.stack) - 1):
+                    el.close_from(k, block)
                 continue
-            if tag in BLOCK and stack and stack[-1][0] == "p":
-                stack.pop()
+            if tag in BLOCK and el.stack and el.names[el.stack[-1]] == "p":
+                el.close_from(len(el.stack) - 1, block)
             if tag == "li":
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ("ul", "ol", "menu"):
-                        break
-                    if stack[k][0] == "li":
-                        del stack[k:]
-                        break
+                k = el.spot("li")
+                if k > max(el.spot("ul"), el.spot("ol"), el.spot("menu")):
+                    el.close_from(k, block)
             if rest.endswith("/"):
                 continue
-            found = cues(tag, rest, any(s[0] in ("article", "main") or s[2] >= 1 for s in stack))
+            found = cues(tag, rest, bool(el.inside and el.inside[-1]))
             own = weights.of(found)
             if own >= FURNITURE and tag in ("article", "main"):
-                # what holds the article is not furniture, whatever its names say
-                for s in stack:
-                    self.weight[s[1]] = max(self.weight[s[1]], 0.0)
-            stack.append((tag, len(self.names), own))
-            self.names.append(tag)
-            self.weight.append(own)
-            self.seen.append(found)
+                el.holds_article()
+            if tag in CELL and own < FURNITURE:
+                flush()
+                block = len(self.blocks)
+            el.open(tag, found, own, block)
         flush()
+        el.close_from(0, len(self.blocks))
 
     def _judge(self) -> None:
+        el = self.elements
+        least, most = [], []
+        for e, parent in enumerate(el.parent):
+            w = el.weight[e]
+            least.append(min(w, least[parent]) if parent >= 0 else w)
+            most.append(max(w, most[parent], 0.0) if parent >= 0 else max(w, 0.0))
         for i, b in enumerate(self.of):
             if b >= 0:
-                own = [self.weight[h] for h in self.holders[b]]
-                cue = min(own, default=0.0)
+                h = self.holder[b]
+                cue = least[h] if h >= 0 else 0.0
                 self.plain.append(cue >= FURNITURE)
-                self.scores[i] = (cue if cue < FURNITURE else 1.0 + 0.1 * max([0.0, *own])) * self.sizes[b]
+                self.scores[i] = (cue if cue < FURNITURE else 1.0 + 0.1 * (most[h] if h >= 0 else 0.0)) * self.sizes[b]
 
     def region(self) -> tuple[int, int]:
         """First and last block of the best contiguous run of items; (0, -1) without any."""
@@ -188,20 +256,21 @@ class Page:
         first, last = self.region()
         if last < first:
             return ""
-        common = list(self.holders[first])
-        for h in self.holders[first : last + 1]:
-            k = 0
-            while k < len(common) and k < len(h) and common[k] == h[k]:
-                k += 1
-            del common[k:]
-        for holder in reversed(common):
-            if self.names[holder] in WHOLE:
-                continue
-            held = [b for b, h in enumerate(self.holders) if holder in h]
-            words = sum(self.sizes[b] for b in held if self.plain[b])
-            own = sum(self.sizes[b] for b in range(first, last + 1) if self.plain[b])
-            if own >= (LEAST_SHARE / 2 if self.weight[holder] >= 1 else LEAST_SHARE) * words:
-                first, last = min(first, held[0]), max(last, held[-1])
+        el = self.elements
+        words = [0]
+        for size, plain in zip(self.sizes, self.plain, strict=True):
+            words.append(words[-1] + size * plain)
+        holder = self.holder[first]
+        for h in self.holder[first : last + 1]:
+            while holder >= 0 and not holder <= h <= el.last[holder]:
+                holder = el.parent[holder]
+        while holder >= 0:
+            if el.names[holder] not in WHOLE:
+                a, z = el.first_block[holder], el.end_block[holder]
+                share = LEAST_SHARE / 2 if el.weight[holder] >= 1 else LEAST_SHARE
+                if words[last + 1] - words[first] >= share * (words[z] - words[a]):
+                    first, last = min(first, a), max(last, z - 1)
+            holder = el.parent[holder]
         return "\n".join(self.blocks[b] for b in range(first, last + 1) if self.plain[b])
 
 
@@ -222,12 +291,13 @@ def learned(pages: list[tuple[str, list[str]]], known: Weights | None = None) ->
             good.append(wanted[b] > 0)
             wanted[b] -= good[-1]
         words: dict[int, list[int]] = defaultdict(lambda: [0, 0])
-        for b, holders in enumerate(page.holders):
-            for h in holders:
+        for b, h in enumerate(page.holder):
+            while h >= 0:
                 words[h][0 if good[b] else 1] += page.sizes[b]
+                h = page.elements.parent[h]
         for h, (i, o) in words.items():
             # an element that holds most of the main text says nothing against itself by what else it holds
-            for c in set(page.seen[h]):
+            for c in set(page.elements.seen[h]):
                 inside[c] += i
                 outside[c] += 0 if i > o else o
         low, high = html.find(blocks[0][:12]), html.rfind(blocks[-1][-12:])
