@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, shuffle_partitions, stored, table
+from .common import Scratch, cut, map_arrow, shuffle_partitions, table
 
 BITS = 64
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -233,7 +233,7 @@ def split(many: DataFrame, masks: list[int], radius: int) -> tuple[DataFrame, li
     return many.select("fp", F.explode(cells).alias("c")).select("c.key", "c.choice", "fp"), [m | x for m, r in zip(masks, blocks, strict=True) for x in r]
 
 
-def links(fps: DataFrame, radius: int = 3, blocks: int | None = None, node_rows: int = NODE_ROWS) -> DataFrame:
+def links(fps: DataFrame, scratch: Scratch, radius: int = 3, blocks: int | None = None, node_rows: int = NODE_ROWS) -> DataFrame:
     """fps: distinct fingerprints in column fp. Stars (a, b) that connect all that links connect.
 
     blocks: how many blocks the bits are cut into, over radius; blocks - radius of them agree in every link. A node with
@@ -246,7 +246,7 @@ def links(fps: DataFrame, radius: int = 3, blocks: int | None = None, node_rows:
     nodes, found = fps.select("fp", F.explode(cells).alias("c")).select("c.key", "c.choice", "fp"), None
     for turn in range(SPLITS + 1):
         sizes = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("key", "k")
-        many = cut(nodes.join(sizes, F.col("key") == F.col("k")).drop("k"))
+        many = scratch.stored(nodes.join(sizes, F.col("key") == F.col("k")).drop("k"))
         small = many.where(F.col("n") <= node_rows).select("key", "fp")
         found = small if found is None else found.union(small)
         large = many.where(F.col("n") > node_rows)
@@ -270,7 +270,7 @@ def renamed(rows: DataFrame, column: str, to: DataFrame) -> DataFrame:
     return rows.join(told, onto, "left").withColumn(column, F.coalesce("to", column)).drop("via", "to", "salt")
 
 
-def components(edges: DataFrame, hub: int = HUB) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, hub: int = HUB) -> DataFrame:
     """edges (a, b). Smallest label reachable, for each node with an edge: (node, root).
 
     A round takes the neighbours' least label; a label of which some node learned a smaller one gives way to it
@@ -278,18 +278,18 @@ def components(edges: DataFrame, hub: int = HUB) -> DataFrame:
     changes. A node with more than `hub` neighbours is dealt to several tasks, and so are the nodes of one label.
     """
     both = edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").distinct()
-    degrees = stored(both.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / hub).cast("int").alias("parts")).withColumnRenamed("b", "node"))
-    pairs = stored(both.join(degrees, F.col("b") == F.col("node")).select("a", "b", F.pmod(F.hash("a"), "parts").alias("part")))
-    labels = stored(pairs.groupBy("a").agg(F.min("b").alias("m")).join(degrees, F.col("a") == F.col("node")).select("node", F.least("a", "m").alias("root"), "parts"))
+    degrees = scratch.stored(both.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / hub).cast("int").alias("parts")).withColumnRenamed("b", "node"))
+    pairs = scratch.stored(both.join(degrees, F.col("b") == F.col("node")).select("a", "b", F.pmod(F.hash("a"), "parts").alias("part")))
+    labels = scratch.stored(pairs.groupBy("a").agg(F.min("b").alias("m")).join(degrees, F.col("a") == F.col("node")).select("node", F.least("a", "m").alias("root"), "parts"))
     while True:
         told = labels.select("node", "root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"))
         near = pairs.join(told, (F.col("b") == F.col("node")) & (F.col("part") == F.col("p"))).groupBy("a").agg(F.min("root").alias("near"))
-        step = stored(labels.join(near, labels.node == near.a).select("node", "parts", F.col("root").alias("old"), F.least("root", "near").alias("new"), F.col("root").alias("given")))
+        step = scratch.stored(labels.join(near, labels.node == near.a).select("node", "parts", F.col("root").alias("old"), F.least("root", "near").alias("new"), F.col("root").alias("given")))
         lower = step.where("old <> new").groupBy(F.col("old").alias("via")).agg(F.min("new").alias("to"))
-        step = stored(renamed(step, "given", lower).select("node", "parts", "old", F.least("new", "given").alias("root")))
+        step = scratch.stored(renamed(step, "given", lower).select("node", "parts", "old", F.least("new", "given").alias("root")))
         used = step.select(F.col("root").alias("via")).distinct()
         onward = used.join(step, F.col("via") == F.col("node")).where("root < via").select("via", F.col("root").alias("to"))
-        labels = stored(renamed(step, "root", onward))
+        labels = scratch.stored(renamed(step, "root", onward))
         if labels.where("old <> root").isEmpty():
             return labels.select("node", "root")
 
@@ -298,8 +298,9 @@ def linked_rows(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks: int
     """doc_id, text_hash, fp, root (the component) and component_id for each row."""
     prints = cut(with_fingerprints(docs, shingle))
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(firsts.select("fp"), radius, blocks, node_rows))
-    classes = cut(firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    with Scratch(docs.sparkSession) as scratch:
+        roots = components(links(firsts.select("fp"), scratch, radius, blocks, node_rows), scratch)
+        classes = cut(firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     least = cut(classes.groupBy("root").agg(F.min("first").alias("component_id")))
     of = classes.join(least, "root").select(F.col("fp").alias("f"), "root", "component_id")
     return prints.join(of, prints.fp == of.f).select("doc_id", "text_hash", "fp", "root", "component_id")

@@ -12,6 +12,7 @@ import pytest
 import xxhash
 
 from tessera.llm import ann, fingerprints, html_extract, licenses, lm, mixing, near_copies, packing, pii, simhash, toxicity
+from tessera.llm.common import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, target double, key string"
 
@@ -209,7 +210,8 @@ def test_gray_index_loses_no_link(spark, node_rows):
     merged = np.arange(len(v))
     assert (simhash.stars(merged, simhash.group_pairs(np.zeros(len(v), int), v, 3, merged)) == root).all()
     df = spark.createDataFrame([(int(x),) for x in v.view(np.int64)], "fp long")
-    got = {r.node: r.root for r in simhash.components(simhash.links(df, 3, None, node_rows)).collect()}
+    with Scratch(spark) as scratch:
+        got = {r.node: r.root for r in simhash.components(simhash.links(df, scratch, 3, None, node_rows), scratch).collect()}
     linked = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
     assert set(got) == set(v.view(np.int64)[linked].tolist())
     assert len(set(got.values())) == len(set(root[linked].tolist()))
@@ -217,7 +219,8 @@ def test_gray_index_loses_no_link(spark, node_rows):
 
 def test_components_of_a_long_rising_path(spark):
     path = spark.createDataFrame([(k + 1, k) for k in range(200)], "a long, b long")
-    assert {(r.node, r.root) for r in simhash.components(path).collect()} == {(k, 0) for k in range(201)}
+    with Scratch(spark) as scratch:
+        assert {(r.node, r.root) for r in simhash.components(path, scratch).collect()} == {(k, 0) for k in range(201)}
 
 
 def base_spans(text):
