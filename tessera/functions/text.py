@@ -13,6 +13,18 @@ from pyspark.sql.types import StringType
 #: White space as Python's str.split() sees it.
 SPACE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SPACES = f"[{SPACE}]+"
+#: What collapsing changes: runs of two and more, and single ones that are no blank.
+UNEVEN = f"[{SPACE}]{{2,}}+|[{SPACE}&&[^\\x20]]"
+#: Frequent English words, as Spark's stop-word remover has them.
+ENGLISH_STOP = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves"
+    " what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while"
+    " of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there"
+    " when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now"
+    " i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're they're i've we've you've they've"
+    " isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't mustn't can't couldn't cannot could"
+    " here's how's let's ought that's there's what's when's where's who's why's would"
+).split()
 
 
 def _col(c: Column | str) -> Column:
@@ -21,12 +33,12 @@ def _col(c: Column | str) -> Column:
 
 def collapse_spaces(c: Column | str) -> Column:
     """Runs of white space become one blank; none is left at the ends."""
-    return F.trim(F.regexp_replace(_col(c), SPACES, " "))
+    return F.trim(F.regexp_replace(_col(c), UNEVEN, " "))
 
 
 def remove_punctuation(c: Column | str) -> Column:
     """Keeps letters, numbers, marks of the underscore and white space."""
-    return F.regexp_replace(_col(c), f"[^\\p{{L}}\\p{{N}}_{SPACE}]", "")
+    return F.regexp_replace(_col(c), f"[^\\p{{L}}\\p{{N}}_{SPACE}]+", "")
 
 
 def remove_ascii_punctuation(c: Column | str) -> Column:
@@ -54,9 +66,7 @@ def remove_stop_words(tokens: Column | str, stop: list[str]) -> Column:
 
 
 def english_stop_words() -> list[str]:
-    from pyspark.ml.feature import StopWordsRemover
-
-    return StopWordsRemover.loadDefaultStopWords("english")
+    return list(ENGLISH_STOP)
 
 
 @F.pandas_udf(StringType())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,13 +12,23 @@ from ..functions import text as T
 
 
 def held(df: DataFrame) -> DataFrame:
-    """A table that is used several times: in the checkpoint folder where there is one, else in memory and on disk."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """A table that is used several times: in the checkpoint folder where there is one, else kept twice, so that a lost executor takes no row along."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist(StorageLevel.MEMORY_AND_DISK_2)
+
+
+def once(df: DataFrame, name: str, c: Column) -> DataFrame:
+    """df with a column that is computed once a row, whatever is asked of it later.
+
+    Filters are not pushed through a generator, so the expression is not copied into each of them.
+    """
+    rest = [x for x in df.columns if x != name]
+    return df.select(*rest, F.explode(F.array(c)).alias(name)).select(*(df.columns if name in df.columns else [*rest, name]))
 
 
 def length_between(df: DataFrame, low: int, high: int, column: str = "text", inclusive: bool = True) -> DataFrame:
-    n = F.length(column)
-    return df.where((n >= low) & (n <= high) if inclusive else (n > low) & (n < high))
+    """Rows whose text has low to high characters; one comparison, so the length is asked for once."""
+    off = F.abs(2 * F.length(column) - (low + high))
+    return df.where(off <= high - low if inclusive else off < high - low)
 
 
 def non_blank(df: DataFrame, column: str) -> DataFrame:
@@ -61,42 +72,47 @@ def dedup_statistics(df: DataFrame, column: str, file_column: str) -> DataFrame:
     return df.agg(F.count_distinct(file_column).alias("source_files"), total.alias("total"), kept.alias("unique_rows"), (total - kept).alias("duplicates_removed"), F.array_sort(F.collect_set(file_column)).alias("file_list"))
 
 
-def tfidf(df: DataFrame, key: str, column: str = "text", stop: list[str] | None = None) -> DataFrame:
-    """(key, term, weight): raw counts times ln((1 + n) / (1 + df)) + 1, rows of unit length."""
+def tfidf(df: DataFrame, key: str, column: str = "text", stop: list[str] | None = None, copies: str | None = None) -> DataFrame:
+    """(key, term, weight): raw counts times ln((1 + n) / (1 + df)) + 1, rows of unit length.
+
+    copies: a column that says for how many equal texts a row stands.
+    """
     tokens = T.terms(column)
     if stop:
         tokens = T.remove_stop_words(tokens, stop)
-    counts = df.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = df.agg(F.count(F.lit(1)).alias("n"))
-    frequency = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = counts.join(frequency, "term").crossJoin(F.broadcast(n)).select(key, "term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
+    times = F.col(copies).cast("long") if copies else F.lit(1).cast("long")
+    counts = df.select(key, times.alias("copies"), F.explode(tokens).alias("term")).groupBy(key, "copies", "term").agg(F.count(F.lit(1)).alias("tf"))
+    n = df.agg(F.coalesce(F.sum(times), F.lit(0)).alias("n"))
+    frequency = counts.groupBy("term").agg(F.sum("copies").alias("df"))
+    raw = counts.join(frequency, "term").crossJoin(F.broadcast(n)).select(key, "term", "df", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
     norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    return raw.join(norms, key).select(key, "term", "df", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def near_pairs(df: DataFrame, key: str, column: str = "text", threshold: float = 0.8, stop: list[str] | None = None) -> DataFrame:
-    """(a, b, similarity), a < b: TF-IDF cosine over the threshold, strictly.
+def near_pairs(weights: DataFrame, key: str, threshold: float = 0.9) -> DataFrame:
+    """(a, b, similarity), a < b: unit vectors (key, term, df, weight) whose cosine is over the threshold, strictly.
 
     Candidates come from prefixes: with terms ordered from rare to common, two unit vectors whose cosine exceeds t share
     a term among those before the squared weights left fall to t * t. Only prefix terms are joined, so common terms make
     no pairs. A pair goes on if what it shares in classes of frequency (powers of two) that both prefixes hold whole,
     and the most that the other classes' weights can add, pass the threshold; those left are scored over all terms.
+    Vectors should be distinct: copies would pair with each other and with all that is near them.
     """
-    weights = held(tfidf(df, key, column, stop))
-    frequency = weights.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weights = held(weights)
     square = F.col("weight") * F.col("weight")
     after = Window.partitionBy(key).orderBy(F.col("df").desc(), F.col("term").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     level = F.floor(F.log2("df")).cast("int").alias("level")
-    ranked = weights.join(frequency, "term").select(key, "term", "weight", "df", level, F.sum(square).over(after).alias("left"))
+    ranked = weights.select(key, "term", "weight", "df", level, F.sum(square).over(after).alias("left"))
     inside = F.col("left") >= threshold * threshold - 1e-9
     # of each text: the first class that its prefix does not hold whole, and the squared weight of each class
     own = ranked.groupBy(key, "level").agg(F.sum(square).alias("mass"), F.min(inside.cast("int")).alias("whole"))
-    texts = held(own.groupBy(key).agg(F.coalesce(F.min(F.when(F.col("whole") == 0, F.col("level"))), F.lit(64)).alias("cut"), F.map_from_entries(F.collect_list(F.struct("level", "mass"))).alias("mass")))
-    prefix = ranked.where(inside).where("df > 1")
+    texts = own.groupBy(key).agg(F.coalesce(F.min(F.when(F.col("whole") == 0, F.col("level"))), F.lit(64)).alias("cut"), F.map_from_entries(F.collect_list(F.struct("level", "mass"))).alias("mass"))
+    prefix = held(ranked.where(inside).where("df > 1").select(key, "term", "level", "weight"))
     left = prefix.select(F.col(key).alias("a"), "term", "level", F.col("weight").alias("wa"))
     right = prefix.select(F.col(key).alias("b"), "term", F.col("weight").alias("wb"))
     shared = left.join(right, "term").where("a < b").groupBy("a", "b", "level").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
-    shared = shared.groupBy("a", "b").agg(F.collect_list(F.struct("level", "dot")).alias("dots"))
+    shared = held(shared.groupBy("a", "b").agg(F.collect_list(F.struct("level", "dot")).alias("dots")))
+    texts = held(texts.join(shared.select(F.explode(F.array("a", "b")).alias("k")).distinct(), F.col(key) == F.col("k"), "left_semi"))
     side = lambda k: texts.select(F.col(key).alias(k), F.col("cut").alias(f"cut_{k}"), F.col("mass").alias(f"mass_{k}"))
     rest = lambda k: f"aggregate(filter(map_entries(mass_{k}), e -> e.key >= least(cut_a, cut_b)), 0D, (s, e) -> s + e.value)"
     most = F.expr(f"aggregate(filter(dots, d -> d.level < least(cut_a, cut_b)), 0D, (s, d) -> s + d.dot) + sqrt({rest('a')} * {rest('b')})")
@@ -107,17 +123,34 @@ def near_pairs(df: DataFrame, key: str, column: str = "text", threshold: float =
     return scored.where(F.col("similarity") > threshold)
 
 
-def near_dedup(df: DataFrame, key: str, column: str = "text", threshold: float = 0.8, stop: list[str] | None = None) -> DataFrame:
-    """Rows without an earlier near copy; a row goes even if its earlier copy went itself."""
-    later = near_pairs(df, key, column, threshold, stop).select(F.col("b").alias(key)).distinct()
-    return df.join(later, key, "left_anti")
+def near_dedup(df: DataFrame, key: str, column: str = "text", threshold: float = 0.9, stop: list[str] | None = None) -> DataFrame:
+    """Rows without an earlier near copy, by key; a row goes even if its earlier copy went itself. Texts without terms stay.
 
+    Texts with the same terms are one class with one vector, so a group of copies is compared once. A row goes if its
+    class, or one near it, has a member of a smaller key.
+    """
+    tokens = T.terms(column)
+    if stop:
+        tokens = T.remove_stop_words(tokens, stop)
+    bag = F.array_join(F.array_sort(tokens), " ")
+    named = held(once(df.select(F.col(key).alias("__key"), bag.alias("__bag")).where("__bag <> ''"), "__class", F.sha2("__bag", 256)))
+    classes = held(named.groupBy("__class").agg(F.min("__key").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("__bag").alias("bag")))
+    pairs = near_pairs(tfidf(classes, "__class", "bag", copies="copies"), "__class", threshold)
+    firsts = classes.select(F.col("__class").alias("c"), "first")
+    met = pairs.select("a", "b").union(pairs.select("b", "a")).join(firsts, F.col("b") == F.col("c")).groupBy("a").agg(F.min("first").alias("near"))
+    earliest = firsts.join(met, F.col("c") == F.col("a"), "left").select("c", F.least("first", F.coalesce("near", "first")).alias("earliest"))
+    later = named.join(held(earliest), F.col("__class") == F.col("c")).where(F.col("__key") > F.col("earliest")).select("__key")
+    return df.join(later, F.col(key) == F.col("__key"), "left_anti")
 
-def clean(df: DataFrame, key: str, column: str = "text", low: int = 10, high: int = 1000, threshold: float = 0.8) -> DataFrame:
-    """The cleaning pipeline: preprocess, drop stop words, filter by length, drop near copies. raw_<column> keeps the input."""
-    tokens = T.remove_stop_words(T.words(T.preprocess(column)), T.english_stop_words())
-    ready = df.withColumn(f"raw_{column}", F.col(column)).withColumn(column, F.array_join(tokens, " "))
-    return near_dedup(length_between(ready, low, high, column), key, column, threshold)
+
+def clean(df: DataFrame, key: str, column: str = "text", low: int = 10, high: int = 1000, threshold: float = 0.9, stop: list[str] | None = None, vector_stop: list[str] | None = None) -> DataFrame:
+    """The cleaning pipeline: preprocess, drop stop words, filter by length, drop near copies. raw_<column> keeps the input.
+
+    stop: words that leave the texts; vector_stop: words that do not count where texts are compared. Both are the English list unless given.
+    """
+    tokens = T.remove_stop_words(T.words(T.preprocess(column)), stop if stop is not None else T.english_stop_words())
+    ready = once(df.withColumn(f"raw_{column}", F.col(column)), column, F.array_join(tokens, " "))
+    return near_dedup(length_between(ready, low, high, column), key, column, threshold, vector_stop if vector_stop is not None else T.english_stop_words())
 
 
 def validation_report(df: DataFrame, column: str = "text", short: int = 10) -> DataFrame:

@@ -57,7 +57,7 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     SELECT lang, count(*) AS n_docs, sum(length(body))::BIGINT AS n_chars FROM k WHERE r = 1 GROUP BY lang"""
 )
 def clean_corpus_summary(spark, sf_dir):
-    docs = t(spark, sf_dir, "documents").select("doc_id", "lang", T.preprocess("text").alias("body"))
+    docs = cleaning.once(t(spark, sf_dir, "documents"), "body", T.preprocess("text")).select("doc_id", "lang", "body")
     kept = cleaning.exact_dedup(cleaning.length_between(docs, 10, 1000, "body"), "body", "doc_id")
     return kept.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.length("body")).alias("n_chars"))
 
@@ -173,15 +173,29 @@ def dedup_statistics(spark, sf_dir):
     return cleaning.dedup_statistics(t(spark, sf_dir, "documents"), "text", "source")
 
 
-TFIDF = """w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents),
-    tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents),
+def tfidf_sql(source: str, term: str = "true") -> str:
+    """(doc_id, term, weight) as v, of the table `source` (doc_id, text); term: which terms count."""
+    return f"""w AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda term: {term})) AS term FROM {source}),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL), n AS (SELECT count(*) AS n FROM {source}),
     f AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
     r AS (SELECT doc_id, term, df, tf * (ln((1 + n) / (1.0::DOUBLE + df)) + 1) AS w FROM tf JOIN f USING (term), n),
-    v AS (SELECT doc_id, term, df, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM r)"""
+    v AS (SELECT doc_id, term, df, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM r),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.weight * b.weight) AS s FROM v a JOIN v b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL)"""
 
 
-@query(f"""WITH {TFIDF}, p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.weight * b.weight) AS s FROM v a JOIN v b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL)
-    SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT b FROM p WHERE s > 0.8)""")
+STOP_LIST = ", ".join("'" + w.replace("'", "''") + "'" for w in T.ENGLISH_STOP)
+
+
+@query(f"""WITH raw AS (SELECT doc_id, array_to_string(list_filter({word_list(plain("lower(text)"))}, lambda x: x NOT IN ({STOP_LIST})), ' ') AS text FROM documents),
+    d AS (SELECT * FROM raw WHERE length(text) BETWEEN 10 AND 1000), {tfidf_sql("d", f"term NOT IN ({STOP_LIST})")}
+    SELECT doc_id, md5(text) AS body FROM d WHERE doc_id NOT IN (SELECT b FROM p WHERE s > 0.9)""")
+def cleaned_corpus(spark, sf_dir):
+    kept = cleaning.clean(t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return kept.select("doc_id", F.md5("text").alias("body"))
+
+
+@query(f"""WITH {tfidf_sql("documents")}
+    SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT b FROM p WHERE s > 0.9)""")
 def near_deduplication(spark, sf_dir):
     return cleaning.near_dedup(t(spark, sf_dir, "documents"), "doc_id").select("doc_id")
 
