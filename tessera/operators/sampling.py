@@ -37,31 +37,53 @@ def numbered(df: DataFrame, *order: str, name: str = "position") -> DataFrame:
     return kept.join(F.broadcast(offsets), F.col("__p") == F.col("q")).withColumn(name, F.col("__i") - F.col("first") + F.col("before")).select(*df.columns, name)
 
 
-def slice_rows(df: DataFrame, order_by: str, start: int, stop: int) -> DataFrame:
-    """Rows at positions start to stop - 1."""
-    return df.orderBy(order_by).offset(start).limit(stop - start)
+def slice_rows(df: DataFrame, order_by: str, start: int, stop: int, few: int = 10_000) -> DataFrame:
+    """Rows at positions start to stop - 1. Beyond the first few, rows are numbered in ranges instead of held in one queue."""
+    if stop <= few:
+        return df.orderBy(order_by).offset(start).limit(stop - start)
+    return numbered(df, order_by, name="__n").where((F.col("__n") >= start) & (F.col("__n") < stop)).drop("__n")
+
+
+def _bucket(h: Column) -> Column:
+    """The first 16 bits of a hash."""
+    return F.conv(F.substring(h, 1, 4), 16, 10).cast("int")
 
 
 def shuffle_split(df: DataFrame, key: str, share: float = 0.1, seed: int = 42, round_up: bool = False) -> DataFrame:
     """Adds split: the last rows in hash order, an exact share of them, are test, the others train.
 
-    The cut is one hash value, found on keys alone; the rows themselves are not moved.
+    The cut is one hash value: a histogram of the hashes' first 16 bits names the bucket that it falls into, and only that
+    bucket's keys are sorted. The rows themselves are not moved.
     """
-    n = df.count()
-    size = math.ceil(n * share) if round_up else int(n * share)
     h = hashed(key, seed)
-    if size == 0:
+    keys = df.select(h.alias("h"), F.col(key).alias("k"))
+    counts = sorted(keys.groupBy(_bucket(F.col("h")).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)
+    n = sum(r.n for r in counts)
+    left = math.ceil(n * share) if round_up else int(n * share)
+    if left <= 0:
         return df.withColumn("split", F.lit("train"))
-    cut = df.select(h.alias("h"), F.col(key).alias("k")).orderBy(F.col("h").desc(), F.col("k").desc()).offset(size - 1).limit(1).first()
-    test = (h > cut.h) | ((h == cut.h) & (F.col(key) >= cut.k))
+    for r in counts:
+        if left <= r.n:
+            break
+        left -= r.n
+    cut = keys.where(_bucket(F.col("h")) == r.b).orderBy(F.col("h").desc(), F.col("k").desc()).offset(left - 1).limit(1).first()
+    test = (h > cut.h) | (h == cut.h) & (F.col(key).isNull() if cut.k is None else F.col(key) >= cut.k)
     return df.withColumn("split", F.when(test, "test").otherwise("train"))
 
 
 def stratified_split(df: DataFrame, key: str, stratum: str, share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Adds split: of each stratum the ceiling of the share is test."""
-    w = Window.partitionBy(stratum).orderBy(hashed(key, seed), key)
-    n = F.count(F.lit(1)).over(Window.partitionBy(stratum))
-    return df.withColumn("split", F.when(F.row_number().over(w) <= F.ceil(n * share), "test").otherwise("train"))
+    """Adds split: of each stratum the ceiling of the share, in hash order, is test.
+
+    Ranks are in two levels, buckets of the hash and rows inside a bucket, so a stratum is spread over many tasks.
+    """
+    marked = df.withColumns({"__h": hashed(key, seed)}).withColumn("__b", F.shiftright(_bucket(F.col("__h")), 4))
+    counts = marked.groupBy(F.col(stratum).alias("__s"), F.col("__b").alias("__k")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("__s").orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.select("__s", "__k", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy("__s")).alias("__all"))
+    inside = F.row_number().over(Window.partitionBy(stratum, "__b").orderBy("__h", key))
+    ranked = marked.withColumn("__r", inside).join(sums, F.col(stratum).eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__k")))
+    test = F.col("__before") + F.col("__r") <= F.ceil(F.col("__all") * share)
+    return ranked.withColumn("split", F.when(test, "test").otherwise("train")).select(*df.columns, "split")
 
 
 def threshold_split(df: DataFrame, key: str, share: float = 0.1, seed: int = 42) -> DataFrame:
