@@ -9,7 +9,8 @@ trees did not see (cross-fitting). Scoring is one pass over the documents.
 Defined results: null text counts as empty, and an empty text gets the calibrated score of its all-zero features; rows
 that repeat get equal scores; labels that are null, or whose ids are not in the documents, are left out; several labels
 of an id count by their largest; with fewer than ten usable labels, or labels all alike, all scores are their mean (0.5
-without any); an empty table gives no rows.
+without any); an empty table gives no rows; further columns travel along, whatever their names. In the sample,
+texts longer than a tenth of its character bound come last, so a few of them cannot use it up; every text is scored whole.
 """
 
 from __future__ import annotations
@@ -181,7 +182,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, characters:
     sized = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
     lengths = sized.groupBy("doc_id").agg(F.min(F.length("text")).alias("n")).orderBy(*order).collect()
     ids, total = [], 0
-    for r in lengths:
+    # whole texts up to the bound; those that would take a tenth of it alone come last
+    for r in sorted(lengths, key=lambda r: 10 * r.n > characters):
         if total < characters:
             ids.append((r.doc_id,))
             total += r.n
@@ -192,16 +194,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, characters:
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column score."""
+    """docs with a column score; a column of that name in docs goes on as given_score (with as many underscores behind as it takes)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
+    given = "given_score"
+    while given in docs.columns:
+        given += "_"
+    fields = [(given if f.name == "score" else f.name, f.dataType.simpleString()) for f in docs.schema]
 
     def batch(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = [t or "" for t in b.column("text").to_pylist()]
-        columns = [c for c in b.schema.names if c != "score"]
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(held.value.score(texts), pa.float64())], [*columns, "score"])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(held.value.score(texts), pa.float64())], [*(n for n, _ in fields), "score"])
 
-    rest = docs.drop("score")
-    return map_arrow(rest, batch, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), "score double"]))
+    return map_arrow(docs, batch, ", ".join([*(f"`{n}` {kind}" for n, kind in fields), "score double"]))
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
