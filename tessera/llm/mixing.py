@@ -84,7 +84,7 @@ def _bucketed(rows: DataFrame, n: int) -> DataFrame:
 
 
 def plan(docs: DataFrame, keep: list[str] | None = None, **options) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken, position (null where nothing is taken), pass1, pass2.
+    """Per document: doc_id, size, source_size, target, taken, position and position2 (of the words that the first and the second pass take; null where it takes none), pass1, pass2.
 
     keep: columns of docs to carry along.
     """
@@ -154,7 +154,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 def op8_curriculum_mixing(spark, sf_dir: str) -> DataFrame:
     planned = plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    ordered = planned.select("doc_id", "size", "source_size", "target", "taken", "position")
+    ordered = planned.select("doc_id", "size", "source_size", "target", "taken", "position", "position2")
     return ordered.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
@@ -184,6 +184,8 @@ u AS (SELECT *, CAST(greatest(0, least(size, goal - start)) AS BIGINT) AS pass1,
              CAST(greatest(0, least(size, goal - source_size - start)) AS BIGINT) AS pass2 FROM p)
 SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target, pass1 + pass2 AS taken,
        CASE WHEN pass1 > 0 THEN CASE WHEN slope = 0 THEN (start + pass1 / 2.0::DOUBLE) / goal ELSE
-         (sqrt((1 - slope) * (1 - slope) + 4 * slope * ((start + pass1 / 2.0::DOUBLE) / goal)) - (1 - slope)) / (2 * slope) END END AS position
+         (sqrt((1 - slope) * (1 - slope) + 4 * slope * ((start + pass1 / 2.0::DOUBLE) / goal)) - (1 - slope)) / (2 * slope) END END AS position,
+       CASE WHEN pass2 > 0 THEN CASE WHEN slope = 0 THEN (start + source_size + pass2 / 2.0::DOUBLE) / goal ELSE
+         (sqrt((1 - slope) * (1 - slope) + 4 * slope * ((start + source_size + pass2 / 2.0::DOUBLE) / goal)) - (1 - slope)) / (2 * slope) END END AS position2
 FROM u
 """
