@@ -12,7 +12,8 @@ lengths are the positions. The expressions below match what their plain forms ma
 only stop a search from trying starts and lengths that cannot matter, so long runs cost linear time and no stack.
 
 Defined results: null text counts as empty; empty text has no spans and the hash of the empty string; rows that repeat
-get equal results; null ids stay null; an empty table gives no rows; columns that clash with ours are replaced.
+get equal results; null ids stay null; an empty table gives no rows; further columns, whatever their names, travel along.
+A token of fewer than six characters is no identifier, and text of which two words never precede an instance gives it no pattern.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ GATES = {"email": r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card
 SIGN = "A-Za-z._%+/=:-"
 IDENTIFIER = rf"(?<![0-9@{SIGN}])(?=[{SIGN}]*+[0-9@])[0-9@{SIGN}]{{6,}}+"
 KEY = "^[0-9a-f]{32,}$"
-#: Characters left of an instance in which its pattern is looked for.
-REACH = 60
+#: Characters left of an instance in which its pattern is looked for first, and then; at last in all.
+REACH = (60, 2000)
 ROUNDS = 3
 SURE = 0.6
 SUPPORT = 3
@@ -81,9 +82,19 @@ def base_spans(text: str = "z_text") -> dict[str, Column]:
 
 
 def _left(start: str) -> str:
-    """SQL for the pattern left of a position: the last two words before it, digits made 0."""
-    before = f"lower(substring(z_text, greatest(1, {start} + 1 - {REACH}), least({REACH}, {start})))"
-    return f"regexp_replace(regexp_extract({before}, r'(\\S++\\s++\\S+?)[\\s\"(\\[<\\x27]*+$', 1), '[0-9]', '0')"
+    """SQL for the pattern left of a position: the last two words before it, digits made 0.
+
+    They are looked for in the characters next to it, where these hold no two words in more of them, and then in all.
+    """
+
+    def found(reach: str) -> str:
+        before = f"lower(substring(z_text, greatest(1, {start} + 1 - {reach}), least({reach}, {start})))"
+        return rf"regexp_replace(regexp_extract({before}, r'(?<!\S)(\S++\s++\S+?)[\s\x22(\[<\x27]*+$', 1), '[0-9]', '0')"
+
+    sql = found(str(REACH[0]))
+    for shorter, longer in zip(REACH, [*map(str, REACH[1:]), start], strict=True):
+        sql = f"transform(array({sql}), p -> if(p = '' AND {start} > {shorter}, {found(longer)}, p))[0]"
+    return sql
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -151,16 +162,24 @@ def redact(docs: DataFrame, **options) -> DataFrame:
           concat(acc, array(s))))"""
     )
     spans = found.withColumn("z_spans", tagged).withColumn("z_cuts", merged).select(F.col("doc_id").alias("z_id"), F.col("h").alias("z_h"), "z_cuts").dropDuplicates(["z_id", "z_h"])
-    rows = docs.withColumn("z_hash", F.xxhash64(text_or_empty()))
-    joined = rows.join(spans, rows.doc_id.eqNullSafe(spans["z_id"]) & (rows["z_hash"] == spans["z_h"]), "left")
+    # the row travels as one struct, so its names cannot clash with ours
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("r_id"), F.xxhash64(text_or_empty()).alias("r_h"))
+    joined = rows.join(spans, F.col("r_id").eqNullSafe(F.col("z_id")) & (F.col("r_h") == F.col("z_h")), "left")
     pieces = F.expr(
-        """concat(array_join(transform(z_cuts, (s, i) -> concat(substring(text, if(i = 0, 1, z_cuts[greatest(i - 1, 0)].end + 1), s.start - if(i = 0, 0, z_cuts[greatest(i - 1, 0)].end)), s.tag)), ''),
-        substring(text, z_cuts[size(z_cuts) - 1].end + 1))"""
+        """concat(array_join(transform(z_cuts, (s, i) -> concat(substring(row.text, if(i = 0, 1, z_cuts[greatest(i - 1, 0)].end + 1), s.start - if(i = 0, 0, z_cuts[greatest(i - 1, 0)].end)), s.tag)), ''),
+        substring(row.text, z_cuts[size(z_cuts) - 1].end + 1))"""
     )
-    out = joined.withColumn("text", F.when(F.col("z_cuts").isNull(), F.col("text")).otherwise(pieces))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("z_cuts").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    text = F.when(F.col("z_cuts").isNull(), F.col("row.text")).otherwise(pieces)
+    joined = joined.withColumn("z_new", text)
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return F.col("z_new").alias(c)
+        if c == "n_chars":
+            return F.when(F.col("z_cuts").isNull(), F.col("row.n_chars")).otherwise(F.length("z_new")).cast(docs.schema[c].dataType).alias(c)
+        return F.col("row")[c].alias(c)
+
+    return joined.select(*[column(c) for c in docs.columns])
 
 
 def op6_personal_data(spark, sf_dir: str) -> DataFrame:

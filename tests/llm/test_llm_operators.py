@@ -260,6 +260,29 @@ def test_sure_patterns_discover_identifiers(spark):
     assert pii.redact(docs).count() == len(rows) and pii.redact(docs.limit(0)).count() == 0
 
 
+def test_clashing_names_travel_along(spark):
+    """Every name that an operator uses inside, as a column of the input."""
+    names = "score given_score z_text z_id z_h z_hash z_cuts z_new z_spans h row r_id r_h at taken size target position __key __size __bucket c_id c_h text_hash root id key print keys fp first n a b".split()
+    rows = [(k, t, "s", *(f"{n}{k}" for n in names)) for k, t in enumerate(["mail a@b.cc now", None, "", "you idiot moron", "plain words"])]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long, text string, source string", *(f"`{n}` string" for n in names)]))
+    model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    scored = toxicity.scored(docs, model)
+    assert scored.columns == [*("given_score_" if c == "score" else c for c in docs.columns), "score"]
+    assert {r.given_score_ for r in scored.collect()} == {f"score{k}" for k in range(5)}
+    for out in (pii.redact(docs), simhash.one_of_each(docs), simhash.one_of_each(docs, method=near_copies.near_copies), mixing.mix(docs), toxicity.without_toxic(docs, model, 2.0)):
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert [r[n] for n in names] == [f"{n}{r.doc_id}" for n in names]
+    assert {r.doc_id: r.text for r in pii.redact(docs).collect()}[0] == "mail <EMAIL> now"
+
+
+def test_patterns_reach_over_long_words(spark):
+    """The two words before an identifier can be longer than the characters that are looked at first."""
+    long, keys = "x" * 200, [hashlib.sha1(str(i).encode()).hexdigest() for i in range(8)]
+    rows = [(i, f"{long} {long} {k} end", "s") for i, k in enumerate(keys)] + [(20, f"{long} {long} AB-12-CD-34 end", "s")]
+    assert {r.doc_id: r.text for r in pii.redact(table(spark, rows)).collect()}[20] == f"{long} {long} <CONTEXT> end"
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
