@@ -3,15 +3,16 @@
 A text is lower-cased and its white space runs become one blank. A gear hash runs over its bytes; its value at a byte
 depends on the last 32 bytes only, so boundaries move along with the text when something before them changes. Chunks are
 cut by normalised chunking: below the target size a boundary needs a stricter bit mask, beyond it an easier one, within
-a smallest and a largest size. The fingerprint is the set of chunk digests, each with its weight, the chunk's bytes:
-`digest:weight` in the order of digests, joined by commas. A chunk that repeats counts once.
+a smallest and a largest size. The fingerprint is the set of chunk digests, each with its weight, the chunk's bytes: ten
+characters a chunk, in the order of digests, of which eight are the digest (48 bits) and two the weight (12 bits), six bits a
+character. A chunk that repeats counts once. A fingerprint takes about a quarter of the text's size.
 
 Likeness of two fingerprints is containment: the weight of the chunks they share over the smaller of their weights.
 
 Defined results: null text counts as empty; a text with no characters beside white space has the empty fingerprint,
 which is like the empty one (1) and unlike any other (0). For `with_next`, documents stand in descending order of doc_id,
-null last, ties in the order of text; the one after the last is the first, so a lone document is its own next. Rows that
-repeat stand side by side. An empty table gives no rows. Columns beyond doc_id and text are left alone.
+null last, ties in the order of a hash of the text and then of the text; the one after the last is the first, so a lone
+document is its own next. Rows that repeat stand side by side. An empty table gives no rows. Columns beyond doc_id and text are left alone.
 """
 
 from __future__ import annotations
@@ -31,6 +32,11 @@ from pyspark.sql.types import LongType
 from .common import shuffle_partitions, table, text_or_empty
 
 SMALLEST, TARGET, LARGEST = 8, 32, 128
+#: Six bits a character, in the order of their codes, so fingerprints sort as numbers do.
+SIGNS = np.frombuffer(b"+/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", np.uint8)
+PLACES = np.zeros(128, np.uint64)
+PLACES[SIGNS] = np.arange(64)
+SHIFTS = np.arange(54, -1, -6).astype(np.uint64)
 #: Bits of a boundary's mask: one chance in 2 ** bits at each byte.
 STRICT, EASY = 6, 4
 WINDOW = 32
@@ -84,17 +90,21 @@ def chunks(text: str) -> dict[int, int]:
     raw = " ".join(text.lower().split()).encode("utf-8", "surrogatepass")
     out, start, digest = {}, 0, xxhash.xxh3_64_intdigest
     for end in boundaries(raw):
-        out[digest(raw[start:end])] = end - start
+        out[digest(raw[start:end]) >> 16] = end - start
         start = end
     return out
 
 
 def written(found: dict[int, int]) -> str:
-    return ",".join([f"{d:016x}:{w}" for d, w in sorted(found.items())])
+    if not found:
+        return ""
+    v = np.sort(np.fromiter((d << 12 | w for d, w in found.items()), np.uint64, len(found)))
+    return SIGNS[((v[:, None] >> SHIFTS) & np.uint64(63)).astype(np.int64)].tobytes().decode()
 
 
 def read(fingerprint: str) -> dict[int, int]:
-    return {int(d, 16): int(w) for d, _, w in (x.partition(":") for x in fingerprint.split(",") if x)}
+    v = PLACES[np.frombuffer(fingerprint.encode(), np.uint8)].reshape(-1, len(SHIFTS))
+    return {int(x) >> 12: int(x) & 4095 for x in (v << SHIFTS).sum(1, dtype=np.uint64)}
 
 
 def likeness(a: dict[int, int], b: dict[int, int]) -> float:
