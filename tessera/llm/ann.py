@@ -10,7 +10,8 @@ of bounded size, whole cells side by side and large cells split; a query goes on
 visits and streams past the block's entries, so a task holds one block and one batch of queries.
 
 The sample is bounded (`sample` vectors); every vector is indexed. In a sample neighbours are farther apart than in the
-whole, so its trial asks for more rather than less.
+whole, so its trial asks for more rather than less. The share that has to be visited is a matter of the vectors: small
+where they cluster; where they do not, as in the sample tables, about half, for no cells part neighbours from others.
 
 Defined results: vectors that are null, zero, of another dimension than most of the sample (the larger on a tie), or hold null or non-finite
 components take no part, nor do null ids; rows that repeat count once; rows of one id with other vectors are entries of
@@ -28,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, shuffle_partitions, table
 
 SAMPLE = 12_000
-CENTROIDS = 64
-RECALL = 0.98
+#: Centroids of a half: the square root of the sample's vectors, up to this.
+CENTROIDS = 256
+RECALL = 0.97
 TRIALS = 300
-BLOCK = 8192
+#: Entries of a block, the least and the most; between them a block holds a quarter of a partition's share.
+BLOCK = (1024, 65_536)
 BATCH = 256
 
 
@@ -119,7 +122,7 @@ def usable(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
     return slim.where("id IS NOT NULL AND v IS NOT NULL AND forall(v, c -> c IS NOT NULL AND NOT isnan(c) AND abs(c) < double('infinity')) AND exists(v, c -> c <> 0)")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "vec_id", column: str = "embedding", sample: int = SAMPLE, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "vec_id", column: str = "embedding", sample: int = SAMPLE, recall: float = RECALL, block: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query among all vectors with another id."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_column, column).distinct()
@@ -148,6 +151,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str =
     index.counts = counts.tolist()
     total = int(counts.sum())
     wanted = max(k + 1, int(np.ceil(share * total)))
+    block = block or min(BLOCK[1], max(BLOCK[0], total // (4 * shuffle_partitions(spark))))
     # cells side by side fill blocks; a cell over the size of a block is split
     splits = np.maximum(1, -(-counts // block))
     begin = np.concatenate(([0], np.cumsum(counts)))[:-1]
