@@ -10,7 +10,8 @@ a 64-bit hash of the n-gram; rows are packed by target partition into sorted arr
 n-grams. Count tables are partitioned by hash: a partition adds up its keys over all buckets and joins the sums back to
 the rows it got. They return to their bucket, are looked up for each document's n-grams, and are summed per document.
 What is gathered grows with the words of the corpus; no table of counts is held in one place. A frequent n-gram is one
-key per bucket, whatever its count.
+key per bucket, whatever its count. There are as many buckets, and as many target partitions, as the text's bytes ask
+for: a task holds one bucket's texts (16 to 128 MB) or one target's share of the counts, whatever the size of the corpus.
 
 Words are runs of characters other than the ASCII white space, with A-Z lower-cased. Defined results: null text counts
 as empty; a document without words has n_words 0 and a null score; in a corpus of one document all words are unseen;
@@ -33,6 +34,9 @@ from .common import shuffle_partitions, table, text_or_empty
 
 ORDER = 2
 BACKOFF = 0.4
+#: Bytes of text in a bucket, the least and the most, and bytes of a bucket's text that share a message, in the mean.
+BUCKET = (16 << 20, 128 << 20)
+MESSAGE = 1024
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -134,11 +138,17 @@ def _unpacked(raw: bytes, n: int) -> np.ndarray:
     return counts
 
 
+def bucket_bytes(total: int) -> float:
+    """Bytes of text in a bucket: enough for many n-grams in each of its messages, few enough for a task's memory."""
+    return min(BUCKET[1], max(BUCKET[0], (total * MESSAGE) ** 0.5))
+
+
 def scored(docs: DataFrame, order: int = ORDER, buckets: int | None = None) -> DataFrame:
     """doc_id, n_words, score, perplexity."""
-    parts = shuffle_partitions(docs.sparkSession)
-    buckets = buckets or parts
-    all_words = docs.agg(F.sum(F.regexp_count("text", F.lit(WORDS.pattern)))).first()[0] or 0
+    seen = docs.agg(F.sum(F.regexp_count("text", F.lit(WORDS.pattern))).alias("words"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    all_words, total = seen.words or 0, seen.bytes or 0
+    buckets = buckets or max(1, -(-total // int(bucket_bytes(total))))
+    parts = max(buckets, shuffle_partitions(docs.sparkSession))
     dealt = _bucketed(docs, buckets).repartition(parts, "bucket")
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
