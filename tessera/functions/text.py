@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import string
 import unicodedata
 
@@ -284,6 +285,55 @@ def int_list(c: Column | str) -> Column:
     return F.when(c.isNull() | (F.trim(c) == ""), F.array().cast("array<int>")).otherwise(F.from_json(c, "array<int>"))
 
 
+def list_or_text(c: Column | str) -> Column:
+    """struct(values, text): a list of numbers as an array; missing is the empty list, and what does not parse stays as the text it is."""
+    c = _col(c)
+    values = int_list(c)
+    return F.struct(values.alias("values"), F.when(values.isNull(), c).alias("text"))
+
+
+def tool_schema(name: str, description: str, parameters: dict[str, str], required: list[str] | None = None) -> Column:
+    """A function that a model can call, as the JSON text of its schema. parameters: name -> type."""
+    own = {"type": "object", "properties": {k: {"type": t} for k, t in parameters.items()}, "required": required if required is not None else list(parameters)}
+    return F.lit(json.dumps({"type": "function", "function": {"name": name, "description": description, "parameters": own}}, ensure_ascii=False))
+
+
+def tool_names(c: Column | str) -> Column:
+    """Names of the functions in a JSON array of tool schemas; empty where it does not parse."""
+    parsed = F.from_json(_col(c), "array<struct<type:string,function:struct<name:string,description:string,parameters:string>>>")
+    return F.coalesce(F.transform(F.filter(parsed, lambda t: t["function"]["name"].isNotNull()), lambda t: t["function"]["name"]), F.array().cast("array<string>"))
+
+
+#: Expressions of one exam paper, and the words before a ratio there.
+PAPER_EXPRESSIONS = {"2 × a - 3 2 5 = 47 5": "2 \\times a - 3\\frac{2}{5} = \\frac{47}{5}", "3 8 4 48 ... 7 5 7 30 + + - =": "\\frac{3}{8} + \\frac{4}{48} - \\frac{7}{5} - \\frac{7}{30} ="}
+RATIO = "tỉ số là"
+
+
+def paper_rewrites(c: Column | str, expressions: dict[str, str] | None = None) -> Column:
+    """Expressions of a known paper as mathematics, and a ratio of two numbers as a fraction."""
+    c = _col(c)
+    for was, becomes in (PAPER_EXPRESSIONS if expressions is None else expressions).items():
+        c = F.replace(c, F.lit(was), F.lit(becomes))
+    return F.regexp_replace(c, f"{RATIO}\\s+(\\d+)\\s+(\\d+)", f"{RATIO} \\$\\\\frac{{$1}}{{$2}}\\$")
+
+
+def minhash(tokens: Column | str, functions: int = 16) -> Column:
+    """The least md5 of number and token for each of the hash functions; null without tokens."""
+    tokens = _col(tokens)
+
+    def least(k: int) -> Column:
+        return F.array_min(F.transform(tokens, lambda t: F.md5(F.concat(F.lit(f"{k}:"), t))))
+
+    return F.when(F.size(tokens) > 0, F.array(*map(least, range(functions))))
+
+
+def lsh_buckets(signature: Column | str, rows: int = 2) -> Column:
+    """array<struct<band, bucket>>: a bucket for each `rows` values of a signature, in which similar sets meet."""
+    signature = _col(signature)
+    starts = F.sequence(F.lit(0), (F.size(signature) / rows).cast("int") - 1)
+    return F.transform(starts, lambda b: F.struct(b.alias("band"), F.md5(F.array_join(F.slice(signature, b * rows + 1, F.lit(rows)), ",")).alias("bucket")))
+
+
 def judgement(c: Column | str) -> Column:
     """struct(accuracy, style) of a judge's JSON answer; both null where it does not parse or lacks a score."""
     parsed = F.from_json(_col(c), "accuracy struct<analysis:string,score:int>, style struct<analysis:string,score:int>")

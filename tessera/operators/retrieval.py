@@ -26,8 +26,8 @@ class _Block:
 
     def __init__(self, rows: list, n: int):
         self.names, self.n = [r.query for r in rows], n
-        self.sizes = np.array([len(r.qt) for r in rows])
-        tokens = np.array([t for r in rows for t in r.qt], np.int64)
+        self.sizes = np.array([len(r.qt or []) for r in rows], np.int64)
+        tokens = np.array([t for r in rows for t in r.qt or []], np.int64)
         of = np.repeat(np.arange(len(rows)), self.sizes)
         order = np.argsort(tokens, kind="stable")
         self.of = of[order]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scores import sigmoid_loss
+
 
 def total_reward(rewards: list[str], weights: list[float]) -> Column:
     """Weighted sum; null and NaN count nothing, so a row without any reward has 0."""
@@ -101,3 +103,17 @@ def label_balance(df: DataFrame, label: str = "label", desirable: float = 1.0, u
         F.round(yes * desirable / no / 1.33, 2).alias("undesirable_low"),
         F.round(yes * desirable / no, 2).alias("undesirable_high"),
     )
+
+
+def sorted_loss(df: DataFrame, batch: str, order: str, left: str, right: str, beta: float = 0.1, smoothing: float = 0.0) -> DataFrame:
+    """(batch, rank, loss): the smoothed sigmoid loss of two columns that are each sorted within a batch.
+
+    left and right are log ratios of chosen and rejected answers (paired transport), or of the policy and the reference.
+    """
+    def ranked(c: str, name: str) -> DataFrame:
+        by = Window.partitionBy(batch).orderBy(c, order)
+        return df.select(F.col(batch).alias(f"{name}_batch"), F.row_number().over(by).alias(f"{name}_rank"), F.col(c).alias(name))
+
+    a, b = ranked(left, "a"), ranked(right, "b")
+    pairs = a.join(b, a.a_batch.eqNullSafe(b.b_batch) & (a.a_rank == b.b_rank))
+    return pairs.select(F.col("a_batch").alias(batch), F.col("a_rank").alias("rank"), sigmoid_loss(F.col("a") - F.col("b"), beta, smoothing).alias("loss"))

@@ -147,3 +147,28 @@ def roll_over(df: DataFrame, order_by: str, every: int = 5) -> DataFrame:
     n = df.count()
     filed = batches(df, order_by, every)
     return filed.withColumn("file", F.when(F.col("batch") < n // every, F.concat(F.lit("p"), (F.col("batch") + 1).cast("string"))).otherwise("last")).drop("batch")
+
+
+def row_at(df: DataFrame, order_by: str, index: int) -> DataFrame:
+    """The row at a position from 0; an IndexError beyond the last."""
+    found = slice_rows(df, order_by, index, index + 1) if index >= 0 else df.limit(0)
+    if found.isEmpty():
+        raise IndexError(index)
+    return found
+
+
+def rows_of(df: DataFrame, key: str, *values) -> DataFrame:
+    """The rows of some keys; a KeyError names those that are not there."""
+    found = df.where(F.col(key).isin(list(values)))
+    missing = set(values) - {r[0] for r in found.select(key).distinct().collect()}
+    if missing:
+        raise KeyError(sorted(missing))
+    return found
+
+
+def preview_rows(df: DataFrame, order_by: str, n: int = 5, longest: int = 300) -> DataFrame:
+    """The first rows, long texts cut with an ellipsis."""
+    from .web import preview
+
+    cut = [preview(F.col(f.name), longest).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f.name) for f in df.schema]
+    return head(df, order_by, n).select(*cut)

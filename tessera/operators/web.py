@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType
 
+from .cleaning import held
+
 EXCLUDED = ("script", "style", "nav", "header", "footer", "aside", "form", "noscript", "iframe")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
@@ -109,6 +111,34 @@ def crawl_frontier(edges: DataFrame, start: DataFrame, max_depth: int = 2, per_p
     return seen
 
 
+def best_first_crawl(edges: DataFrame, start: DataFrame, score: str = "score", max_depth: int = 3, max_pages: int = 100, at_once: int = 10) -> DataFrame:
+    """(url, depth, score, visit): pages in the order in which a crawl visits them that always follows its best open links.
+
+    edges: source, target, internal links only, and a score of the target. Each round takes the `at_once` best open addresses (ties by
+    address) and opens the links on them; an address is opened once, at the least depth and by the best score of the
+    round that finds it. Only a round's few addresses pass through one queue; the tables of all seen and open ones stay
+    distributed. It ends with max_pages visits or when nothing is open.
+    """
+    edges = edges.select("source", "target", F.col(score).alias("score"))
+    open_ = start.select("url", F.lit(0).alias("depth"), F.lit(0.0).alias("score")).distinct()
+    seen, visited, n = open_.select("url"), None, 0
+    while n < max_pages:
+        best = held(open_.orderBy(F.col("score").desc(), "url").limit(min(at_once, max_pages - n)))
+        row = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("score").desc(), "url"))
+        taken = best.count()
+        if not taken:
+            break
+        visits = best.select("url", "depth", "score", (row + n).alias("visit"))
+        visited = visits if visited is None else visited.union(visits)
+        n += taken
+        found = best.where(F.col("depth") < max_depth).select(F.col("url").alias("source"), "depth").join(edges, "source")
+        found = found.groupBy(F.col("target").alias("url")).agg((F.min("depth") + 1).alias("depth"), F.max("score").alias("score"))
+        found = held(found.join(seen, "url", "left_anti"))
+        seen = held(seen.union(found.select("url")))
+        open_ = held(open_.join(best.select("url"), "url", "left_anti").unionByName(found))
+    return visited
+
+
 def crawl_statistics(crawled: DataFrame) -> DataFrame:
     """Pages and mean score by depth; no rows for no pages."""
     return crawled.groupBy("depth").agg(F.count(F.lit(1)).alias("n_pages"), F.avg("score").alias("mean_score")).orderBy("depth")

@@ -398,13 +398,20 @@ def exam_lines(spark, sf_dir):
 # dataset types
 
 
+def _third(k: int):
+    """Thirds of a text; the last takes the rest."""
+    n = F.floor(F.length("text") / 3).cast("int")
+    return F.substring("text", n * k + 1, n if k < 2 else F.length("text"))
+
+
 def _preference(spark, sf_dir):
     b = t(spark, sf_dir, "benchmark")
-    return b.select("item_id", F.concat(F.substring("text", 1, 30), F.lit("|")).alias("prompt"), F.concat(F.lit("A"), F.substring("text", 31, 20)).alias("chosen"), F.concat(F.lit("B"), F.substring("text", 31, 10)).alias("rejected"))
+    return b.select("item_id", F.concat(_third(0), F.lit("|")).alias("prompt"), F.concat(F.lit("A"), _third(1), _third(2)).alias("chosen"), F.concat(F.lit("B"), _third(2)).alias("rejected"))
 
 
-PREFERENCE = "p AS (SELECT item_id, substring(text, 1, 30) || '|' AS prompt, 'A' || substring(text, 31, 20) AS chosen, 'B' || substring(text, 31, 10) AS rejected FROM benchmark)"
-STEPS = "s AS (SELECT item_id, substring(text, 1, 30) AS prompt, [substring(text, 31, 10), substring(text, 41, 10)] AS completions, [true, item_id % 2 = 0] AS labels FROM benchmark)"
+THIRDS = "b AS (SELECT item_id, substring(text, 1, length(text) // 3) AS x, substring(text, length(text) // 3 + 1, length(text) // 3) AS y, substring(text, length(text) // 3 * 2 + 1) AS z FROM benchmark)"
+PREFERENCE = f"{THIRDS}, p AS (SELECT item_id, x || '|' AS prompt, 'A' || y || z AS chosen, 'B' || z AS rejected FROM b)"
+STEPS = f"{THIRDS}, s AS (SELECT item_id, x AS prompt, [y, z] AS completions, [true, item_id % 2 = 0] AS labels FROM b)"
 
 
 def _unpaired(spark, sf_dir):
@@ -413,7 +420,7 @@ def _unpaired(spark, sf_dir):
 
 def _stepwise(spark, sf_dir):
     b = t(spark, sf_dir, "benchmark")
-    return b.select("item_id", F.substring("text", 1, 30).alias("prompt"), F.array(F.substring("text", 31, 10), F.substring("text", 41, 10)).alias("completions"), F.array(F.lit(True), F.col("item_id") % 2 == 0).alias("labels"))
+    return b.select("item_id", _third(0).alias("prompt"), F.array(_third(1), _third(2)).alias("completions"), F.array(F.lit(True), F.col("item_id") % 2 == 0).alias("labels"))
 
 
 def _completion(spark, sf_dir):
@@ -649,11 +656,18 @@ def packed_tokens(spark, sf_dir):
     return token_arrays.packed(d, "pack", "doc_id", "i", 64)
 
 
-@query(f"""WITH i AS (SELECT doc_id, {IDS} AS i FROM documents) SELECT doc_id, list_slice(list_concat([1], i), 1, 32) AS input_ids FROM i WHERE len(i) <= 200 AND (len(i) = 0 OR i[1] <> 1)
-    UNION ALL SELECT doc_id, list_slice(i, 1, 32) FROM i WHERE len(i) <= 200 AND i[1] = 1""")
+@query(f"""WITH i AS (SELECT doc_id, {IDS} AS i FROM documents) SELECT doc_id, list_slice(list_concat([1], i), 1, 2048) AS input_ids FROM i WHERE len(i) = 0 OR i[1] <> 1
+    UNION ALL SELECT doc_id, list_slice(i, 1, 2048) FROM i WHERE i[1] = 1""")
 def instruction_tokens(spark, sf_dir):
     d = t(spark, sf_dir, "documents").select("doc_id", token_arrays.char_ids(F.col("text")).alias("i"))
-    return token_arrays.sft(token_arrays.fits(d, "i", "i", 200), "i", 32, start=1).select("doc_id", "input_ids")
+    return token_arrays.sft(d, "i", 2048, start=1).select("doc_id", "input_ids")
+
+
+@query(f"""WITH i AS (SELECT item_id, {IDS} AS i FROM benchmark) SELECT item_id, len(i) AS n_chosen, len(i) // 2 AS n_rejected FROM i WHERE len(i) <= 60 AND len(i) // 2 <= 60""")
+def pair_length_filter(spark, sf_dir):
+    b = t(spark, sf_dir, "benchmark").select("item_id", token_arrays.char_ids(F.col("text")).alias("a"))
+    b = b.withColumn("b", F.slice("a", F.lit(1), F.floor(F.size("a") / 2).cast("int")))
+    return token_arrays.fits(b, "a", "b", 60).select("item_id", F.size("a").alias("n_chosen"), F.size("b").alias("n_rejected"))
 
 
 # traces, event time
@@ -779,3 +793,6 @@ def region_json(spark, sf_dir):
     from ..sources import writers
 
     return writers.json_array(t(spark, sf_dir, "region").select("r_regionkey", "r_name"), "r_regionkey")
+
+
+from . import further  # noqa: E402, F401  registers more queries
