@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 from ..functions.scores import jaccard
@@ -24,8 +25,8 @@ def token_set(c: str) -> Column:
 class _Block:
     """Token hashes of some queries: for each token the queries that hold it."""
 
-    def __init__(self, rows: list, n: int):
-        self.names, self.n = [r.query for r in rows], n
+    def __init__(self, rows: list, n: int, kind: pa.DataType):
+        self.names, self.n = pa.array([r.query for r in rows], kind), n
         self.sizes = np.array([len(r.qt or []) for r in rows], np.int64)
         tokens = np.array([t for r in rows for t in r.qt or []], np.int64)
         of = np.repeat(np.arange(len(rows)), self.sizes)
@@ -68,7 +69,7 @@ class _Block:
         keys = pa.chunked_array(every)
         rows, scores = held
         flat = rows.ravel()
-        out = pa.table({"query": pa.array(np.tile(np.array(self.names, object), len(rows)), from_pandas=True), "key": keys.take(pa.array(flat)), "similarity": scores.ravel()})
+        out = pa.table({"query": self.names.take(pa.array(np.tile(np.arange(len(self.names)), len(rows)))), "key": keys.take(pa.array(flat)), "similarity": scores.ravel()})
         # the best of the parts' best
         out = out.sort_by([("query", "ascending"), ("similarity", "descending"), ("key", "ascending")])
         names = out.column("query").to_pylist()
@@ -93,8 +94,8 @@ def jaccard_top(queries: DataFrame, corpus: DataFrame, query_key: str, key: str,
     blocks = max(1, -(-q.count() // block))
     found = None
     for k in range(blocks):
-        asked = _Block(q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k).orderBy("query").collect(), n)
-        if asked.names:
+        asked = _Block(q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k).orderBy("query").collect(), n, to_arrow_type(q.schema["query"].dataType))
+        if len(asked.names):
             part = c.mapInArrow(asked.best, shape)
             found = part if found is None else found.union(part)
     if found is None:
