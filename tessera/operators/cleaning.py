@@ -89,7 +89,7 @@ def tfidf(df: DataFrame, key: str, column: str = "text", stop: list[str] | None
     return raw.join(norms, key).select(key, "term", "df", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def near_pairs(weights: DataFrame, key: str, threshold: float = 0.9) -> DataFrame:
+def similar_vectors(weights: DataFrame, key: str, threshold: float = 0.9) -> DataFrame:
     """(a, b, similarity), a < b: unit vectors (key, term, df, weight) whose cosine is over the threshold, strictly.
 
     Candidates come from prefixes: with terms ordered from rare to common, two unit vectors whose cosine exceeds t share
@@ -123,6 +123,11 @@ def near_pairs(weights: DataFrame, key: str, threshold: float = 0.9) -> DataFram
     return scored.where(F.col("similarity") > threshold)
 
 
+def near_pairs(df: DataFrame, key: str, column: str = "text", threshold: float = 0.9, stop: list[str] | None = None) -> DataFrame:
+    """(a, b, similarity), a < b: texts whose TF-IDF cosine is over the threshold; every pair, those of copies too."""
+    return similar_vectors(tfidf(df, key, column, stop), key, threshold)
+
+
 def near_dedup(df: DataFrame, key: str, column: str = "text", threshold: float = 0.9, stop: list[str] | None = None) -> DataFrame:
     """Rows without an earlier near copy, by key; a row goes even if its earlier copy went itself. Texts without terms stay.
 
@@ -135,7 +140,7 @@ def near_dedup(df: DataFrame, key: str, column: str = "text", threshold: float =
     bag = F.array_join(F.array_sort(tokens), " ")
     named = held(once(df.select(F.col(key).alias("__key"), bag.alias("__bag")).where("__bag <> ''"), "__class", F.sha2("__bag", 256)))
     classes = held(named.groupBy("__class").agg(F.min("__key").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("__bag").alias("bag")))
-    pairs = near_pairs(tfidf(classes, "__class", "bag", copies="copies"), "__class", threshold)
+    pairs = similar_vectors(tfidf(classes, "__class", "bag", copies="copies"), "__class", threshold)
     firsts = classes.select(F.col("__class").alias("c"), "first")
     met = pairs.select("a", "b").union(pairs.select("b", "a")).join(firsts, F.col("b") == F.col("c")).groupBy("a").agg(F.min("first").alias("near"))
     earliest = firsts.join(met, F.col("c") == F.col("a"), "left").select("c", F.least("first", F.coalesce("near", "first")).alias("earliest"))
