@@ -116,17 +116,19 @@ def measured(docs: DataFrame) -> DataFrame:
 def sure_patterns(instances: DataFrame, rounds: int = ROUNDS, sure: float = SURE, support: int = SUPPORT) -> DataFrame:
     """instances: pattern, instance, trusted. Patterns that the scored graph makes sure: pattern, sureness."""
     edges = instances.groupBy("pattern", "instance").agg(F.max(F.col("trusted").cast("double")).alias("seed"))
-    wide = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum("seed").alias("seeds")).where(F.col("n") >= support)
-    graph = cut(edges.join(wide.select("pattern", "n"), "pattern"))
-    trust = graph.select("instance", F.col("seed").alias("trust")).groupBy("instance").agg(F.max("trust").alias("trust"))
+    # what is joined is written out first: a join of two tables can be dealt anew where one value has most rows
+    edges = cut(edges)
+    wide = cut(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support))
+    graph = cut(edges.join(wide, "pattern"))
+    trust = cut(graph.groupBy("instance").agg(F.max("seed").alias("trust")))
     scored = None
     for k in range(rounds):
         scored = graph.join(trust, "instance").groupBy("pattern", "n").agg((F.sum("trust") / (F.col("n") + 1)).alias("sureness"), F.sum(F.when(F.col("trust") >= 0.5, 1).otherwise(0)).alias("trusted"))
-        scored = scored.select("pattern", "n", F.when(F.col("trusted") >= support, F.col("sureness")).otherwise(0.0).alias("sureness"))
+        scored = cut(scored.select("pattern", F.when(F.col("trusted") >= support, F.col("sureness")).otherwise(0.0).alias("sureness")))
         if k < rounds - 1:
             # an instance is mistrusted only if all its patterns are unsure
             doubt = F.exp(F.sum(F.log(F.lit(1.0) - F.least(F.col("sureness"), F.lit(0.999)))))
-            trust = cut(graph.join(scored.drop("n"), "pattern").groupBy("instance").agg(F.greatest(F.max("seed"), F.lit(1.0) - doubt).alias("trust")))
+            trust = cut(graph.join(scored, "pattern").groupBy("instance").agg(F.greatest(F.max("seed"), F.lit(1.0) - doubt).alias("trust")))
     return scored.where(F.col("sureness") >= sure).select("pattern", "sureness")
 
 
