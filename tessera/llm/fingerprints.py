@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,30 +122,54 @@ def edited(text: str, follower: str) -> str:
     return text[: len(text) - half] + follower[:half]
 
 
+class _Cuts:
+    """Where the order of doc_id (descending, null last), and of the hash where one id has very many rows, is cut into parts."""
+
+    def __init__(self, hashed: DataFrame, parts: int):
+        shares = [i / parts for i in range(1, parts)] or [0.5]
+        found = hashed.where("doc_id IS NOT NULL").agg(F.percentile_approx("doc_id", shares, 10_000)).first()[0] or []
+        often = [i for i, n in Counter(found).items() if n > 1] if parts > 1 else []
+        # an id that several cuts fall on stands alone between two of them, and is cut by the hash itself
+        self.ids = np.array(sorted({*found, *(i - 1 for i in often if i > -(1 << 63))}) if parts > 1 else [], np.int64)
+        many = hashed.where(F.col("doc_id").isNull() | F.col("doc_id").isin(often)).groupBy("doc_id").agg(F.percentile_approx("h", shares, 10_000).alias("cuts"), F.count(F.lit(1)).alias("n"))
+        inside: dict[int, np.ndarray] = {}
+        for r in many.collect() if parts > 1 else []:
+            region = len(self.ids) + 1 if r.doc_id is None else len(self.ids) - int(np.searchsorted(self.ids, r.doc_id))
+            inside[region] = np.unique(np.array(r.cuts, float))
+        widths = [1 + len(inside.get(k, ())) for k in range(len(self.ids) + 2)]
+        self.inside, self.first = inside, np.concatenate(([0], np.cumsum(widths)))
+        self.parts = int(self.first[-1])
+
+    def part_of(self, ids: pa.Array, hashes: pa.Array) -> np.ndarray:
+        none = ids.is_null().to_numpy(zero_copy_only=False)
+        known = len(self.ids) - np.searchsorted(self.ids, ids.fill_null(0).to_numpy(zero_copy_only=False))
+        region = np.where(none, len(self.ids) + 1, known)
+        out = self.first[region]
+        h = hashes.to_numpy(zero_copy_only=False)
+        for k, cuts in self.inside.items():
+            here = region == k
+            out[here] += len(cuts) - np.searchsorted(cuts, h[here])
+        return out
+
+
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """doc_id and text in `parts` ranges of doc_id, each followed by the first row of the next range as a guest.
+    """doc_id and text in about `parts` ranges of doc_id (of the text's hash too, where an id has very many rows), each followed by the first row of the next range as a guest.
 
     Columns: part, doc_id, text, guest. Each part stands whole in one partition, in order, the guest last.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     parts = parts or 2 * shuffle_partitions(docs.sparkSession)
-    found = slim.select("doc_id").where("doc_id IS NOT NULL").agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    cuts = np.array(sorted(set(found)) if parts > 1 else [], np.int64)
-
-    def part_of(ids: pa.Array) -> np.ndarray:
-        """How many cuts are not below an id; null ids come last."""
-        known = len(cuts) - np.searchsorted(cuts, ids.fill_null(0).to_numpy(zero_copy_only=False))
-        return np.where(ids.is_null().to_numpy(zero_copy_only=False), len(cuts), known)
+    hashed = slim.withColumn("h", -(F.xxhash64("text") / 2))
+    cuts = _Cuts(hashed, parts)
 
     @F.arrow_udf(LongType())
-    def part(ids: pa.Array) -> pa.Array:
-        return pa.array(part_of(ids), pa.int64())
+    def part(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        return pa.array(cuts.part_of(ids, hashes), pa.int64())
 
     # the first row of each part: its largest id, and of that the text of least hash
-    hashed = slim.withColumn("h", -(F.xxhash64("text") / 2))
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h")
-    heads = hashed.groupBy(part("doc_id").alias("part")).agg(F.max(order).alias("o")).orderBy("part").collect()
-    at = np.zeros(len(cuts) + 1, np.int64)
+    heads = hashed.groupBy(part("doc_id", "h").alias("part")).agg(F.max(order).alias("o")).orderBy("part").collect()
+    at = np.zeros(cuts.parts, np.int64)
     at[[r.part for r in heads]] = range(len(heads))
     first = [(r.o.id if r.o.known else None, r.o.h) for r in heads]
     before = [heads[k - 1].part for k in range(len(heads))]  # the part that is followed by this one; the last by the first
@@ -152,13 +177,13 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     @F.arrow_udf(LongType())
     def guest_of(ids: pa.Array, hashes: pa.Array) -> pa.Array:
         """The part that a first row visits as a guest; null for other rows."""
-        where = at[part_of(ids)]
+        where = at[cuts.part_of(ids, hashes)]
         heads_at = pa.array(where)
         own, h = (pa.array(c, t).take(heads_at) for c, t in zip(zip(*first, strict=True), (pa.int64(), pa.float64()), strict=True))
         same = pc.and_(pc.equal(h, hashes), pc.or_(pc.and_(ids.is_null(), own.is_null()), pc.equal(ids, own).fill_null(False)))
         return pc.if_else(same, pa.array(before, pa.int64()).take(heads_at), pa.scalar(None, pa.int64()))
 
-    placed = hashed.withColumn("part", part("doc_id")).withColumn("goes", guest_of("doc_id", "h"))
+    placed = hashed.withColumn("part", part("doc_id", "h")).withColumn("goes", guest_of("doc_id", "h"))
     own = F.struct("part", F.lit(False).alias("guest"))
     both = F.when(F.col("goes").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("goes").alias("part"), F.lit(True).alias("guest"))))
     dealt = placed.select("doc_id", "text", "h", F.explode(both).alias("c")).select("c.part", "doc_id", "text", "h", "c.guest")
