@@ -62,8 +62,8 @@ def terms(c: Column | str) -> Column:
 
 
 def remove_stop_words(tokens: Column | str, stop: list[str]) -> Column:
-    held = F.array(*[F.lit(w) for w in stop])
-    return F.filter(_col(tokens), lambda w: ~F.array_contains(held, w))
+    """Tokens that are not in the list; long lists become a hash set in the plan."""
+    return F.filter(_col(tokens), lambda w: ~w.isin(list(stop))) if stop else _col(tokens)
 
 
 def english_stop_words() -> list[str]:

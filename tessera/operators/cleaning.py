@@ -85,8 +85,8 @@ def tfidf(df: DataFrame, key: str, column: str = "text", stop: list[str] | None
     n = df.agg(F.coalesce(F.sum(times), F.lit(0)).alias("n"))
     frequency = counts.groupBy("term").agg(F.sum("copies").alias("df"))
     raw = counts.join(frequency, "term").crossJoin(F.broadcast(n)).select(key, "term", "df", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", "df", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", "df", (F.col("w") / norm).alias("weight"))
 
 
 def similar_vectors(weights: DataFrame, key: str, threshold: float = 0.9) -> DataFrame:
@@ -98,11 +98,11 @@ def similar_vectors(weights: DataFrame, key: str, threshold: float = 0.9) -> Dat
     and the most that the other classes' weights can add, pass the threshold; those left are scored over all terms.
     Vectors should be distinct: copies would pair with each other and with all that is near them.
     """
-    weights = held(weights)
     square = F.col("weight") * F.col("weight")
     after = Window.partitionBy(key).orderBy(F.col("df").desc(), F.col("term").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     level = F.floor(F.log2("df")).cast("int").alias("level")
-    ranked = weights.select(key, "term", "weight", "df", level, F.sum(square).over(after).alias("left"))
+    # ranks come with the shuffle that made the vectors; what follows reads the table
+    ranked = held(weights.select(key, "term", "weight", "df", level, F.sum(square).over(after).alias("left")))
     inside = F.col("left") >= threshold * threshold - 1e-9
     # of each text: the first class that its prefix does not hold whole, and the squared weight of each class
     own = ranked.groupBy(key, "level").agg(F.sum(square).alias("mass"), F.min(inside.cast("int")).alias("whole"))
@@ -117,8 +117,8 @@ def similar_vectors(weights: DataFrame, key: str, threshold: float = 0.9) -> Dat
     rest = lambda k: f"aggregate(filter(map_entries(mass_{k}), e -> e.key >= least(cut_a, cut_b)), 0D, (s, e) -> s + e.value)"
     most = F.expr(f"aggregate(filter(dots, d -> d.level < least(cut_a, cut_b)), 0D, (s, d) -> s + d.dot) + sqrt({rest('a')} * {rest('b')})")
     pairs = shared.join(side("a"), "a").join(side("b"), "b").where(most > threshold - 1e-9).select("a", "b")
-    wa = weights.select(F.col(key).alias("a"), "term", F.col("weight").alias("wa"))
-    wb = weights.select(F.col(key).alias("b"), "term", F.col("weight").alias("wb"))
+    wa = ranked.select(F.col(key).alias("a"), "term", F.col("weight").alias("wa"))
+    wb = ranked.select(F.col(key).alias("b"), "term", F.col("weight").alias("wb"))
     scored = pairs.join(wa, "a").join(wb, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity"))
     return scored.where(F.col("similarity") > threshold)
 
@@ -139,12 +139,13 @@ def near_dedup(df: DataFrame, key: str, column: str = "text", threshold: float =
         tokens = T.remove_stop_words(tokens, stop)
     bag = F.array_join(F.array_sort(tokens), " ")
     named = held(once(df.select(F.col(key).alias("__key"), bag.alias("__bag")).where("__bag <> ''"), "__class", F.sha2("__bag", 256)))
-    classes = held(named.groupBy("__class").agg(F.min("__key").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("__bag").alias("bag")))
-    pairs = similar_vectors(tfidf(classes, "__class", "bag", copies="copies"), "__class", threshold)
-    firsts = classes.select(F.col("__class").alias("c"), "first")
+    groups = named.groupBy("__class").agg(F.min("__key").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("__bag").alias("bag"))
+    classes = held(groups.withColumn("id", F.monotonically_increasing_id()))
+    pairs = similar_vectors(tfidf(classes.select("id", "copies", "bag").repartition("id"), "id", "bag", copies="copies"), "id", threshold)
+    firsts = classes.select(F.col("id").alias("c"), "__class", "first")
     met = pairs.select("a", "b").union(pairs.select("b", "a")).join(firsts, F.col("b") == F.col("c")).groupBy("a").agg(F.min("first").alias("near"))
-    earliest = firsts.join(met, F.col("c") == F.col("a"), "left").select("c", F.least("first", F.coalesce("near", "first")).alias("earliest"))
-    later = named.join(held(earliest), F.col("__class") == F.col("c")).where(F.col("__key") > F.col("earliest")).select("__key")
+    earliest = firsts.join(met, F.col("c") == F.col("a"), "left").select(F.col("__class").alias("k"), F.least("first", F.coalesce("near", "first")).alias("earliest"))
+    later = named.join(held(earliest), F.col("__class") == F.col("k")).where(F.col("__key") > F.col("earliest")).select("__key")
     return df.join(later, F.col(key) == F.col("__key"), "left_anti")
 
 
@@ -228,8 +229,7 @@ def language(c: Column) -> Column:
     w = T.words(T.remove_punctuation(F.lower(c)))
 
     def count(own: list[str]) -> Column:
-        held = F.array(*[F.lit(v) for v in own])
-        return F.size(F.filter(w, lambda x: F.array_contains(held, x)))
+        return F.size(F.filter(w, lambda x: x.isin(own)))
 
     scores = [F.struct(count(own).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, own) in enumerate(sorted(FUNCTION_WORDS.items()))]
     best = F.array_max(F.array(*scores))

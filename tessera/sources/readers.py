@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 #: Extracted questions, and fetched pages.
 QUESTION = "question string, image_url string, solution string, result string, error boolean"
@@ -16,15 +16,11 @@ MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
 def read_json_array(spark: SparkSession, path: str | list[str], schema: str | StructType = QUESTION) -> DataFrame:
     """Records of JSON array files, with file and pos; a file that does not parse gives no rows."""
     whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
-    ddl = schema if isinstance(schema, str) else schema.simpleString()[7:-1]
-    rows = whole.select("file", F.posexplode(F.from_json("value", f"array<struct<{_colons(ddl)}>>", {"mode": "PERMISSIVE"})).alias("pos", "r"))
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    rows = whole.select("file", F.posexplode(F.from_json("value", ArrayType(fields), {"mode": "PERMISSIVE"})).alias("pos", "r"))
     return rows.where("r IS NOT NULL").select("r.*", "file", "pos")
 
 
-def _colons(ddl: str) -> str:
-    return ddl if ":" in ddl else ", ".join(f"{n}: {t}" for n, t in (f.split() for f in ddl.split(",")))
-
-
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Quoted CSV with a head line; texts that stand for a missing value are null."""
     reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
