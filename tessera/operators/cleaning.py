@@ -224,16 +224,20 @@ FUNCTION_WORDS = {
 }
 
 
+def _is_one_of(own: list[str]):
+    return lambda x: x.isin(own)
+
+
 def language(c: Column) -> Column:
     """The language whose frequent words the text has most of; 'unknown' without any. Ties go to the first name."""
-    w = T.words(T.remove_punctuation(F.lower(c)))
 
-    def count(own: list[str]) -> Column:
-        return F.size(F.filter(w, lambda x: x.isin(own)))
+    def best(w: Column) -> Column:
+        scores = [F.struct(F.size(F.filter(w, _is_one_of(own))).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, own) in enumerate(sorted(FUNCTION_WORDS.items()))]
+        most = F.array_max(F.array(*scores))
+        return F.when(most["n"] > 0, most["name"]).otherwise("unknown")
 
-    scores = [F.struct(count(own).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, own) in enumerate(sorted(FUNCTION_WORDS.items()))]
-    best = F.array_max(F.array(*scores))
-    return F.when(best["n"] > 0, best["name"]).otherwise("unknown")
+    # the words stand in an array of one, so that they are found once and counted for every language
+    return F.transform(F.array(T.words(T.remove_punctuation(F.lower(c)))), best)[0]
 
 
 def overlap(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
