@@ -118,3 +118,35 @@ def test_pattern_graph_is_that_of_plain_rounds(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: {(s.start, s.end) for s in r.context} for r in pii.with_spans(docs).collect()}
     assert sum(map(len, want.values())) > 20 and {k: v for k, v in got.items() if v} == want
+
+
+def test_labels_that_may_be_learned_from(spark):
+    """Null labels and ids, several labels of an id, ids without a document, and held-out rows, which teach nothing."""
+    import zlib
+
+    from tessera.llm import toxicity
+
+    docs = spark.createDataFrame([(k, f"word{k} here", "s") for k in range(40)] + [(3, "word3 here", "s")], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(k, k % 3 == 0 and 1 or 0) for k in range(40)] + [(1, 1), (2, None), (None, 1), (500, 1)], "doc_id long, toxic int")
+    out = [k for k in range(40) if zlib.crc32(str(k).encode()) % 4 == 2]
+    assert {r.doc_id for r in docs.where(toxicity.held_out()).collect()} == set(out)
+    seen = []
+    fit, toxicity.fit = toxicity.fit, lambda texts, y: seen.append(dict(zip(texts, y.tolist(), strict=True)))
+    try:
+        toxicity.train(docs, labels)
+        toxicity.train(docs, labels, sample=7)
+        toxicity.train(docs, labels.where("doc_id < 0"))
+    finally:
+        toxicity.fit = fit
+    assert seen[0] == {f"word{k} here": float(k % 3 == 0 or k == 1) for k in range(40) if k not in out}
+    assert len(seen[1]) == 7 and seen[2] == {}
+    long = spark.createDataFrame([(1, "x" * 5000, "s"), (4, "short", "s"), (6, "brief", "s")], docs.schema)
+    toxicity.fit = lambda texts, y: seen.append(texts)
+    try:
+        toxicity.train(long, labels, characters=60)
+    finally:
+        toxicity.fit = fit
+    assert {"short", "brief"} <= set(seen[-1])
+    model = toxicity.fit([f"text {k}" for k in range(30)], np.arange(30) % 2)
+    scored = toxicity.scored(spark.createDataFrame([(1, "same"), (1, "same"), (2, None), (3, "")], "doc_id long, text string"), model).collect()
+    assert scored[0].score == scored[1].score and scored[2].score == scored[3].score
