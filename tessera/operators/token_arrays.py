@@ -59,6 +59,22 @@ def stepwise(df: DataFrame, separator: list[int], start: int | None = None, prom
     return df.select(*[c for c in df.columns if c not in ("prompt", "completions", "labels")], first_n(whole, most).alias("input_ids"), first_n(marked, most).alias("labels"))
 
 
+def preference_chain(df: DataFrame, tokenise, template: str = "pipes", end: int = 0, prompt_most: int | None = None, completion_most: int | None = None, start: int | None = None) -> DataFrame:
+    """Implicit preferences (chosen, rejected texts) as token ids, by the three maps of odds-ratio and contrastive trainers.
+
+    The common beginning becomes the prompt; the prompt gets the template's turn of a user and the opening of the
+    answer, the answers its close; then all are tokenised by `tokenise`, a function of a Column, ended and cut.
+    """
+    from .chat import TEMPLATES
+    from .formats import implicit_to_preference
+
+    t = TEMPLATES[template]
+    head, tail = t["open"].replace("{role}", t["roles"]["user"]), t["close"]
+    asked = F.concat(F.lit(head), F.col("prompt"), F.lit(tail + t["between"] + t["generate"]))
+    texts = {"prompt": asked} | {side: F.concat(F.col(side), F.lit(tail)) for side in ("chosen", "rejected")}
+    return dpo(implicit_to_preference(df).withColumns({k: tokenise(c) for k, c in texts.items()}), end, prompt_most, completion_most, start)
+
+
 def fits(df: DataFrame, a: str, b: str, most: int) -> DataFrame:
     """Pairs of which neither side is longer."""
     return df.where((F.size(a) <= most) & (F.size(b) <= most))

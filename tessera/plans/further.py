@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import text as T
-from ..operators import chat, cleaning, evaluation, rewards, sampling, selectors, web
+from ..operators import chat, cleaning, evaluation, rewards, sampling, selectors, token_arrays, web
 from ..sources import readers, writers
 from .queries import PREFERENCE, SPACES, query, t, word_list
 
@@ -165,6 +165,23 @@ def row_previews(spark, sf_dir):
     return sampling.preview_rows(t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", 5, 40)
 
 
+@query("""SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || ':7') DESC, doc_id DESC) <= ceil(count(*) OVER () * 0.15) THEN 'test' ELSE 'train' END AS split FROM documents""")
+def rounded_up_split(spark, sf_dir):
+    return sampling.shuffle_split(t(spark, sf_dir, "documents"), "doc_id", 0.15, 7, round_up=True).select("doc_id", "split")
+
+
+def _ids(x: str) -> str:
+    return f"list_transform(list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> ''), lambda w: length(w))"
+
+
+@query(f"""WITH {PREFERENCE}, c AS (SELECT item_id, '<|user|>' || chr(10) || prompt || '<|end|>' || chr(10) || '<|assistant|>' || chr(10) AS prompt, chosen || '<|end|>' || chr(10) AS chosen, rejected || '<|end|>' || chr(10) AS rejected FROM p)
+    SELECT item_id, {_ids("prompt")}[-20:] AS prompt_input_ids, list_slice(list_append({_ids("chosen")}, 0), 1, 30) AS chosen_input_ids, list_slice(list_append({_ids("rejected")}, 0), 1, 30) AS rejected_input_ids FROM c""")
+def preference_token_chain(spark, sf_dir):
+    from .queries import _implicit
+
+    return token_arrays.preference_chain(_implicit(spark, sf_dir), token_arrays.char_ids, "pipes", 0, 20, 30).select("item_id", "prompt_input_ids", "chosen_input_ids", "rejected_input_ids")
+
+
 # conversations and judgements
 
 
