@@ -3,10 +3,10 @@
 A document's score is the mean over its words of log S(word | words before it), where S is count(n-gram) over
 count(context) if the n-gram was seen elsewhere, else `BACKOFF` times S with a context one word shorter, and at the end
 count(word) over all words. Counts are those of all documents without the document's own, so a text is not judged by
-itself; words seen nowhere else count as one. Order 2 (bigrams) is the default.
+itself; words seen nowhere else count as one. Order 3 (trigrams) is the default.
 
 Relations. Documents are dealt to buckets by a hash. A bucket's n-grams are exploded to rows (key, count), where key is
-a 64-bit hash of the n-gram; rows are packed by target partition into sorted arrays, so a row of the shuffle is many
+a hash of the n-gram, of so many bits (64 at most) that it meets another n-gram's about once in a million; rows are packed by target partition into sorted arrays, so a row of the shuffle is many
 n-grams. Count tables are partitioned by hash: a partition adds up its keys over all buckets and joins the sums back to
 the rows it got. They return to their bucket, are looked up for each document's n-grams, and are summed per document.
 What is gathered grows with the words of the corpus; no table of counts is held in one place. A frequent n-gram is one
@@ -21,7 +21,6 @@ doc_id and text are left alone.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +31,14 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, table, text_or_empty
 
-ORDER = 2
+ORDER = 3
+#: Bits of a key beyond those that number all n-grams.
+SPARE = 20
 BACKOFF = 0.4
 #: Bytes of text in a bucket, the least and the most, and bytes of a bucket's text that share a message, in the mean.
 BUCKET = (16 << 20, 128 << 20)
 MESSAGE = 1024
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-UPPER = {c: c + 32 for c in range(65, 91)}
+WORDS = r"[^\x20\x09-\x0D]+"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,25 +47,31 @@ class Words(dict):
 
     MOST = 500_000
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
             self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 
 
 def word_hashes(text: str | None, known: Words) -> np.ndarray:
-    found = WORDS.findall((text or "").translate(UPPER)) if text and not text.islower() else WORDS.findall(text or "")
+    """Bytes are lower-cased and split as the words ask for: of bytes, only ASCII counts as letters and as white space."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
 
 
-def ngram_keys(words: np.ndarray, order: int) -> list[np.ndarray]:
+def key_bits(words: int, order: int) -> int:
+    """Whole bytes' bits that tell all n-grams of so many words apart, but for one in a million."""
+    return min(64, -(-((max(1, words * order)).bit_length() + SPARE) // 8) * 8)
+
+
+def ngram_keys(words: np.ndarray, order: int, bits: int = 64) -> list[np.ndarray]:
     """For each length the keys of the n-grams that end at each word (of length n from word n - 1 on)."""
     out = [words]
     for _ in range(1, order):
         longer = (out[-1][:-1] * MIX) ^ (out[-1][:-1] >> np.uint64(29))
         out.append((longer + words[len(words) - len(longer) :]) * np.uint64(0xC2B2AE3D27D4EB4F) if len(longer) else np.zeros(0, np.uint64))
-    return out
+    return [k >> np.uint64(64 - bits) for k in out] if bits < 64 else out
 
 
 def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
@@ -91,16 +97,27 @@ def _grouped(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[i
         yield value, held
 
 
+def _placed(parts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct keys of all parts, sorted, and for each part the places of its keys among them."""
+    keys = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    order = np.argsort(keys)
+    held = keys[order]
+    head = np.concatenate((np.ones(min(1, len(held)), bool), held[1:] != held[:-1]))
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(head) - 1
+    return held[head], np.split(place, np.cumsum([len(p) for p in parts])[:-1]) if parts else []
+
+
 def _distinct(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     keys = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
     head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
     return keys[head], np.diff(np.append(head, len(keys)))
 
 
-def _spread(level: int, keys: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
+def _spread(keys: np.ndarray, parts: int, bits: int) -> Iterator[tuple[int, int, int]]:
     """Sorted keys fall into ranges of equal width, one for each target partition: (target, from, to)."""
-    width = (1 << 64) // parts + 1
-    edges = np.searchsorted(keys, np.array([min((1 << 64) - 1, k * width) for k in range(1, parts)], np.uint64))
+    width = (1 << bits) // parts + 1
+    edges = np.searchsorted(keys, np.array([min((1 << bits) - 1, k * width) for k in range(1, parts)], np.uint64))
     edges = np.concatenate(([0], edges, [len(keys)]))
     for k in range(parts):
         if edges[k + 1] > edges[k]:
@@ -145,10 +162,11 @@ def bucket_bytes(total: int) -> float:
 
 def scored(docs: DataFrame, order: int = ORDER, buckets: int | None = None) -> DataFrame:
     """doc_id, n_words, score, perplexity."""
-    seen = docs.agg(F.sum(F.regexp_count("text", F.lit(WORDS.pattern))).alias("words"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    seen = docs.agg(F.sum(F.regexp_count("text", F.lit(WORDS))).alias("words"), F.sum(F.octet_length("text")).alias("bytes")).first()
     all_words, total = seen.words or 0, seen.bytes or 0
     buckets = buckets or max(1, -(-total // int(bucket_bytes(total))))
     parts = max(buckets, shuffle_partitions(docs.sparkSession))
+    bits = key_bits(all_words, order)
     dealt = _bucketed(docs, buckets).repartition(parts, "bucket")
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,12 +175,12 @@ def scored(docs: DataFrame, order: int = ORDER, buckets: int | None = None) -> D
             levels: list[list[np.ndarray]] = [[] for _ in range(order)]
             for b in rows:
                 for text in b.column("text").to_pylist():
-                    for level, keys in enumerate(ngram_keys(word_hashes(text, known), order)):
+                    for level, keys in enumerate(ngram_keys(word_hashes(text, known), order, bits)):
                         levels[level].append(keys)
             for level in range(order):
                 keys, counts = _distinct(levels[level])
                 levels[level] = []
-                out = [(k, level, int(bucket), _packed_keys(keys[a:z]), _packed(counts[a:z])) for k, a, z in _spread(level, keys, parts)]
+                out = [(k, level, int(bucket), _packed_keys(keys[a:z]), _packed(counts[a:z])) for k, a, z in _spread(keys, parts, bits)]
                 if out:
                     yield _batch(out)
 
@@ -183,16 +201,17 @@ def scored(docs: DataFrame, order: int = ORDER, buckets: int | None = None) -> D
     def looked_up(texts: pa.Table, counted: pa.Table) -> pa.Table:
         """Sums per document of one bucket, with the counts that came back to it."""
         known = Words()
-        grams = [ngram_keys(word_hashes(t, known), order) for t in texts.column("text").to_pylist()]
+        grams = [ngram_keys(word_hashes(t, known), order, bits) for t in texts.column("text").to_pylist()]
         totals: list[dict[int, bytes]] = [{} for _ in range(order)]
         for level, target, raw in zip(*(counted.column(c).to_pylist() for c in ("level", "target", "counts")), strict=True):
             totals[level][target] = raw
-        tables = []
+        others = []
         for level in range(order):
-            keys, _ = _distinct([g[level] for g in grams])
-            counts = [_unpacked(totals[level][k], z - a) for k, a, z in _spread(level, keys, parts)]
-            tables.append((keys, np.concatenate(counts) if counts else np.zeros(0, np.int64)))
-        found = [_score(g, tables, all_words) for g in grams]
+            keys, places = _placed([g[level] for g in grams])
+            counts = [_unpacked(totals[level][k], z - a) for k, a, z in _spread(keys, parts, bits)]
+            counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+            others.append([counts[p] - _own(p) for p in places])
+        found = [_score([o[k] for o in others], all_words) for k in range(len(grams))]
         return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array([n for n, _ in found], pa.int64()), "score": pa.array([s for _, s in found], pa.float64())})
 
     shape = "slot int, target int, level int, bucket int, keys binary, counts binary"
@@ -210,15 +229,17 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((slots, target, level, bucket, keys, counts), kinds, strict=True)], ["slot", "target", "level", "bucket", "keys", "counts"])
 
 
-def _score(grams: list[np.ndarray], tables: list[tuple[np.ndarray, np.ndarray]], all_words: int) -> tuple[int, float | None]:
-    """Words, and the mean log score with the document's own counts taken out."""
-    n = len(grams[0])
+def _own(places: np.ndarray) -> np.ndarray:
+    """How often the document itself has the n-gram at each place."""
+    _, where, counts = np.unique(places, return_inverse=True, return_counts=True)
+    return counts[where]
+
+
+def _score(others: list[np.ndarray], all_words: int) -> tuple[int, float | None]:
+    """Words, and the mean log score; others: for each length the counts in other documents of the n-grams in order."""
+    n = len(others[0])
     if not n:
         return 0, None
-    others = []
-    for keys, (known, totals) in zip(grams, tables, strict=True):
-        own, where, counts = np.unique(keys, return_inverse=True, return_counts=True)
-        others.append((totals[np.searchsorted(known, own)] - counts)[where] if len(own) else np.zeros(0, np.int64))
     rest = max(1, all_words - n)
     score = np.log(np.maximum(others[0], 1) / rest)
     for level in range(1, len(others)):
