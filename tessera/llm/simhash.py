@@ -25,7 +25,6 @@ group, and null if no other id is in it; an empty table gives no rows; columns b
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -38,7 +37,6 @@ from pyspark.sql import functions as F
 from .common import Scratch, cut, map_arrow, shuffle_partitions, table
 
 BITS = 64
-WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: An upper node with more fingerprints than this is split over its other bits.
 NODE_ROWS = 4096
@@ -53,7 +51,7 @@ HUB = 4096
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
     raw = text.encode("utf-8", "surrogatepass").translate(UPPER)
-    words = WORDS.findall(raw)
+    words = raw.split()  # of bytes: at ASCII white space only
     if not words:
         return np.zeros(0, np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
