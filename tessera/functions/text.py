@@ -14,6 +14,8 @@ from pyspark.sql.types import StringType
 #: White space as Python's str.split() sees it.
 SPACE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SPACES = f"[{SPACE}]+"
+#: Runs of two word characters or more; ASCII first, as that is found fastest.
+TERM = "[a-z0-9_\\p{L}\\p{N}]{2,}+"
 #: What collapsing changes: runs of two and more, and single ones that are no blank.
 UNEVEN = f"[{SPACE}]{{2,}}+|[{SPACE}&&[^\\x20]]"
 #: Frequent English words, as Spark's stop-word remover has them.
@@ -39,7 +41,7 @@ def collapse_spaces(c: Column | str) -> Column:
 
 def remove_punctuation(c: Column | str) -> Column:
     """Keeps letters, numbers, marks of the underscore and white space."""
-    return F.regexp_replace(_col(c), f"[^\\p{{L}}\\p{{N}}_{SPACE}]+", "")
+    return F.regexp_replace(_col(c), f"[^a-zA-Z0-9_\\x20\\p{{L}}\\p{{N}}{SPACE}]+", "")
 
 
 def remove_ascii_punctuation(c: Column | str) -> Column:
@@ -58,7 +60,7 @@ def word_tokens(c: Column | str) -> Column:
 
 def terms(c: Column | str) -> Column:
     """Lower-cased runs of two word characters or more."""
-    return F.regexp_extract_all(F.lower(_col(c)), F.lit("[\\p{L}\\p{N}_]{2,}"), F.lit(0))
+    return F.regexp_extract_all(F.lower(_col(c)), F.lit(TERM), F.lit(0))
 
 
 def remove_stop_words(tokens: Column | str, stop: list[str]) -> Column:

@@ -191,7 +191,7 @@ def quality_report(df: DataFrame, key: str, column: str = "text", vocabulary: li
     sentences = F.filter(F.split(column, "(?<=[.!?])\\s+"), lambda s: F.trim(s) != "")
     w = T.words(T.remove_punctuation(F.lower(column)))
     alpha = F.filter(w, lambda x: F.rlike(x, F.lit("^\\p{L}+$")))
-    known = F.array(*[F.lit(v) for v in vocabulary or []]).cast("array<string>")
+    known = list(vocabulary or [])
     incomplete = F.filter(sentences, lambda s: (F.size(T.words(s)) < 3) | ~F.exists(T.words(T.remove_punctuation(F.lower(s))), lambda x: F.rlike(x, F.lit(VERB))))
     n, m = F.size(w), F.size(sentences)
     return df.select(
@@ -199,7 +199,7 @@ def quality_report(df: DataFrame, key: str, column: str = "text", vocabulary: li
         n.alias("n_words"),
         m.alias("n_sentences"),
         F.when(m > 0, F.round(n / F.greatest(m, F.lit(1)), 2)).otherwise(0.0).alias("words_per_sentence"),
-        F.size(F.filter(alpha, lambda x: ~F.array_contains(known, x))).alias("n_unknown"),
+        F.size(F.filter(alpha, lambda x: ~x.isin(known)) if known else alpha).alias("n_unknown"),
         F.size(F.filter(alpha, lambda x: F.rlike(x, F.lit(CONTENT)))).alias("n_content"),
         F.size(incomplete).alias("n_incomplete"),
     )

@@ -112,7 +112,7 @@ def bm25(queries: DataFrame, corpus: DataFrame, query_key: str, key: str, column
     tokens = tokens.join(asked, "t", "left_semi")
     tf = tokens.groupBy("key", "dl", "t").agg(F.count(F.lit(1)).alias("tf"))
     frequency = tf.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(T.terms(column))).alias("avgdl"))
+    stats = corpus.agg(F.count(F.lit(1)).alias("n"), F.avg(F.regexp_count(F.lower(F.col(column)), F.lit(T.TERM))).alias("avgdl"))
     wanted = queries.select(F.col(query_key).alias("query"), F.explode(F.array_distinct(T.terms(column))).alias("t"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))

@@ -91,11 +91,14 @@ def folded_documents(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", T.to_ascii("text").alias("folded"), T.transliterate("text").alias("letters"))
 
 
+STOP_LIST = ", ".join("'" + w.replace("'", "''") + "'" for w in T.ENGLISH_STOP)
+
+
 @query(f"""WITH w AS (SELECT doc_id, {word_list(plain("lower(text)"))} AS w FROM documents)
-    SELECT doc_id, array_to_string(list_filter(w, lambda x: x NOT IN ('the', 'of', 'and', 'to', 'in')), ' ') AS kept FROM w""")
+    SELECT doc_id, array_to_string(list_filter(w, lambda x: x NOT IN ({STOP_LIST})), ' ') AS kept FROM w""")
 def stop_word_removal(spark, sf_dir):
     w = T.words(T.remove_punctuation(F.lower("text")))
-    return t(spark, sf_dir, "documents").select("doc_id", F.array_join(T.remove_stop_words(w, ["the", "of", "and", "to", "in"]), " ").alias("kept"))
+    return t(spark, sf_dir, "documents").select("doc_id", F.array_join(T.remove_stop_words(w, T.english_stop_words()), " ").alias("kept"))
 
 
 @query(f"""WITH w AS (SELECT item_id, {word_list("text")} AS w FROM benchmark)
@@ -190,9 +193,6 @@ def tfidf_sql(source: str, term: str = "true") -> str:
     p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.weight * b.weight) AS s FROM v a JOIN v b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL)"""
 
 
-STOP_LIST = ", ".join("'" + w.replace("'", "''") + "'" for w in T.ENGLISH_STOP)
-
-
 @query(f"""WITH raw AS (SELECT doc_id, array_to_string(list_filter({word_list(plain("lower(text)"))}, lambda x: x NOT IN ({STOP_LIST})), ' ') AS text FROM documents),
     d AS (SELECT * FROM raw WHERE length(text) BETWEEN 10 AND 1000), {tfidf_sql("d", f"term NOT IN ({STOP_LIST})")}
     SELECT doc_id, md5(text) AS body FROM d WHERE doc_id NOT IN (SELECT b FROM p WHERE s > 0.9)""")
@@ -272,10 +272,10 @@ def language_detection(spark, sf_dir):
 
 @query(f"""WITH d AS (SELECT doc_id, {word_list(plain("lower(text)"))} AS w, list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '') AS st FROM documents)
     SELECT doc_id, len(w)::INTEGER AS n_words, len(st)::INTEGER AS n_sentences, CASE WHEN len(st) > 0 THEN round(len(w) / len(st)::DOUBLE, 2) ELSE 0.0::DOUBLE END AS words_per_sentence,
-    len(list_filter(w, lambda x: regexp_full_match(x, '\\p{{L}}+') AND x NOT IN ('the', 'of', 'and')))::INTEGER AS n_unknown, len(list_filter(w, lambda x: regexp_full_match(x, '\\p{{L}}+') AND regexp_matches(x, '{cleaning.CONTENT}')))::INTEGER AS n_content,
+    len(list_filter(w, lambda x: regexp_full_match(x, '\\p{{L}}+') AND x NOT IN ({STOP_LIST})))::INTEGER AS n_unknown, len(list_filter(w, lambda x: regexp_full_match(x, '\\p{{L}}+') AND regexp_matches(x, '{cleaning.CONTENT}')))::INTEGER AS n_content,
     len(list_filter(st, lambda s: len({word_list("s")}) < 3 OR len(list_filter({word_list(plain("lower(s)"))}, lambda x: regexp_matches(x, '{cleaning.VERB}'))) = 0))::INTEGER AS n_incomplete FROM d""")
 def quality_report(spark, sf_dir):
-    return cleaning.quality_report(t(spark, sf_dir, "documents"), "doc_id", vocabulary=["the", "of", "and"])
+    return cleaning.quality_report(t(spark, sf_dir, "documents"), "doc_id", vocabulary=T.english_stop_words())
 
 
 @query("""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[\\t-\\r\\x1c-\\x20\\x85\\xa0]+'), lambda x: x <> '')) AS term FROM documents),
