@@ -5,7 +5,7 @@ sequences; the first piece may be shorter. Whole pieces are sequences by themsel
 islands of bounded size. A chromosome is a packing: a list of bins of pieces. Crossover injects well-filled bins of one
 parent into the other, removes the bins that now hold a piece twice, exchanges displaced pieces for smaller ones where
 that fills a bin better, and puts the rest where they fit best. An island stops when it meets its lower bound, the tokens
-divided by the sequence length: no packing is better, so where the first chromosomes, best fits of several orders, meet
+divided by the sequence length, or when crossover has not lowered the bins for a while. At the bound no packing is better, so where the first chromosomes, best fits of several orders, meet
 it, no crossover runs.
 
 Two epochs run on the islands; between them each sends its fullest bins, as lists of sizes, to the next island, which
@@ -34,6 +34,8 @@ LENGTH = 2048
 ISLAND_ROWS = 8192
 POPULATION = 4
 CROSSOVERS = 40
+#: Crossovers in a row without fewer bins after which an island stops.
+PATIENCE = 8
 #: Displaced pieces of a child for which an exchange is tried; the others go straight to best fit.
 EXCHANGES = 1000
 #: Bins that an island sends on.
@@ -172,9 +174,12 @@ def evolve(sizes: list[int], length: int, seed: int, given: list[list[int]] | No
                     free[sizes[i]].append(i)
         if settled:
             people.append(injected(best, settled, sizes, length))
+    fewest, since = len(best.bins), 0
     for _ in range(crossovers):
         best = max(people, key=Packing.worth)
-        if len(best.bins) == least:
+        since = 0 if len(best.bins) < fewest else since + 1
+        fewest = len(best.bins)
+        if fewest == least or since > PATIENCE:
             break
         one, two = rng.choice(len(people), 2, replace=False)
         donor, other = people[one], people[two]
