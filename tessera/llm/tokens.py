@@ -15,6 +15,8 @@ from tokenizers import Tokenizer
 
 #: Texts with characters from here on are not split here.
 LIMIT = 0x250
+#: White space below LIMIT beside the blank.
+OTHER_SPACE = "\t\n\v\f\r\x85\xa0"
 SIGNS = frozenset(".,;:!?)")
 
 
@@ -68,7 +70,7 @@ class Ids(Table):
         self.split = _pattern().findall
         self.foreign = re.compile(f"[^\\x00-{chr(LIMIT - 1)}]").search
         #: Where white space stands beside a blank, a blank need not start a piece.
-        self.runs = re.compile("[\\t-\\r \\x85\\xa0] | [\\t-\\r\\x85\\xa0]").search
+        self.runs = re.compile("[\\t-\\r\\x85\\xa0] | [\\t-\\r\\x85\\xa0]").search
 
     def whole(self, text: str) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -88,10 +90,14 @@ class Ids(Table):
     def joined(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
+    def uneven(self, text: str) -> bool:
+        """Whether white space stands beside a blank."""
+        return "  " in text or any(c in text for c in OTHER_SPACE) and self.runs(text) is not None
+
     def of(self, text: str) -> bytes:
-        if self.foreign(text) or any(t in text for t in self.added):
+        if not text.isascii() and self.foreign(text) or any(t in text for t in self.added):
             return self.whole(text)
-        if self.runs(text):
+        if self.uneven(text):
             return self.joined(text)
         first, *words = text.split(" ")
         return self.joined(first) + b"".join(map(self.__getitem__, words))
