@@ -11,10 +11,12 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 from tokenizers import Tokenizer
 
 #: Texts with characters from here on are not split here.
 LIMIT = 0x250
+FIRST_BYTE = chr(LIMIT).encode()[0]
 #: White space below LIMIT beside the blank.
 OTHER_SPACE = "\t\n\v\f\r\x85\xa0"
 SIGNS = frozenset(".,;:!?)")
@@ -68,9 +70,7 @@ class Ids(Table):
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces = Table(self.piece)
         self.split = _pattern().findall
-        self.foreign = re.compile(f"[^\\x00-{chr(LIMIT - 1)}]").search
-        #: Where white space stands beside a blank, a blank need not start a piece.
-        self.runs = re.compile("[\\t-\\r\\x85\\xa0] | [\\t-\\r\\x85\\xa0]").search
+        self.beyond = re.compile(f"[^\\x00-{chr(LIMIT - 1)}]").search
 
     def whole(self, text: str) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -90,14 +90,18 @@ class Ids(Table):
     def joined(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
-    def uneven(self, text: str) -> bool:
-        """Whether white space stands beside a blank."""
-        return "  " in text or any(c in text for c in OTHER_SPACE) and self.runs(text) is not None
+    def foreign(self, text: str) -> bool:
+        """Whether a character is LIMIT or beyond; below, the first byte of no character passes that of LIMIT."""
+        if text.isascii():
+            return False
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        return raw.max() >= FIRST_BYTE and self.beyond(text) is not None
 
     def of(self, text: str) -> bytes:
-        if not text.isascii() and self.foreign(text) or any(t in text for t in self.added):
+        if self.foreign(text) or any(t in text for t in self.added):
             return self.whole(text)
-        if self.uneven(text):
+        # where white space stands beside a blank, a blank need not start a piece
+        if "  " in text or any(c in text and (f" {c}" in text or f"{c} " in text) for c in OTHER_SPACE):
             return self.joined(text)
         first, *words = text.split(" ")
         return self.joined(first) + b"".join(map(self.__getitem__, words))
