@@ -117,6 +117,10 @@ def similar_vectors(weights: DataFrame, key: str, threshold: float = 0.9) -> Dat
     rest = lambda k: f"aggregate(filter(map_entries(mass_{k}), e -> e.key >= least(cut_a, cut_b)), 0D, (s, e) -> s + e.value)"
     most = F.expr(f"aggregate(filter(dots, d -> d.level < least(cut_a, cut_b)), 0D, (s, d) -> s + d.dot) + sqrt({rest('a')} * {rest('b')})")
     pairs = shared.join(side("a"), "a").join(side("b"), "b").where(most > threshold - 1e-9).select("a", "b")
+    # only the vectors of pairs that are left are joined with them
+    pairs = held(pairs)
+    named = pairs.select(F.explode(F.array("a", "b")).alias("__k")).distinct()
+    ranked = ranked.select(key, "term", "weight").join(named, F.col(key) == F.col("__k"), "left_semi")
     wa = ranked.select(F.col(key).alias("a"), "term", F.col("weight").alias("wa"))
     wb = ranked.select(F.col(key).alias("b"), "term", F.col("weight").alias("wb"))
     scored = pairs.join(wa, "a").join(wb, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity"))
