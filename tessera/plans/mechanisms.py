@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import sketches, table_functions
 from ..operators.cleaning import held
+from ..sources import json_arrays
 from ..streaming import progress
 from . import traces
 from .further import ITEM_LINKS, ITEMS
@@ -111,7 +112,7 @@ def span_self_times(spark, sf_dir):
     return traces.self_times(spans(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("seconds", "self_seconds")})
 
 
-@query(f"""SELECT doc_id, (doc_id % 3)::INTEGER AS run FROM documents QUALIFY row_number() OVER (PARTITION BY md5({collapsed("coalesce(text, '')")}) ORDER BY doc_id % 3, doc_id) = 1""")
+@query(f"""SELECT doc_id, (doc_id % 3)::INTEGER AS run FROM documents QUALIFY row_number() OVER (PARTITION BY md5({collapsed("text")}) ORDER BY doc_id % 3, doc_id) = 1""")
 def seen_across_runs(spark, sf_dir):
     """Three batches merged one after the other into a bucketed history of texts."""
     docs = t(spark, sf_dir, "documents")
@@ -139,3 +140,19 @@ def stream_progress(spark, sf_dir):
         finally:
             spark.conf.unset(key) if before is None else spark.conf.set(key, before)
         return held(progress.latest(spark.read.parquet(f"{folder}/updates")).withColumn("total", F.round("total", 4)))
+
+
+@query("SELECT doc_id, md5(text) AS text_md5, length(text) AS n, lang, source FROM documents")
+def json_array_files(spark, sf_dir):
+    """All documents written as files of one JSON array each, and read again by byte ranges smaller than a file."""
+    docs = t(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    with WorkFolder(spark) as folder:
+        json_arrays.write_json_arrays(docs, f"{folder}/arrays")
+        spark.conf.set(key, str(1 << 19))
+        try:
+            back = json_arrays.read_json_arrays(spark, f"{folder}/arrays/*.txt", "doc_id long, text string, lang string, source string")
+            return held(back.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n"), "lang", "source"))
+        finally:
+            spark.conf.set(key, before)

@@ -47,11 +47,11 @@ def span_depths(spans: DataFrame) -> DataFrame:
 def self_times(spans: DataFrame) -> DataFrame:
     """trace_id, span_id, seconds, self_seconds: a span's time, and its time without that of its children.
 
-    Children are cut to the parent's time; where they overlap, the time counts once. Spans without an end have null.
+    Children are cut to the parent's time; where they overlap, the time counts once. Spans without an end have null, and take no time from their parent.
     """
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     own = spans.select("trace_id", "span_id", "parent_id", micros("started").alias("a"), micros("ended").alias("z"))
-    child = own.select(F.col("trace_id").alias("t"), F.col("parent_id").alias("p"), F.col("a").alias("ca"), F.col("z").alias("cz")).where("p IS NOT NULL")
+    child = own.select(F.col("trace_id").alias("t"), F.col("parent_id").alias("p"), F.col("a").alias("ca"), F.col("z").alias("cz")).where("p IS NOT NULL AND ca IS NOT NULL AND cz IS NOT NULL")
     met = own.join(child, (own.trace_id == child.t) & (own.span_id == child.p)).select("trace_id", "span_id", F.greatest("a", "ca").alias("ca"), F.least("z", "cz").alias("cz")).where("ca < cz")
     before = Window.partitionBy("trace_id", "span_id").orderBy("ca", "cz").rowsBetween(Window.unboundedPreceding, -1)
     new = F.greatest(F.lit(0), F.col("cz") - F.greatest("ca", F.coalesce(F.max("cz").over(before), F.col("ca"))))

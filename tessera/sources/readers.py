@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import StructType
+
+from .json_arrays import read_json_arrays
 
 #: Extracted questions, and fetched pages.
 QUESTION = "question string, image_url string, solution string, result string, error boolean"
@@ -14,11 +16,8 @@ MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
 
 
 def read_json_array(spark: SparkSession, path: str | list[str], schema: str | StructType = QUESTION) -> DataFrame:
-    """Records of JSON array files, with file and pos; a file that does not parse gives no rows."""
-    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
-    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    rows = whole.select("file", F.posexplode(F.from_json("value", ArrayType(fields), {"mode": "PERMISSIVE"})).alias("pos", "r"))
-    return rows.where("r IS NOT NULL").select("r.*", "file", "pos")
+    """Records of JSON array files, with file and pos; a file that does not parse gives no rows. Files are read by byte ranges."""
+    return read_json_arrays(spark, path, schema)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
