@@ -3,12 +3,14 @@
 A page is a sequence of words and tags. Words score positive, less so under elements whose cues (tag, role, words of
 class and id) mark page furniture, and tags score negative; all weights come from labelled pages. One linear scan finds
 the contiguous region of largest score. The region grows to each element that holds it, the whole page left out, if it
-has half of the words there, or a quarter where cues mark an article; blocks in the region under furniture are left out.
+has half of the words there, or a quarter where cues mark an article; it is cut to the page's main element where that holds a quarter of
+its words; blocks in the region under furniture are left out.
 
 Text of a block: character references decoded, white space turned into one blank, trimmed; blocks in page order, joined
 by a newline. Inline tags do not part words, line breaks do. Formulas and the fallback text of embedded objects are text.
 
-Reading is one pass: a tag that does not end is looked for once, and an element costs the same at any depth.
+Reading is one pass: a tag that does not end is looked for once, no closing tag is looked for behind the last bracket, and an
+element costs the same at any depth.
 
 Defined results: null and empty html, and pages without words, give the empty text; markup that does not end, or closes
 what was not open, is read as far as it goes; very long pages are read whole; rows that repeat give equal rows; null ids
@@ -177,7 +179,7 @@ class Page:
             if m["raw"]:
                 name = m["raw"].lower()
                 if not m["rawrest"].endswith("/") or name in ("script", "style"):
-                    close = None if name in unclosed else CLOSE[name].search(html, at)
+                    close = None if name in unclosed else CLOSE[name].search(html, at, max(at, end))
                     # of what does not end only the tag goes, but for code
                     at = close.end() if close else n if name in CODE else at
                     if not close:
@@ -271,9 +273,26 @@ class Page:
                 if words[last + 1] - words[first] >= share * (words[z] - words[a]):
                     first, last = min(first, a), max(last, z - 1)
             holder = el.parent[holder]
+        first, last = self._within_main(first, last, words)
         return "\n".join(self.blocks[b] for b in range(first, last + 1) if self.plain[b])
 
 
+    def _within_main(self, first: int, last: int, words: list[int]) -> tuple[int, int]:
+        """The region, cut to the page's main element if that is no furniture and holds a quarter of the region's words: what stands beside it is not main.
+
+        The element counts whole if half of its words are in the region.
+        """
+        el = self.elements
+        for e, name in enumerate(el.names):
+            if name == "main" and el.weight[e] >= FURNITURE:
+                low, high = el.first_block[e], el.end_block[e] - 1
+                a, z = max(first, low), min(last, high)
+                held = words[z + 1] - words[a] if a <= z else 0
+                if held and held >= LEAST_SHARE / 2 * (words[last + 1] - words[first]):
+                    return (low, high) if held >= LEAST_SHARE * (words[high + 1] - words[low]) else (a, z)
+        return first, last
+
+
 #: Tags that say nothing of what they hold.
 GENERIC = frozenset("html body div section p ul ol li table td span label dl dd figure details".split())
 

@@ -47,3 +47,20 @@ def test_long_pages_take_linear_time(page):
     began = time.process_time()
     html_extract.main_text(page, WEIGHTS)
     assert time.process_time() - began < 2
+
+
+def test_what_stands_beside_the_main_element_is_not_main():
+    weights = html_extract.default_weights()
+    comments = "<section class=responses><div><b>Ann</b><p>I do not agree with any of this at all, sorry to say</p></div></section>"
+    page = f"<body><div class=zq><p>Notes of the day</p></div><main><h1>T</h1><p>some words of the article stand here now</p></main>{comments}</body>"
+    assert html_extract.main_text(page, weights) == "T\nsome words of the article stand here now"
+    plain = page.replace("<main>", "<div>").replace("</main>", "</div>")
+    assert "some words of the article stand here now" in html_extract.main_text(plain, weights)
+
+
+def test_closing_tags_that_never_end_cost_linear_time():
+    weights = html_extract.default_weights()
+    for tag in ("script", "style", "title", "textarea"):
+        began = time.perf_counter()
+        assert html_extract.main_text(f"<p>kept</p><{tag}>" + f"</{tag} " * (10_000_000 // (len(tag) + 3)), weights).startswith("kept")
+        assert time.perf_counter() - began < 10
