@@ -8,12 +8,13 @@ instance is trusted as far as any of its patterns is sure. Patterns that end sur
 instances, add the identifiers behind them as spans of kind "context", unless a base span overlaps them.
 
 Positions are code points. A regular expression gives its matches and, by a split, the gaps between them; their running
-lengths are the positions. The expressions below match what their plain forms match: possessive forms and look-behinds
+lengths, added up in blocks, are the positions, and what stands left of a match is in the gaps and matches before it. Tokens and
+base spans are compared in the order of their places. So a text's cost grows with its length, whatever it holds. The expressions below match what their plain forms match: possessive forms and look-behinds
 only stop a search from trying starts and lengths that cannot matter, so long runs cost linear time and no stack.
 
 Defined results: null text counts as empty; empty text has no spans and the hash of the empty string; rows that repeat
 get equal results; null ids stay null; an empty table gives no rows; further columns, whatever their names, travel along.
-A token of fewer than six characters is no identifier, and text of which two words never precede an instance gives it no pattern.
+A token of fewer than six characters is no identifier, and one without two words in the 2,000 characters before it has no pattern.
 """
 
 from __future__ import annotations
@@ -41,22 +42,77 @@ GATES = {"email": r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card
 SIGN = "A-Za-z._%+/=:-"
 IDENTIFIER = rf"(?<![0-9@{SIGN}])(?=[{SIGN}]*+[0-9@])[0-9@{SIGN}]{{6,}}+"
 KEY = "^[0-9a-f]{32,}$"
-#: Characters left of an instance in which its pattern is looked for first, and then; at last in all.
+#: Characters left of an instance in which its pattern is looked for first, and then.
 REACH = (60, 2000)
+#: Numbers that are run through at a time; beyond all places in a text.
+RUN = 64
+FAR = 2_147_483_647
+#: Characters of the parts that a text is cut into where spans are replaced.
+PART = 4096
 ROUNDS = 3
 SURE = 0.6
 SUPPORT = 3
-SPANS = "array<struct<start:int,end:int,value:string>>"
+SPANS = "array<struct<start:int,end:int,value:string,pattern:string>>"
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """SQL for body, in which name stands for a value that is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _running(values: str, join: str = "{0} + {1}", deep: int = 2) -> str:
+    """SQL for the running sums (or what join makes of two) of an array with numbers from 0 on, one at least.
+
+    Arrays cannot be appended to in place, so a block of few numbers is run through at a time, then its blocks' totals.
+    """
+    step, names = join.format("acc.at", "x"), [f"{n}{deep}" for n in ("part", "run", "to", "i", "z")]
+    part, run, to, i, z = names
+    plain = lambda v: f"aggregate({v}, named_struct('at', 0, 'out', cast(array() AS array<int>)), (acc, x) -> named_struct('at', {step}, 'out', concat(acc.out, array({step}))), acc -> acc.out)"
+    if not deep:
+        return plain(values)
+    blocks = f"transform(sequence(0, (size({values}) - 1) div {RUN}), {part} -> {plain(f'slice({values}, {part} * {RUN} + 1, {RUN})')})"
+    totals = _running(f"transform({run}, {z} -> {z}[size({z}) - 1])", join, deep - 1)
+    moved = f"flatten(transform({run}, ({z}, {i}) -> if({i} = 0, {z}, transform({z}, y -> {join.format(f'{to}[{i} - 1]', 'y')}))))"
+    # the totals are an array of their own before they are run through
+    return _let(blocks, run, _let(totals if deep == 1 else _let(f"transform({run}, {z} -> {z}[size({z}) - 1])", f"sums{deep}", _running(f"sums{deep}", join, deep - 1)), to, moved))
 
 
 def located(text: str, pattern: str) -> str:
-    """SQL for the spans of all matches: start, end (code points) and value."""
+    """SQL for the spans of all matches: start, end (code points), value, and the pattern left of it.
+
+    That is the last two words before it, digits made 0, in the characters next to it, or in more where these hold no two words.
+    """
     p = "r'" + pattern.replace("'", "\\'") + "'"
-    return f"""aggregate(arrays_zip(regexp_extract_all({text}, {p}, 0), split({text}, {p}, -1)),
-      named_struct('at', 0, 'out', cast(array() AS {SPANS})),
-      (acc, x) -> if(x.`0` IS NULL, acc, named_struct('at', acc.at + length(x.`1`) + length(x.`0`),
-        'out', concat(acc.out, array(named_struct('start', acc.at + length(x.`1`), 'end', acc.at + length(x.`1`) + length(x.`0`), 'value', x.`0`))))),
-      acc -> acc.out)"""
+
+    def left(reach: int, pieces: str) -> str:
+        # every match has five characters, so few matches reach far enough
+        back = reach // 5 + 1
+        before = f"lower(right(concat(array_join(slice({pieces}, greatest(i - {back}, 0) + 1, least(i, {back})), ''), right(gaps[i], {reach})), {reach}))"
+        return rf"regexp_replace(regexp_extract({before}, r'(?<!\S)(\S++\s++\S+?)[\s\x22(\[<\x27]*+$', 1), '[0-9]', '0')"
+
+    near, far = REACH
+    # without white space there are no two words, however far one looks
+    apart = rf"(gaps[i] rlike r'\s' OR blank[greatest(i - 1, 0)] > i - {far // 5 + 1})"
+    words = _let(left(near, "close"), "found", f"if(found = '' AND ends[i] - length(v) > {near} AND {apart}, {left(far, 'wide')}, found)")
+    spans = f"transform(hits, (v, i) -> named_struct('start', ends[i] - length(v), 'end', ends[i], 'value', v, 'pattern', {words}))"
+    blank = _let(r"transform(wide, (x, i) -> if(x rlike r'\s', i + 1, 0))", "spaced", _running("spaced", "greatest({0}, {1})"))
+    spans = _let(blank, "blank", spans)
+    for reach, name in ((near, "close"), (far, "wide")):
+        spans = _let(f"transform(hits, (v, i) -> concat(right(gaps[i], {reach}), right(v, {reach})))", name, spans)
+    ends = _let("transform(hits, (v, i) -> length(gaps[i]) + length(v))", "sizes", _running("sizes"))
+    spans = _let(f"split({text}, {p}, -1)", "gaps", _let(ends, "ends", spans))
+    return _let(f"regexp_extract_all({text}, {p}, 0)", "hits", f"if(size(hits) = 0, cast(array() AS {SPANS}), {spans})")
+
+
+def free(tokens: str, others: str) -> str:
+    """SQL for the tokens that overlap none of the other spans: both run through once, in the order of their places."""
+    item = lambda x, kind: f"named_struct('start', {x}.start, 'end', {x}.end, 'kind', {kind}, 'value', {x}.value, 'pattern', {x}.pattern)"
+    every = f"array_sort(concat(transform({others}, o -> {item('o', 0)}), transform({tokens}, t -> {item('t', 1)})))"
+    most, least = "greatest({0}, {1})", "reverse({0})"
+    ends = _let("transform(items, o -> if(o.kind = 0, o.end, 0))", "lasts", _running("lasts", most))
+    starts = _let(least.format(f"transform(items, o -> if(o.kind = 0, {FAR} - o.start, 0))"), "firsts", least.format(_running("firsts", most)))
+    kept = f"transform(filter(transform(items, (o, i) -> if(o.kind = 1 AND ends[i] <= o.start AND {FAR} - starts[i] >= o.end, o, NULL)), o -> o IS NOT NULL), o -> named_struct('start', o.start, 'end', o.end, 'value', o.value, 'pattern', o.pattern))"
+    return f"if(size({others}) = 0 OR size({tokens}) = 0, {tokens}, {_let(every, 'items', _let(ends, 'ends', _let(starts, 'starts', kept)))})"
 
 
 def _good(kind: str) -> str:
@@ -81,34 +137,18 @@ def base_spans(text: str = "z_text") -> dict[str, Column]:
     return out
 
 
-def _left(start: str) -> str:
-    """SQL for the pattern left of a position: the last two words before it, digits made 0.
-
-    They are looked for in the characters next to it, where these hold no two words in more of them, and then in all.
-    """
-
-    def found(reach: str) -> str:
-        before = f"lower(substring(z_text, greatest(1, {start} + 1 - {reach}), least({reach}, {start})))"
-        return rf"regexp_replace(regexp_extract({before}, r'(?<!\S)(\S++\s++\S+?)[\s\x22(\[<\x27]*+$', 1), '[0-9]', '0')"
-
-    sql = found(str(REACH[0]))
-    for shorter, longer in zip(REACH, [*map(str, REACH[1:]), start], strict=True):
-        sql = f"transform(array({sql}), p -> if(p = '' AND {start} > {shorter}, {found(longer)}, p))[0]"
-    return sql
-
-
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, h (hash of the text), each kind's spans (start, end) and seen: instances with their patterns."""
     rows = docs.select("doc_id", text_or_empty().alias("z_text")).withColumn("h", F.xxhash64("z_text"))
     rows = rows.withColumns({f"z_{k}": c for k, c in base_spans().items()})
     rows = rows.withColumn("z_base", F.concat(*[F.col(f"z_{k}") for k in KINDS]))
     rows = rows.withColumn("z_token", F.expr(f"CASE WHEN z_text rlike '[0-9@]' THEN {located('z_text', IDENTIFIER)} ELSE cast(array() AS {SPANS}) END"))
-    free = "filter(z_token, t -> NOT exists(z_base, b -> b.start < t.end AND t.start < b.end))"
+    rows = rows.withColumn("z_free", F.expr(free("z_token", "z_base")))
 
     def instance(x: str, trusted: str, added: str) -> str:
-        return f"named_struct('start', {x}.start, 'end', {x}.end, 'pattern', {_left(x + '.start')}, 'instance', xxhash64({x}.value), 'trusted', {trusted}, 'free', {added})"
+        return f"named_struct('start', {x}.start, 'end', {x}.end, 'pattern', {x}.pattern, 'instance', xxhash64({x}.value), 'trusted', {trusted}, 'free', {added})"
 
-    seen = f"filter(concat(transform(z_base, b -> {instance('b', 'true', 'false')}), transform({free}, t -> {instance('t', f't.value rlike \'{KEY}\'', 'true')})), s -> s.pattern <> '')"
+    seen = f"filter(concat(transform(z_base, b -> {instance('b', 'true', 'false')}), transform(z_free, t -> {instance('t', f't.value rlike \'{KEY}\'', 'true')})), s -> s.pattern <> '')"
     spans = [F.transform(f"z_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in KINDS]
     return rows.select("doc_id", "h", *spans, F.expr(seen).alias("seen"))
 
@@ -157,20 +197,21 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     """docs with every span of personal data replaced by its kind in angle brackets; columns stay as they are."""
     found = with_spans(docs, **options).where(F.size(F.concat(*KINDS, FOUND)) > 0)
     tagged = F.concat(*[F.expr(f"transform({k}, s -> named_struct('start', s.start, 'end', s.end, 'tag', '<{k.upper()}>'))") for k in (*KINDS, FOUND)])
-    merged = F.expr(
-        """aggregate(array_sort(z_spans), cast(array() AS array<struct<start:int,end:int,tag:string>>),
-        (acc, s) -> if(size(acc) > 0 AND s.start < acc[size(acc) - 1].end,
-          concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', acc[size(acc) - 1].start, 'end', greatest(acc[size(acc) - 1].end, s.end), 'tag', acc[size(acc) - 1].tag))),
-          concat(acc, array(s))))"""
-    )
-    spans = found.withColumn("z_spans", tagged).withColumn("z_cuts", merged).select(F.col("doc_id").alias("z_id"), F.col("h").alias("z_h"), "z_cuts").dropDuplicates(["z_id", "z_h"])
+    # spans that overlap are one, under the first one's tag
+    opens, closes = "i = 0 OR s.start >= most[i - 1]", "i = size(z_spans) - 1 OR z_spans[i + 1].start >= most[i]"
+    firsts = f"filter(transform(z_spans, (s, i) -> if({opens}, s, NULL)), s -> s IS NOT NULL)"
+    lasts = f"filter(transform(z_spans, (s, i) -> if({closes}, most[i], NULL)), e -> e IS NOT NULL)"
+    joined = f"zip_with({firsts}, {lasts}, (s, e) -> named_struct('start', s.start, 'end', e, 'tag', s.tag))"
+    merged = F.expr(_let("transform(z_spans, s -> s.end)", "ends", _let(_running("ends", "greatest({0}, {1})"), "most", joined)))
+    spans = found.withColumn("z_spans", F.array_sort(tagged)).withColumn("z_cuts", merged).select(F.col("doc_id").alias("z_id"), F.col("h").alias("z_h"), "z_cuts").dropDuplicates(["z_id", "z_h"])
     # the row travels as one struct, so its names cannot clash with ours
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("r_id"), F.xxhash64(text_or_empty()).alias("r_h"))
     joined = rows.join(spans, F.col("r_id").eqNullSafe(F.col("z_id")) & (F.col("r_h") == F.col("z_h")), "left")
-    pieces = F.expr(
-        """concat(array_join(transform(z_cuts, (s, i) -> concat(substring(row.text, if(i = 0, 1, z_cuts[greatest(i - 1, 0)].end + 1), s.start - if(i = 0, 0, z_cuts[greatest(i - 1, 0)].end)), s.tag)), ''),
-        substring(row.text, z_cuts[size(z_cuts) - 1].end + 1))"""
-    )
+    # a piece is looked for in the parts of the text that hold it
+    piece = f"substring(array_join(slice(parts, at div {PART} + 1, (upto - 1) div {PART} - at div {PART} + 1), ''), at % {PART} + 1, upto - at)"
+    before = _let("if(i = 0, 0, z_cuts[i - 1].end)", "at", _let("s.start", "upto", f"if(upto > at, {piece}, '')"))
+    rest = _let("z_cuts[size(z_cuts) - 1].end", "at", _let("length(row.text)", "upto", f"if(upto > at, {piece}, '')"))
+    pieces = F.expr(_let(f"regexp_extract_all(row.text, r'(?s).{{1,{PART}}}', 0)", "parts", f"concat(array_join(transform(z_cuts, (s, i) -> concat({before}, s.tag)), ''), {rest})"))
     text = F.when(F.col("z_cuts").isNull(), F.col("row.text")).otherwise(pieces)
     joined = joined.withColumn("z_new", text)
 
