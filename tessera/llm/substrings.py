@@ -173,7 +173,7 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
             return
         key, doc, place = np.concatenate(keys), np.concatenate(ids), np.concatenate(places)
         order, mine, several = _asked((key,), doc, place)
-        ask = order[mine]
+        ask = np.sort(order[mine])  # in the order of documents, in which neighbours are alike and take less room
         d, low, high = _ranges(doc[order[several]], np.maximum(place[order[several]] - (window - size), 0), place[order[several]])
         yield _entries([(key[ask], doc[ask], place[ask], np.full(len(ask), -1)), (_spread(d, low), d, low, high)], ("k", "doc", "low", "high"), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))
 
@@ -254,7 +254,7 @@ def windows(found: DataFrame, window: int) -> DataFrame:
             return
         k, k2, doc, at = (np.concatenate(c) for c in (first, second, ids, places))
         order, mine, _ = _asked((k, k2), doc, at)
-        ask, later = order[mine], order[~mine]
+        ask, later = np.sort(order[mine]), order[~mine]  # neighbours are alike in the order of documents
         # ranges of one part of one document; parts are far from each other
         d, low, high = _ranges(doc[later], at[later], at[later])
         zero = np.zeros(len(d), np.int64)
