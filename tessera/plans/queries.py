@@ -820,3 +820,4 @@ def region_json(spark, sf_dir):
 
 from . import further  # noqa: E402, F401  registers more queries
 from . import mechanisms  # noqa: E402, F401
+from . import models  # noqa: E402, F401  registers more queries
