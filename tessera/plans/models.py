@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import variants
 from ..operators import language_models as M
+from ..operators import web
+from ..operators.cleaning import held
+from ..sources import address_index
 from .queries import query, t, word_list
+from .shared import WorkFolder
 
 
 def folded(spark, sf_dir):
@@ -68,3 +73,91 @@ def profiled_languages(spark, sf_dir):
     docs = folded(spark, sf_dir)
     profiles = M.language_profiles(docs.withColumn("fold", 1 - F.col("fold")), by="fold")
     return M.detected_languages(profiles, docs, "doc_id")
+
+
+def tool_texts(spark, sf_dir):
+    """Every part as a tool that a model can call, in one of five shapes by its number, one of them broken."""
+    p, k = t(spark, sf_dir, "part"), F.col("p_partkey") % 5
+    size = F.named_struct(F.lit("type"), F.lit("integer"), F.lit("maximum"), "p_size")
+    brand = F.named_struct(F.lit("type"), F.lit("string"), F.lit("const"), "p_brand")
+    free = F.named_struct(F.lit("description"), F.col("p_name"))
+    schema = lambda properties, required: F.named_struct(F.lit("type"), F.lit("object"), F.lit("properties"), properties, F.lit("required"), required)
+    full = schema(F.named_struct(F.lit("size"), size, F.lit("brand"), brand), F.array(F.lit("size")))
+    tool = lambda name, where, s: F.named_struct(F.lit("name"), name, F.lit("description"), "p_name", F.lit(where), s)
+    name = F.concat(F.lit("part_"), F.col("p_partkey").cast("string"))
+    wrapped = F.to_json(F.array(F.named_struct(F.lit("type"), F.lit("function"), F.lit("function"), tool(name, "parameters", full))))
+    two = F.to_json(F.array(tool(name, "parameters", schema(F.named_struct(F.lit("note"), free), F.array().cast("array<string>"))), tool(F.concat(name, F.lit("b")), "parameters", schema(F.named_struct(F.lit("note"), free), F.array(F.lit("note"))))))
+    single = F.to_json(tool(name, "input_schema", full))
+    bare = F.to_json(F.array(F.named_struct(F.lit("name"), name)))
+    text = F.when(k == 0, wrapped).when(k == 1, two).when(k == 2, F.concat(F.lit("```json\n"), single, F.lit("\n```"))).when(k == 3, bare).otherwise(F.substring(wrapped, 1, 40))
+    return p.select("p_partkey", text.alias("tools"))
+
+
+@query("""WITH p AS (SELECT p_partkey, 'part_' || p_partkey AS name, p_partkey % 5 AS k FROM part)
+    SELECT p_partkey, 0 AS pos, name, 'size' AS parameter, 'integer' AS type, true AS required FROM p WHERE k IN (0, 2)
+    UNION ALL SELECT p_partkey, 0, name, 'brand', 'string', false FROM p WHERE k IN (0, 2)
+    UNION ALL SELECT p_partkey, 0, name, 'note', 'any', false FROM p WHERE k = 1 UNION ALL SELECT p_partkey, 1, name || 'b', 'note', 'any', true FROM p WHERE k = 1""")
+def tool_schema_parameters(spark, sf_dir):
+    return variants.tool_parameters(tool_texts(spark, sf_dir), "p_partkey")
+
+
+@query("""SELECT p_partkey, 0 AS pos, 'part_' || p_partkey AS name, CASE WHEN p_partkey % 5 <> 3 THEN p_name END AS description FROM part WHERE p_partkey % 5 < 4
+    UNION ALL SELECT p_partkey, 1, 'part_' || p_partkey || 'b', p_name FROM part WHERE p_partkey % 5 = 1""")
+def tools_of_rows(spark, sf_dir):
+    return variants.tools(tool_texts(spark, sf_dir), "p_partkey").drop("schema")
+
+
+ANSWER_SQL = """CASE event_id % 5 WHEN 0 THEN '{"accuracy": {"analysis": "' || event_type || '", "score": ' || json_extract_string(props, '$.k') || '}, "style": {"score": "' || (user_id % 7) || '"}}'
+      WHEN 1 THEN '{"accuracy": ' || json_extract_string(props, '$.k') || ', "style": ' || (user_id % 7) || ', "more": [' || value || ']}' WHEN 2 THEN '{"accuracy": {"score": ' || json_extract_string(props, '$.k') || '}}'
+      WHEN 3 THEN '{"accuracy": {"score": "' || event_type || '"}, "style": {"score": 1}}' ELSE '{"accuracy": {"score": ' END"""
+
+
+@query(f"""WITH a AS (SELECT event_id, {ANSWER_SQL} AS answer FROM events), v AS (SELECT event_id, CASE WHEN json_valid(answer) THEN answer END AS j FROM a),
+    s AS (SELECT event_id, try_cast(coalesce(json_extract_string(j, '$.accuracy.score'), CASE WHEN json_type(j, '$.accuracy') <> 'OBJECT' THEN json_extract_string(j, '$.accuracy') END) AS INTEGER) AS accuracy,
+      try_cast(coalesce(json_extract_string(j, '$.style.score'), CASE WHEN json_type(j, '$.style') <> 'OBJECT' THEN json_extract_string(j, '$.style') END) AS INTEGER) AS style FROM v)
+    SELECT event_id, CASE WHEN style IS NOT NULL THEN accuracy END AS accuracy, CASE WHEN accuracy IS NOT NULL THEN style END AS style FROM s""")
+def judge_answers(spark, sf_dir):
+    """Answers of five shapes made of every event's properties, some in fenced blocks."""
+    answers = t(spark, sf_dir, "events").withColumn("answer", F.expr(ANSWER_SPARK))
+    return variants.judge_scores(answers).select("event_id", "accuracy", "style")
+
+
+ANSWER_SPARK = """CASE event_id % 5 WHEN 0 THEN concat('```json\\n{"accuracy": {"analysis": "', event_type, '", "score": ', get_json_object(props, '$.k'), '}, "style": {"score": "', user_id % 7, '"}}\\n```')
+      WHEN 1 THEN concat('{"accuracy": ', get_json_object(props, '$.k'), ', "style": ', user_id % 7, ', "more": [', value, ']}') WHEN 2 THEN concat('{"accuracy": {"score": ', get_json_object(props, '$.k'), '}}')
+      WHEN 3 THEN concat('{"accuracy": {"score": "', event_type, '"}, "style": {"score": 1}}') ELSE '{"accuracy": {"score": ' END"""
+
+
+@query("""SELECT event_type, count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS k, 0::BIGINT AS n_without, 'OBJECT<k: BIGINT>' AS schema, 0::BIGINT AS broken FROM events GROUP BY event_type""")
+def shredded_properties(spark, sf_dir):
+    """Every event's properties as typed columns, and the schema that all of a type's properties fit in."""
+    e = t(spark, sf_dir, "events")
+    typed = variants.shredded(e, "props", {"k": ("$.k", "bigint"), "absent": ("$.no.such[0]", "string")})
+    sums = typed.groupBy("event_type").agg(F.sum("k").alias("k"), F.count("absent").alias("n_without"))
+    return variants.merged_schema(e, "props", "event_type").join(sums, "event_type").select("event_type", "n", "k", "n_without", "schema", "broken")
+
+
+KEY_SQL = r"""array_to_string(list_reverse(string_split(regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www[0-9]*[.]', ''), '.')), ',') || ')' || regexp_extract(url, '^https?://[^/?#]+([^#]*)', 1)"""
+PLACES_SQL = f"""k AS (SELECT min(url) AS url, {KEY_SQL} AS key FROM pages GROUP BY ALL)"""
+
+
+@query(f"""WITH {PLACES_SQL} SELECT 'example.org' AS seed, key, url FROM k WHERE key LIKE 'org,example)%' OR key LIKE 'org,example,%'
+    UNION ALL SELECT 'example.com/en', key, url FROM k WHERE regexp_matches(key, '^com,example[,)]') AND regexp_matches(key, '^[^)]*[)]/en/') AND url LIKE '%page=%'""")
+def index_seeds(spark, sf_dir):
+    """All pages' addresses written as an index; two domains read from it by ranges, one in a folder and by a glob."""
+    with WorkFolder(spark) as folder:
+        address_index.write_index(t(spark, sf_dir, "pages"), f"{folder}/index")
+        org = address_index.seeds(spark, f"{folder}/index", "example.org").select(F.lit("example.org").alias("seed"), "key", "url")
+        com = address_index.seeds(spark, f"{folder}/index", "www.example.com", "/en/", "*page=*").select(F.lit("example.com/en").alias("seed"), "key", "url")
+        return held(org.union(com))
+
+
+@query(f"""WITH {PLACES_SQL}, d AS (SELECT DISTINCT regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www[0-9]*[.]', '') AS domain FROM pages)
+    SELECT domain, count(*) AS n, md5(string_agg(url, ' ' ORDER BY key)) AS urls FROM k JOIN d ON key LIKE array_to_string(list_reverse(string_split(domain, '.')), ',') || ')%' OR key LIKE array_to_string(list_reverse(string_split(domain, '.')), ',') || ',%' GROUP BY domain""")
+def addresses_below_hosts(spark, sf_dir):
+    """For the host of every page, the addresses on it and on the hosts below it."""
+    pages = t(spark, sf_dir, "pages")
+    hosts = pages.select(F.regexp_replace(web.host(F.col("url")), "^www[0-9]*[.]", "").alias("domain"))
+    index = pages.select(address_index.address_key("url").alias("key"), "url").groupBy("key").agg(F.min("url").alias("url"))
+    found = address_index.seeds_of(index, hosts)
+    urls = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "url"))), lambda x: x["url"]), " ")
+    return found.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.md5(urls).alias("urls"))
