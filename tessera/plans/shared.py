@@ -17,6 +17,8 @@ def shared_folder(spark: SparkSession) -> str:
         if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="shared-")
+        # what is cut off from a work folder is written at once, not when it is asked for
+        sc.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
