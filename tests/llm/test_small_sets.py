@@ -36,5 +36,9 @@ def test_open_members_of_small_sets_meet_in_bands_of_many(spark):
     for s in range(60):
         words = [f"v{s}x{k}" for k in range(9)]
         rows += [(3 * s, " ".join(words)), (3 * s + 1, " ".join(words[1:])), (3 * s + 2, " ".join(words[:-1]))]
+    # and a chain of large sets, whose task has no small ones
+    long = [f"u{k}" for k in range(60)]
+    rows += [(1000 + k, " ".join(long[2 * k : 2 * k + 40])) for k in range(8)]
     found = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert all(r.component_id == r.doc_id - r.doc_id % 3 for r in found.collect())
+    assert {r.component_id for r in found.where("doc_id >= 1000").collect()} == {1000}
+    assert all(r.component_id == r.doc_id - r.doc_id % 3 for r in found.where("doc_id < 1000").collect())
