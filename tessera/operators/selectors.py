@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType
 
-from .web import VOID, first_good, keyword_section
+from .web import VOID, Markup, first_good, keyword_section
 
 #: Elements that the start of some others ends.
 ENDED_BY = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"])}
@@ -45,9 +44,9 @@ class Node:
             stack += [c for c in reversed(x.children) if isinstance(c, Node)]
 
 
-class _Tree(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
+class _Tree(Markup):
+    def __init__(self, references: bool = True):
+        super().__init__(references)
         self.root = self.at = Node("", {}, None)
 
     def handle_starttag(self, tag, attrs):
@@ -68,13 +67,12 @@ class _Tree(HTMLParser):
             self.at = node.parent
 
     def handle_data(self, data):
-        self.at.children.append(data)
+        self.at.children.append(self.written(data))
 
 
-def tree(html: str | None) -> Node:
-    parser = _Tree()
-    parser.feed(html or "")
-    parser.close()
+def tree(html: str | None, references: bool = True) -> Node:
+    parser = _Tree(references)
+    parser.read(html)
     return parser.root
 
 
@@ -173,8 +171,11 @@ def by_xpath(df: DataFrame, column: str, **fields: str) -> DataFrame:
     return df.withColumns({name: F.nullif(F.xpath_string(F.col(column), F.lit(path)), F.lit("")) for name, path in fields.items()})
 
 
-def selected_texts(pages: DataFrame, key: str, selectors: dict[str, str], html: str = "html") -> DataFrame:
-    """(key, name -> text): for each named selector the texts of its elements, joined by newlines; page parsed once."""
+def selected_texts(pages: DataFrame, key: str, selectors: dict[str, str], html: str = "html", references: bool = True) -> DataFrame:
+    """(key, name -> text): for each named selector the texts of its elements, joined by newlines; page parsed once.
+
+    references: whether character references are decoded; else they stand as they are written.
+    """
     names = list(selectors)
 
     @F.pandas_udf(ArrayType(StringType()))
@@ -182,7 +183,7 @@ def selected_texts(pages: DataFrame, key: str, selectors: dict[str, str], html:
         found = [Selector(selectors[n]) for n in names]
 
         def one(t):
-            top = tree(t)
+            top = tree(t, references)
             return ["\n".join(x for x in (n.text() for n in s.find(top)) if x) for s in found]
 
         return texts.map(one)
@@ -190,13 +191,13 @@ def selected_texts(pages: DataFrame, key: str, selectors: dict[str, str], html:
     return pages.select(key, run(html).alias("__t")).select(key, *[F.col("__t")[k].alias(n) for k, n in enumerate(names)])
 
 
-def with_fallbacks(pages: DataFrame, key: str, primary: str, fallbacks: list[str], keywords: list[str], html: str = "html") -> DataFrame:
+def with_fallbacks(pages: DataFrame, key: str, primary: str, fallbacks: list[str], keywords: list[str], html: str = "html", references: bool = True) -> DataFrame:
     """(key, method, content): the primary selector's text if it is not blank; else of the fallbacks, in order, the first whose text has a keyword section, and that section.
 
     Pages for which nothing is found have method and content null.
     """
     names = {"primary": primary} | {f"fallback_{k}": s for k, s in enumerate(fallbacks, 1)}
-    found = selected_texts(pages, key, names, html)
+    found = selected_texts(pages, key, names, html, references)
     tries = found.select(key, F.explode(F.array(*[F.struct(F.lit(k).alias("priority"), F.lit(n).alias("method"), F.col(n).alias("text")) for k, n in enumerate(names)])).alias("t")).select(key, "t.*")
     sections = keyword_section(tries.withColumn("__k", F.struct(key, "priority")), "__k", "text", keywords).select(F.col(f"__k.{key}").alias("s_key"), F.col("__k.priority").alias("s_priority"), "section")
     judged = tries.join(sections, (F.col(key) == F.col("s_key")) & (F.col("priority") == F.col("s_priority")))

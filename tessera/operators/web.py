@@ -188,11 +188,28 @@ def preview(c: Column, longest: int = 300) -> Column:
     return F.when(F.length(c) > longest, F.concat(F.substring(c, 1, longest), F.lit("..."))).otherwise(c)
 
 
-class _Select(HTMLParser):
-    """Elements that a simple selector (tag, #id, .class, tag.class) matches: their text and attributes."""
+class Markup(HTMLParser):
+    """Text and attributes with their character references decoded, or all as they are written."""
 
-    def __init__(self, selector: str):
+    def __init__(self, references: bool = True):
         super().__init__(convert_charrefs=True)
+        self.references = references
+
+    def read(self, html: str | None) -> None:
+        # what stands for an ampersand is decoded to it, and no other reference is left
+        self.feed((html or "") if self.references else (html or "").replace("&", "&amp;"))
+        self.close()
+
+    def written(self, data: str) -> str:
+        """Scripts and styles have no references, so nothing is decoded there."""
+        return data if self.references or self.cdata_elem not in self.CDATA_CONTENT_ELEMENTS else data.replace("&amp;", "&")
+
+
+class _Select(Markup):
+    """Elements that a simple selector (tag, #id, .class, tag.class) matches: their text and attributes."""
+
+    def __init__(self, selector: str, references: bool = True):
+        super().__init__(references)
         self.tag, self.mark = (selector, "")
         for sign in "#.":
             if sign in selector:
@@ -225,22 +242,24 @@ class _Select(HTMLParser):
 
     def handle_data(self, data):
         for d in self.depth:
-            d[2]["text"].append(data)
+            d[2]["text"].append(self.written(data))
 
 
-def select_elements(html: str | None, selector: str) -> list[dict[str, str]]:
-    parser = _Select(selector)
-    parser.feed(html or "")
-    parser.close()
+def select_elements(html: str | None, selector: str, references: bool = True) -> list[dict[str, str]]:
+    parser = _Select(selector, references)
+    parser.read(html)
     return [{"text": " ".join("".join(f["text"]).split()), **{k: v or "" for k, v in f["attrs"].items()}} for f in parser.found]
 
 
-def by_selector(pages: DataFrame, key: str, selector: str, html: str = "html") -> DataFrame:
-    """(key, pos, fields): the elements that a simple selector matches; fields: text and attributes."""
+def by_selector(pages: DataFrame, key: str, selector: str, html: str = "html", references: bool = True) -> DataFrame:
+    """(key, pos, fields): the elements that a simple selector matches; fields: text and attributes.
+
+    references: whether character references are decoded; else they stand as they are written.
+    """
 
     @F.pandas_udf(ArrayType(MapType(StringType(), StringType())))
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: select_elements(t, selector))
+        return texts.map(lambda t: select_elements(t, selector, references))
 
     return pages.select(key, F.posexplode(run(html)).alias("pos", "fields"))
 
