@@ -15,6 +15,12 @@ SHORT_KEYWORDS = ["đúng", "sai", "kết quả", "bằng", "=", "+", "-", "*",
 WEIGHTS = {"keyword_matching": 0.3, "number_matching": 0.4, "length_similarity": 0.2, "exact_match": 0.1}
 
 
+def rounded(c: Column, places: int) -> Column:
+    """A double with so many places, half up; what becomes zero keeps its sign, which `round` drops."""
+    r = F.round(c, places)
+    return F.when(r == 0, c * F.lit(0.0)).otherwise(r)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two token arrays as sets; null where both are empty."""
     return F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))

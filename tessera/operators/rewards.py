@@ -49,7 +49,8 @@ def generalised_advantage(rewards: Column, values: Column, gamma: float = 1.0, l
 def shaped(kl: Column, score: Column, beta: float) -> Column:
     """-beta times the divergence of each token; the score is added on the last."""
     n = F.size(kl)
-    return F.transform(kl, lambda k, i: -beta * k + F.when(i == n - 1, score).otherwise(0.0))
+    # nothing is added to the others: a sum with zero would turn the zero of a negative sign
+    return F.transform(kl, lambda k, i: F.when(i == n - 1, -beta * k + score).otherwise(-beta * k))
 
 
 def whitened(df: DataFrame, column: str, mask: str | None = None, shift_mean: bool = True) -> DataFrame:

@@ -19,7 +19,7 @@ def same_rows(spark, name, folder, table):
     assert sorted(repr([r[k] for k in columns]) for r in df.collect()) == sorted(repr([r[p] for p in place]) for r in relation.fetchall())
 
 
-@pytest.mark.parametrize("name", ["fallback_chain"])
+@pytest.mark.parametrize("name", ["page_selector", "fallback_chain"])
 def test_references_in_titles_are_those_of_the_sql(spark, tmp_path, name):
     rows = [(k, f"http://s/{k}", PAGE.format(x)) for k, x in enumerate(TITLES)]
     if name == "fallback_chain":
