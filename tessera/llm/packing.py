@@ -153,6 +153,8 @@ def evolve(sizes: list[int], length: int, seed: int, given: list[list[int]] | No
     rng = np.random.default_rng(seed)
     n, least = len(sizes), -(-sum(sizes) // length)
     size = np.array(sizes)
+    if given and len(given) == least:
+        return [list(b) for b in given]
     people = [Packing(sizes, length, [list(b) for b in given])] if given else []
     people.append(Packing(sizes, length).best_fit(np.argsort(-size, kind="stable").tolist()))
     best = max(people, key=Packing.worth)

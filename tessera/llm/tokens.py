@@ -66,6 +66,8 @@ class Ids(Table):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model.tokenize
         self.names = _byte_names()
+        #: The bytes of each id.
+        self.bytes = [i.to_bytes(4, "little") for i in range(1 + max(self.tokenizer.get_vocab(with_added_tokens=True).values()))]
         #: Texts that hold one of these go to the library whole: it gives them ids of their own.
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces = Table(self.piece)
@@ -75,14 +77,18 @@ class Ids(Table):
     def whole(self, text: str) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def named(self, piece: str) -> bytes:
+        ids = self.bytes
+        return b"".join([ids[t.id] for t in self.model(piece)])
+
     def piece(self, text: str) -> bytes:
-        named = "\u0120" + text[1:] if text[1:].isascii() and text[1:].isalpha() and text[0] == " " else "".join(map(self.names.__getitem__, text.encode()))
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model(named)])
+        plain = text[1:].isascii() and text[1:].isalpha() and text[0] == " "
+        return self.named("\u0120" + text[1:] if plain else "".join(map(self.names.__getitem__, text.encode())))
 
     def word(self, word: str) -> bytes:
         """Words of letters, and those with one sign behind, need no split."""
         if word.isalpha():
-            return self.piece(" " + word)
+            return self.named("\u0120" + word) if word.isascii() else self.piece(" " + word)
         if word[-1:] in SIGNS and word[:-1].isalpha():
             return self[word[:-1]] + self.pieces[word[-1]]
         return self.joined(" " + word)
