@@ -1,15 +1,19 @@
 """Near copies at a given Jaccard similarity of shingle sets, over the Gray-order hierarchical index of SimHashes.
 
-A pair at similarity 0.8 differs in some 15 % of the bits of its SimHashes: 64 bits are too rough to tell it from a pair
-at 0.6, and so many bits apart leave no block of them whole to look a partner up by. So fingerprints here have 512 bits, the upper
-nodes of the index are bands of the sets' MinHashes (32 bands of four: a pair at 0.8 shares none once in 20 million
-times), and below them the tree of `simhash.group_pairs` prunes whole groups by their accumulated differences: beyond a
+First all sets go through the index as it is in `simhash.py`: 64-bit SimHashes under upper nodes of blocks of bits that
+lead in turn, in Gray order, searched for all within NEAR bits (`simhash.links`). What it links is decided by the exact
+similarity of the sets.
+
+A pair at similarity 0.8 differs in some 15 % of the bits of its SimHashes: so many bits apart leave no block of them
+whole to look a partner up by, and 64 bits are too rough to tell such a pair from one at 0.6. So a wider search follows for the links that
+the first left open. Its fingerprints have 512 bits, its upper nodes are bands of the sets' MinHashes (32 bands of four: a
+pair at 0.8 shares none once in 20 million times), and below them the tree of `simhash.group_pairs` prunes whole groups by their accumulated differences: beyond a
 radius, a pair is no candidate. Bits are independent, so the chance that a pair at 0.8 is beyond it follows from the sizes
 of the sets: the majorities of 4 and 5 shingles differ in 0.19 of the bits, those of all larger pairs in 0.16 at most, and
 the radius of each is over six standard deviations behind that (lost: one such pair in 10^11, and one in 10^9). What is
 left is decided by the exact similarity of the sets.
 
-Equal sets are one. Two rounds compare the members of a band with one of them, which joins nearly all true copies. Then
+Equal sets are one. Behind the index, two rounds compare the members of a band with one of them, which joins nearly all true copies. Then
 bands that still hold several components are searched for members of different components within the radius: the search
 gives a row for each such member, never a row for each pair. Members that candidates connect come together with their texts in
 one task, which looks for links between components there, the closest first, and gives only those that join two.
@@ -32,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, cut, map_arrow
-from .simhash import components, gray_rank, group_pairs, shingle_hashes, slim_rows, stars, text_hash, whole_groups
+from .simhash import components, gray_rank, group_pairs, links, shingle_hashes, slim_rows, stars, text_hash, whole_groups
 
 #: Bands of a MinHash and hash functions in each; multipliers are odd.
 BANDS, BAND_ROWS = 32, 4
@@ -44,6 +48,8 @@ TWIST = np.random.default_rng(43).integers(0, 1 << 64, WIDTH, np.uint64) | np.ui
 RADIUS = 17 * WIDTH
 #: The same where the smaller set has as many members as this, or fewer.
 SMALL, SMALL_RADIUS = 4, 20 * WIDTH
+#: Bits of the first word in which fingerprints that the index links may differ.
+NEAR = 3
 #: Members of a band that one task compares; beyond, pairs of blocks.
 ROWS = 2048
 #: Pairs of one member that one task confirms.
@@ -126,6 +132,21 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
+def index_pairs(firsts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of sets that the hierarchical index of 64-bit SimHashes links, as stars, or whose SimHashes are equal.
+
+    The SimHash is the first word of the print. Each one's set of the smallest id stands for it in the index.
+    """
+    prints = scratch.stored(firsts.where("n > 0").select("id", "n", F.element_at("print", 1).alias("fp")))
+    head = F.min(F.struct("id", "n")).alias("h")
+    heads = scratch.stored(prints.groupBy("fp").agg(head).select(F.col("fp").alias("of"), F.col("h.id").alias("a"), F.col("h.n").alias("m")))
+    equal = prints.join(heads, F.col("fp") == F.col("of")).where("id <> a").select("a", "m", F.col("id").alias("b"), "n")
+    stars_ = scratch.stored(links(heads.select(F.col("of").alias("fp")), scratch, NEAR).toDF("x", "y"))
+    other = heads.select(F.col("of").alias("of_b"), F.col("a").alias("b"), F.col("m").alias("n"))
+    linked = stars_.join(heads, F.col("x") == F.col("of")).join(other, F.col("y") == F.col("of_b")).select("a", "m", "b", "n")
+    return equal.union(linked).where(F.least("n", "m") >= similarity * F.greatest("n", "m")).select("a", "b").distinct()
+
+
 def open_members(state: DataFrame, drawn: DataFrame, similarity: float, rows: int, scratch: Scratch) -> DataFrame:
     """state: key, id, n, root; drawn: i (an id), print. unit, id, root, print: members that come within the radius of another component.
 
@@ -222,9 +243,14 @@ def roots_of(firsts: DataFrame, docs: DataFrame, shingle: int, similarity: float
     members = scratch.stored(members.join(sizes, F.col("id") == F.col("i")).select("key", "id", "n"))
     drawn = firsts.select(F.col("id").alias("i"), "print")
     edges, roots = None, docs.sparkSession.createDataFrame([], "node long, root long")
-    for turn in range(3):
+    for turn in range(-1, 3):
         state = members.join(roots, members.id == roots.node, "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-        if turn < 2:
+        if turn < 0:
+            pairs = scratch.stored(index_pairs(firsts, similarity, scratch))
+            if pairs.isEmpty():
+                continue
+            found = confirmed(pairs, docs, firsts, shingle, similarity, scratch)
+        elif turn < 2:
             head = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("a"), F.col("n").alias("m"), F.col("root").alias("to"))).alias("head")
             heads = scratch.stored(state.groupBy("key").agg(head, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"), "head.a", "head.m", "head.to"))
             alike = (F.col("root") != F.col("to")) & (F.least("n", "m") >= similarity * F.greatest("n", "m"))
