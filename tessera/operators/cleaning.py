@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .near_vectors import earliest_near, settings
 
 
 def held(df: DataFrame) -> DataFrame:
@@ -142,13 +143,17 @@ def near_dedup(df: DataFrame, key: str, column: str = "text", threshold: float =
     if stop:
         tokens = T.remove_stop_words(tokens, stop)
     bag = F.array_join(F.array_sort(tokens), " ")
-    named = held(once(df.select(F.col(key).alias("__key"), bag.alias("__bag")).where("__bag <> ''"), "__class", F.sha2("__bag", 256)))
-    groups = named.groupBy("__class").agg(F.min("__key").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("__bag").alias("bag"))
-    classes = held(groups.withColumn("id", F.monotonically_increasing_id()))
-    pairs = similar_vectors(tfidf(classes.select("id", "copies", "bag").repartition("id"), "id", "bag", copies="copies"), "id", threshold)
-    firsts = classes.select(F.col("id").alias("c"), "__class", "first")
-    met = pairs.select("a", "b").union(pairs.select("b", "a")).join(firsts, F.col("b") == F.col("c")).groupBy("a").agg(F.min("first").alias("near"))
-    earliest = firsts.join(met, F.col("c") == F.col("a"), "left").select(F.col("__class").alias("k"), F.least("first", F.coalesce("near", "first")).alias("earliest"))
+    bags = once(df.select(F.col(key).alias("__key"), F.coalesce(bag, F.lit("")).alias("__bag")), "__bag", F.col("__bag"))
+    bags = bags.withColumn("__class", F.when(F.col("__bag") != "", F.unhex(F.sha2("__bag", 256))))
+    with settings(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        named = held(bags.select("__key", "__class"))
+        groups = bags.where("__class is not null").groupBy("__class").agg(F.min("__key").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("__bag").alias("bag"))
+        # ids are in the order of the first keys
+        classes = held(groups.orderBy(F.asc_nulls_last("first")).withColumn("id", F.monotonically_increasing_id()))
+    met = earliest_near(classes, named.count(), threshold, held)
+    firsts = classes.select("id", "__class", "first")
+    near = met.join(firsts.select(F.col("id").alias("near"), F.col("first").alias("near_first")), "near").select(F.col("id").alias("c"), "near_first")
+    earliest = firsts.join(near, F.col("id") == F.col("c"), "left").select(F.col("__class").alias("k"), F.least("first", F.coalesce("near_first", "first")).alias("earliest"))
     later = named.join(held(earliest), F.col("__class") == F.col("k")).where(F.col("__key") > F.col("earliest")).select("__key")
     return df.join(later, F.col(key) == F.col("__key"), "left_anti")
 
