@@ -80,3 +80,13 @@ def test_nothing_written_grows_with_pairs(spark):
     before = size()
     cleaning.near_dedup(spark.createDataFrame(rows, "id long, text string"), "id")
     assert size() - before < 30 * sum(len(x) for _, x in rows)
+
+
+def test_cleaning_writes_nothing_that_grows_with_pairs(spark):
+    rng = random.Random(5)
+    rows = [(k, " ".join(f"term{x}" for x in rng.sample(range(60), 6))) for k in range(800)]
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    size = lambda: sum(os.lstat(os.path.join(d, f)).st_size for d, _, names in os.walk(folder) for f in names)
+    before = size()
+    cleaning.clean(spark.createDataFrame(rows, "id long, text string"), "id")
+    assert size() - before < 30 * sum(len(x) for _, x in rows)
