@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.shared import WorkFolder
 from .cleaning import held, once
+from .near_vectors import settings
 
 
 def _names(order: int) -> list[str]:
@@ -45,8 +47,13 @@ def kneser_ney(df: DataFrame, column: str = "text", order: int = 3, by: str | No
     Every n-gram of order k + 1 is one row of its table, so rows grouped by the last k words are the words that precede
     them: no count of distinct values is needed, and counts are added up before they are shuffled.
     """
+    return _counted(word_ngrams(df, [by] if by else [], column, order), order, by, held)
+
+
+def _counted(grams: DataFrame, order: int, by: str | None, held) -> KneserNey:
+    """A model of the n-grams given; held: keeps a table that is used several times."""
     keep = [by] if by else []
-    table = held(word_ngrams(df, keep, column, order).groupBy(*keep, *_names(order)).agg(F.count(F.lit(1)).alias("c")))
+    table = held(grams.groupBy(*keep, *_names(order)).agg(F.count(F.lit(1)).alias("c")))
     counts, contexts = [table], []
     for k in range(order, 0, -1):
         contexts.append(table.groupBy(*keep, *_names(k - 1)).agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("types")))
@@ -97,6 +104,51 @@ def kneser_ney_perplexity(model: KneserNey, df: DataFrame, key: str, column: str
     return judged.union(silent).groupBy(F.col("__key").alias(key)).agg(F.max("n_words").alias("n_words"), F.max("perplexity").alias("perplexity"))
 
 
+#: Parts in which held-out texts are judged, at most, and bytes of training texts for each.
+SLICES, SLICE = 8, 16 << 20
+
+
+def held_out_perplexity(train: DataFrame, df: DataFrame, key: str, column: str = "text", order: int = 3, by: str | None = None, discount: float = 0.75, slices: int | None = None) -> DataFrame:
+    """kneser_ney_perplexity of df under a model of train, a slice of the vocabulary after the other, so that one slice's n-grams at a time lie on disk.
+
+    Slices are those of an n-gram's last word. All orders that a probability is made of end in the same word, so a slice has all of its
+    counts; totals and types of contexts add up over slices, and are learned in a round of their own. Texts are read twice for each slice.
+    """
+    spark, keep, names = df.sparkSession, [by] if by else [], _names(order)
+    texts = df.select(F.col(key).alias("__key"), *keep, F.col(column).alias("__text"))
+    slices = slices or min(SLICES, 1 + (train.agg(F.sum(F.octet_length(column))).first()[0] or 0) // SLICE)
+    sliced = lambda d, k: d.where(F.pmod(F.xxhash64(names[-1]), F.lit(slices)) == k)
+
+    def kept(folder: str):
+        def stored(d: DataFrame, name: list = [0]) -> DataFrame:  # noqa: B006
+            name[0] += 1
+            d.write.parquet(f"{folder}/{name[0]}")
+            return spark.read.schema(d.schema).parquet(f"{folder}/{name[0]}")
+
+        return stored
+
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"), WorkFolder(spark) as folder:
+        stored = kept(f"{folder}/all")
+        for k in range(slices):
+            with WorkFolder(spark) as own:
+                part = _counted(sliced(word_ngrams(train, keep, column, order), k), order, by, kept(own))
+                for n, table in enumerate(part.contexts):
+                    table.write.mode("append").parquet(f"{folder}/contexts{n}")
+        added = lambda n, t: t.groupBy(*keep, *_names(n)).agg(F.sum("total").alias("total"), F.sum("types").alias("types"))
+        contexts = [stored(added(n, spark.read.schema(t.schema).parquet(f"{folder}/contexts{n}"))) for n, t in enumerate(part.contexts)]
+        for k in range(slices):
+            with WorkFolder(spark) as own:
+                part = _counted(sliced(word_ngrams(train, keep, column, order), k), order, by, kept(own))
+                # kept apart from the model's tables
+                grams = kept(f"{own}/asked")(sliced(word_ngrams(texts, ["__key", *keep], "__text", order), k).groupBy("__key", *keep, *names).agg(F.count(F.lit(1)).alias("n")))
+                p = probabilities(KneserNey(by, part.counts, contexts), grams.select(*keep, *names).distinct(), order, discount)
+                sums = grams.join(p, [*keep, *names]).groupBy("__key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log("p")).alias("log_p"))
+                sums.write.mode("append").parquet(f"{folder}/sums")
+        silent = texts.select("__key").distinct().withColumns({"n": F.lit(0).cast("long"), "log_p": F.lit(0.0)})
+        both = spark.read.schema(sums.schema).parquet(f"{folder}/sums").union(silent).groupBy(F.col("__key").alias(key)).agg(F.sum("n").alias("n_words"), F.sum("log_p").alias("__log_p"))
+        return held(both.select(key, "n_words", F.when(F.col("n_words") > 0, F.exp(-F.col("__log_p") / F.col("n_words"))).alias("perplexity")))
+
+
 #: Scripts that name a language by themselves, and the script of profiles.
 SCRIPTS = {"el": "Greek", "he": "Hebrew", "ar": "Arabic", "hi": "Devanagari", "th": "Thai", "ko": "Hangul", "ru": "Cyrillic"}
 KANA, HAN = "\\p{IsHiragana}\\p{IsKatakana}", "\\p{IsHan}"

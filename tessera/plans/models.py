@@ -40,8 +40,8 @@ FOLDED = "f AS (SELECT *, (strpos('0123456789abcdef', md5(doc_id::VARCHAR)[1]) +
 def held_out_perplexity(spark, sf_dir):
     """Every document under the trigram model of the other fold's documents."""
     docs = folded(spark, sf_dir)
-    model = M.kneser_ney(docs.withColumn("fold", 1 - F.col("fold")), by="fold")
-    return M.kneser_ney_perplexity(model, docs, "doc_id").select("doc_id", "n_words", F.round(F.log("perplexity"), 6).alias("log_perplexity"))
+    judged = M.held_out_perplexity(docs.withColumn("fold", 1 - F.col("fold")), docs, "doc_id", by="fold")
+    return judged.select("doc_id", "n_words", F.round(F.log("perplexity"), 6).alias("log_perplexity"))
 
 
 def _scripts_sql() -> str:
