@@ -13,7 +13,7 @@ of the sets: the majorities of 4 and 5 shingles differ in 0.19 of the bits, thos
 the radius of each is over six standard deviations behind that (lost: one such pair in 10^11, and one in 10^9). What is
 left is decided by the exact similarity of the sets.
 
-Equal sets are one. Behind the index, two rounds compare the members of a band with one of them, which joins nearly all true copies. Then
+Equal sets are one. Behind the index, one round compares the members of a band with two of them, which joins nearly all true copies. Then
 bands that still hold several components are searched for members of different components within the radius: the search
 gives a row for each such member, never a row for each pair. Members that candidates connect come together with their texts in
 one task, which looks for links between components there, the closest first, and gives only those that join two.
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, cut, map_arrow
-from .simhash import components, gray_rank, group_pairs, links, shingle_hashes, slim_rows, stars, text_hash, whole_groups
+from .simhash import gray_rank, group_pairs, joined, links, shingle_hashes, slim_rows, stars, text_hash, whole_groups
 
 #: Bands of a MinHash and hash functions in each; multipliers are odd.
 BANDS, BAND_ROWS = 32, 4
@@ -243,16 +243,17 @@ def roots_of(firsts: DataFrame, docs: DataFrame, shingle: int, similarity: float
     members = scratch.stored(members.join(sizes, F.col("id") == F.col("i")).select("key", "id", "n"))
     drawn = firsts.select(F.col("id").alias("i"), "print")
     edges, roots = None, docs.sparkSession.createDataFrame([], "node long, root long")
-    for turn in range(-1, 3):
+    for turn in ("index", "heads", "open"):
         state = members.join(roots, members.id == roots.node, "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-        if turn < 0:
+        if turn == "index":
             pairs = scratch.stored(index_pairs(firsts, similarity, scratch))
             if pairs.isEmpty():
                 continue
             found = confirmed(pairs, docs, firsts, shingle, similarity, scratch)
-        elif turn < 2:
-            head = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("a"), F.col("n").alias("m"), F.col("root").alias("to"))).alias("head")
-            heads = scratch.stored(state.groupBy("key").agg(head, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"), "head.a", "head.m", "head.to"))
+        elif turn == "heads":
+            head = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.col("id").alias("a"), F.col("n").alias("m"), F.col("root").alias("to"))) for k in range(2)]
+            heads = state.groupBy("key").agg(F.array(*head).alias("heads"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+            heads = scratch.stored(heads.select(F.col("key").alias("k"), F.explode("heads").alias("head")).select("k", "head.a", "head.m", "head.to"))
             alike = (F.col("root") != F.col("to")) & (F.least("n", "m") >= similarity * F.greatest("n", "m"))
             pairs = state.join(heads, F.col("key") == F.col("k")).where(alike).select("a", F.col("id").alias("b"), F.least("n", "m").alias("least")).distinct()
             pairs = pairs.join(drawn, F.col("a") == F.col("i")).select("a", "b", "least", F.col("print").alias("one"))
@@ -269,7 +270,7 @@ def roots_of(firsts: DataFrame, docs: DataFrame, shingle: int, similarity: float
             found = linked_units(units.join(texts, "id"), shingle, similarity)
         found = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         edges = scratch.stored(found if edges is None else edges.union(found))
-        roots = components(edges, scratch)
+        roots = joined(edges, scratch)
     return roots
 
 

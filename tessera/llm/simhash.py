@@ -47,6 +47,8 @@ FRONT = 1 << 21
 SPLITS = 2
 #: Neighbours of a node that one task reads.
 HUB = 4096
+#: Edges that one task joins, where a table has no more.
+FEW = 4096
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -292,6 +294,22 @@ def components(edges: DataFrame, scratch: Scratch, hub: int = HUB) -> DataFrame:
             return labels.select("node", "root")
 
 
+def joined(edges: DataFrame, scratch: Scratch, few: int = FEW) -> DataFrame:
+    """components of a written table of edges; `few` of them or fewer take one task and no rounds, each of which is a dozen shuffles for the driver."""
+    if edges.count() > few:
+        return components(edges, scratch)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            ends = pa.Table.from_batches(held)
+            node, at = np.unique(np.concatenate([ends.column(c).to_numpy() for c in ("a", "b")]), return_inverse=True)
+            root = stars(np.arange(len(node)), iter([tuple(at.reshape(2, -1))]))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[root])], ["node", "root"])
+
+    return scratch.stored(edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, root long"))
+
+
 def linked_rows(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks: int | None = None, node_rows: int = NODE_ROWS) -> DataFrame:
     """doc_id, text_hash, fp, root (the component) and component_id for each row."""
     prints = cut(with_fingerprints(docs, shingle))
