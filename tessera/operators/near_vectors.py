@@ -228,10 +228,11 @@ def earliest_near(texts: DataFrame, n: int, threshold: float, held) -> DataFrame
     parts = max(1, -(-total // entries), -(-count // TEXTS))
     with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__execution__arrow__maxRecordsPerBatch="1000"):
         blocks = held(texts.select("id", "copies", "bag").coalesce(parts).mapInArrow(lambda it: _blocks(it, entries), "block long, ids binary, copies binary, lengths binary, terms binary, times binary"))
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__execution__arrow__maxRecordsPerBatch="1"):
         asked = blocks.mapInArrow(_asked, "block long, term long, n long")
         met = asked.withColumn("df", F.sum("n").over(Window.partitionBy("term"))).where("df > 1")
-        found = held(met.groupBy(F.col("block").alias("__b")).agg(F.collect_list(F.struct("term", "df")).alias("found")))
-    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__execution__arrow__maxRecordsPerBatch="1"):
+        # wide, and read once: it goes straight on into the vectors
+        found = met.groupBy(F.col("block").alias("__b")).agg(F.collect_list(F.struct("term", "df")).alias("found"))
         joined = blocks.join(found, F.col("block") == F.col("__b"), "left").drop("__b", "copies")
         vectors = held(joined.mapInArrow(lambda it: _weighted(it, n), "block long, ids binary, lengths binary, norms binary, terms binary, times binary, df binary"))
         side = lambda s: vectors.select(*(F.col(c).alias(c + s) for c in vectors.columns))

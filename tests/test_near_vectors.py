@@ -90,3 +90,15 @@ def test_cleaning_writes_nothing_that_grows_with_pairs(spark):
     before = size()
     cleaning.clean(spark.createDataFrame(rows, "id long, text string"), "id")
     assert size() - before < 30 * sum(len(x) for _, x in rows)
+
+
+def test_cleaning_keeps_no_table_of_terms_of_blocks(spark):
+    """Texts of rare words: frequencies by block, a row for each block, are not kept beside the vectors."""
+    rng = random.Random(8)
+    rows = [(k, " ".join(f"t{rng.randrange(40000):05d}" for _ in range(100))) for k in range(3000)]
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    size = lambda: sum(os.lstat(os.path.join(d, f)).st_size for d, _, names in os.walk(folder) for f in names)
+    before = size()
+    cleaning.clean(spark.createDataFrame(rows, "id long, text string"), "id")
+    kept = size() - before
+    assert kept < 7_500_000
