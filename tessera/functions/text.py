@@ -14,6 +14,8 @@ from pyspark.sql.types import StringType
 #: White space as Python's str.split() sees it.
 SPACE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SPACES = f"[{SPACE}]+"
+#: The same, told from most other characters by two comparisons.
+BREAKS = f"[\\x00-\\x20\\x7f-\\x{{10FFFF}}&&[{SPACE}]]+"
 #: Runs of two word characters or more; ASCII first, as that is found fastest.
 TERM = "[a-z0-9_\\p{L}\\p{N}]{2,}+"
 #: Frequent English words, as Spark's stop-word remover has them.
@@ -34,12 +36,13 @@ def _col(c: Column | str) -> Column:
 
 def collapse_spaces(c: Column | str) -> Column:
     """Runs of white space become one blank; none is left at the ends."""
-    return F.trim(F.regexp_replace(_col(c), SPACES, " "))
+    return F.trim(F.regexp_replace(_col(c), BREAKS, " "))
 
 
 def remove_punctuation(c: Column | str) -> Column:
     """Keeps letters, numbers, marks of the underscore and white space."""
-    return F.regexp_replace(_col(c), f"[^a-zA-Z0-9_\\x20\\p{{L}}\\p{{N}}{SPACE}]+", "")
+    # small letters, digits and the blank are left by few comparisons
+    return F.regexp_replace(_col(c), f"[\\x00-\\x1f!-/:-`{{-\\x{{10FFFF}}&&[^a-zA-Z0-9_\\x20\\p{{L}}\\p{{N}}{SPACE}]]+", "")
 
 
 def remove_ascii_punctuation(c: Column | str) -> Column:
@@ -48,7 +51,7 @@ def remove_ascii_punctuation(c: Column | str) -> Column:
 
 def words(c: Column | str) -> Column:
     """White-space tokens."""
-    return F.filter(F.split(_col(c), SPACES), lambda w: w != "")
+    return F.filter(F.split(_col(c), BREAKS), lambda w: w != "")
 
 
 def word_tokens(c: Column | str) -> Column:

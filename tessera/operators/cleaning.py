@@ -139,33 +139,46 @@ def near_dedup(df: DataFrame, key: str, column: str = "text", threshold: float =
     Texts with the same terms are one class with one vector, so a group of copies is compared once. A row goes if its
     class, or one near it, has a member of a smaller key.
     """
+    return df.join(_later(df, key, column, threshold, stop), F.col(key) == F.col("__key"), "left_anti")
+
+
+def _later(df: DataFrame, key: str, column: str, threshold: float, stop: list[str] | None) -> DataFrame:
+    """__key of the rows that near_dedup drops; df is computed twice."""
     tokens = T.terms(column)
     if stop:
         tokens = T.remove_stop_words(tokens, stop)
     bag = F.array_join(F.array_sort(tokens), " ")
     bags = once(df.select(F.col(key).alias("__key"), F.coalesce(bag, F.lit("")).alias("__bag")), "__bag", F.col("__bag"))
+    # terms have no blanks
+    size = F.length("__bag") - F.length(F.replace("__bag", F.lit(" "))) + 1
     bags = bags.withColumn("__class", F.when(F.col("__bag") != "", F.unhex(F.sha2("__bag", 256))))
     with settings(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
-        named = held(bags.select("__key", "__class"))
-        groups = bags.where("__class is not null").groupBy("__class").agg(F.min("__key").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("__bag").alias("bag"))
+        named = held(bags.select("__key", "__class", size.alias("size")))
+        groups = named.where("__class is not null").groupBy("__class").agg(F.min("__key").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"))
         # ids are in the order of the first keys
         classes = held(groups.orderBy(F.asc_nulls_last("first")).withColumn("id", F.monotonically_increasing_id()))
-    met = earliest_near(classes, named.count(), threshold, held)
+    total, count = classes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    # bags are wide, and read once: they go straight on into the blocks
+    wide = bags.where("__class is not null").groupBy("__class").agg(F.min("__bag").alias("bag"))
+    met = earliest_near(wide.join(classes, "__class"), total, count, named.count(), threshold, held)
     firsts = classes.select("id", "__class", "first")
     near = met.join(firsts.select(F.col("id").alias("near"), F.col("first").alias("near_first")), "near").select(F.col("id").alias("c"), "near_first")
     earliest = firsts.join(near, F.col("id") == F.col("c"), "left").select(F.col("__class").alias("k"), F.least("first", F.coalesce("near_first", "first")).alias("earliest"))
-    later = named.join(held(earliest), F.col("__class") == F.col("k")).where(F.col("__key") > F.col("earliest")).select("__key")
-    return df.join(later, F.col(key) == F.col("__key"), "left_anti")
+    return named.join(held(earliest), F.col("__class") == F.col("k")).where(F.col("__key") > F.col("earliest")).select("__key")
 
 
-def clean(df: DataFrame, key: str, column: str = "text", low: int = 10, high: int = 1000, threshold: float = 0.9, stop: list[str] | None = None, vector_stop: list[str] | None = None) -> DataFrame:
+def clean(df: DataFrame, key: str, column: str = "text", low: int = 10, high: int = 1000, threshold: float = 0.9, stop: list[str] | None = None, vector_stop: list[str] | None = None, raw: bool = True) -> DataFrame:
     """The cleaning pipeline: preprocess, drop stop words, filter by length, drop near copies. raw_<column> keeps the input.
 
     stop: words that leave the texts; vector_stop: words that do not count where texts are compared. Both are the English list unless given.
+    raw: if not, only the key and the cleaned text come out, and texts are cleaned once instead of twice.
     """
-    tokens = T.remove_stop_words(T.words(T.preprocess(column)), stop if stop is not None else T.english_stop_words())
-    ready = once(df.withColumn(f"raw_{column}", F.col(column)), column, F.array_join(tokens, " "))
-    return near_dedup(length_between(ready, low, high, column), key, column, threshold, vector_stop if vector_stop is not None else T.english_stop_words())
+    # words are split at any white space, so none needs to be collapsed before
+    tokens = T.remove_stop_words(T.words(T.remove_punctuation(F.lower(column))), stop if stop is not None else T.english_stop_words())
+    ready = length_between(once(df.withColumn(f"raw_{column}", F.col(column)), column, F.array_join(tokens, " ")), low, high, column)
+    narrow = held(ready.select(key, column))
+    later = _later(narrow, key, column, threshold, vector_stop if vector_stop is not None else T.english_stop_words())
+    return (ready if raw else narrow).join(later, F.col(key) == F.col("__key"), "left_anti")
 
 
 def validation_report(df: DataFrame, column: str = "text", short: int = 10) -> DataFrame:

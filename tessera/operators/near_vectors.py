@@ -6,9 +6,10 @@ product of the table with itself, which needs no shuffle), and only the earliest
 written grows with the texts. The work grows with the square of the texts, as all pairs do; memory is that of two blocks.
 
 With terms ordered from rare to common, the prefix of a unit vector ends where the squared weights left fall to the
-threshold's square; two vectors over the threshold share a term in both prefixes. In a task the prefixes are multiplied,
-pairs go on if the product and the most that the weights behind the shorter prefix can add pass the threshold, and those
-left are scored over all terms.
+threshold's square; two vectors over the threshold share a term in both prefixes. Which terms those are is told once for
+each block. In a task the prefixes are multiplied, and only pairs of texts that share a term of them take part: in a
+table of all pairs where many do, else by sorting the products. Pairs go on if the product and the most that the weights
+behind the shorter prefix can add pass the threshold, and those left are scored over all terms.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Terms of texts in a block, the least and the most, and the most texts.
-BLOCK, TEXTS = (1 << 17, 1 << 21), 8192
+BLOCK, TEXTS = (1 << 17, 1 << 21), 1 << 15
 #: Products of two weights, and cells of the table that they are summed in, at a time.
 PRODUCTS, CELLS = 1 << 22, 1 << 22
 LEVELS = 64
+#: Cells for one product from which on products are sorted instead of summed in a table.
+SPARSE = 16
 
 
 @contextmanager
@@ -91,8 +94,21 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(part), pa.array(n[a : a + (1 << 16)])], ["block", "term", "n"])
 
 
-def _weighted(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Blocks with frequencies and the norm of each text; terms of one text only count in the norm and go."""
+def _inside(lengths: np.ndarray, terms: np.ndarray, df: np.ndarray, square: np.ndarray, threshold: float) -> np.ndarray:
+    """Of each term of each text, whether it is in the text's prefix; square: squared weights."""
+    of = np.repeat(np.arange(len(lengths)), lengths)
+    # from common to rare: the weight from the commonest term to each
+    order = np.lexsort((terms, df, of))[::-1]
+    summed = np.cumsum(square[order])
+    begins = len(terms) - np.cumsum(lengths)
+    before = np.where(begins > 0, summed[begins - 1], 0.0) if len(summed) else np.zeros(len(lengths))
+    left = np.empty(len(summed))
+    left[order] = summed - before[of[order]]
+    return left >= threshold * threshold - 1e-9
+
+
+def _weighted(batches: Iterator[pa.RecordBatch], n: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Blocks with frequencies, prefixes and the norm of each text; terms of one text only count in the norm and go."""
     for b in batches:
         for row in b.to_pylist():
             lengths, terms, times = _unpress(row["lengths"], "<i8"), _unpress(row["terms"], "<u8"), _unpress(row["times"], "<i4")
@@ -108,8 +124,10 @@ def _weighted(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
             w = times * (np.log((1 + n) / (1 + df)) + 1)
             norm = np.sqrt(np.bincount(of, w * w, len(lengths)))
             kept = df > 1
-            columns = [row["ids"], _press(np.bincount(of[kept], minlength=len(lengths)).astype("<i8")), _press(norm), _press(terms[kept]), _press(times[kept]), _press(df[kept])]
-            yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), *(pa.array([c], pa.binary()) for c in columns)], ["block", "ids", "lengths", "norms", "terms", "times", "df"])
+            lengths, terms, times, df, weights = np.bincount(of[kept], minlength=len(lengths)).astype("<i8"), terms[kept], times[kept], df[kept], (w / norm[of])[kept]
+            inside = _inside(lengths, terms, df, weights * weights, threshold)
+            columns = [row["ids"], *(_press(x) for x in (lengths, norm, terms, times, df, inside))]
+            yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), *(pa.array([c], pa.binary()) for c in columns)], ["block", "ids", "lengths", "norms", "terms", "times", "df", "inside"])
 
 
 class _Block:
@@ -123,14 +141,7 @@ class _Block:
         self.of = np.repeat(np.arange(len(lengths)), lengths)
         self.weights = get("times", "<i4") * (np.log((1 + n) / (1 + df)) + 1) / get("norms", "<f8")[self.of]
         square = self.weights * self.weights
-        # from common to rare: the weight from the commonest term to each
-        order = np.lexsort((self.terms, df, self.of))[::-1]
-        summed = np.cumsum(square[order])
-        begins = self.starts[-1] - self.starts[1:]
-        before = np.where(begins > 0, summed[begins - 1], 0.0) if len(summed) else np.zeros(len(lengths))
-        left = np.empty(len(summed))
-        left[order] = summed - before[self.of[order]]
-        inside = left >= threshold * threshold - 1e-9
+        inside = get("inside", "?") if "inside" + side in row else _inside(lengths, self.terms, df, square, threshold)
         level = np.log2(np.maximum(df, 1)).astype(np.int64)
         mass = np.bincount(self.of * LEVELS + level, square, len(lengths) * LEVELS).reshape(-1, LEVELS)
         #: Of each text: squared weight from each class of frequency (powers of two) on, behind its prefix, and the class where that ends.
@@ -147,55 +158,73 @@ def _runs(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) + np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n)
 
 
+def _shared(a: _Block, b: _Block) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, product of the prefixes) of the texts of a and of b that share a term of them."""
+    terms_b, wide = b.terms[b.prefix], max(1, len(b.ids))
+    lo = np.searchsorted(terms_b, a.terms[a.prefix], "left")
+    n = np.searchsorted(terms_b, a.terms[a.prefix], "right") - lo
+    own, lo, n = a.prefix[n > 0], lo[n > 0], n[n > 0]
+
+    def products(own, lo, n, first):
+        with_a, with_b = np.repeat(own, n), b.prefix[_runs(lo, n)]
+        return (a.of[with_a] - first) * wide + b.of[with_b], a.weights[with_a] * b.weights[with_b]
+
+    if n.sum() <= min(PRODUCTS, len(a.ids) * wide // SPARSE):
+        cell, product = products(own, lo, n, 0)
+        cell, where = np.unique(cell, return_inverse=True)
+        yield cell // wide, cell % wide, np.bincount(where, product, len(cell))
+        return
+    step = max(1, CELLS // wide)
+    chunk = a.of[own] // step
+    order = np.argsort(chunk, kind="stable")
+    own, lo, n, chunk = own[order], lo[order], n[order], chunk[order]
+    bounds = np.searchsorted(chunk, np.arange(-(-len(a.ids) // step) + 1))
+    for c, (x, z) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        dots = np.zeros(min(step, len(a.ids) - c * step) * wide)
+        for u, v in _parts(n[x:z]):
+            cell, product = products(own[x + u : x + v], lo[x + u : x + v], n[x + u : x + v], c * step)
+            dots += np.bincount(cell, product, len(dots))
+        cell = np.flatnonzero(dots)
+        yield cell // wide + c * step, cell % wide, dots[cell]
+
+
+def _parts(n: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of n that add up to some PRODUCTS."""
+    ends = np.cumsum(n)
+    cuts = np.unique(np.searchsorted(ends, np.arange(PRODUCTS, ends[-1] if len(ends) else 0, PRODUCTS), "right"))
+    return ((x, z) for x, z in zip([0, *cuts], [*cuts, len(n)], strict=True) if x < z)
+
+
+def _places(b: _Block, j: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where text j[k] of b has terms[k], and whether it does: all are bisected at once."""
+    lo, hi = b.starts[j], b.starts[j + 1]
+    end = hi
+    last = max(0, len(b.terms) - 1)
+    for _ in range(int((hi - lo).max(initial=0)).bit_length()):
+        mid = (lo + hi) >> 1
+        less = (lo < hi) & (b.terms[np.minimum(mid, last)] < terms)
+        lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+    place = np.minimum(lo, last)
+    return place, (lo < end) & (b.terms[place] == terms)
+
+
 def _near(a: _Block, b: _Block, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Texts of a and of b whose cosine is over the threshold; of one block, pairs once."""
-    names = np.unique(b.terms)
-    wide = np.int64(len(names) + 1)
-    keys = b.of * wide + np.searchsorted(names, b.terms)
-    at = np.searchsorted(names, a.terms)
-    known = np.zeros(len(a.terms), bool)
-    if len(names):
-        known = names[np.minimum(at, len(names) - 1)] == a.terms
-    at = np.where(known, at, wide - 1)
-    terms_b, step = b.terms[b.prefix], max(1, CELLS // max(1, len(b.ids)))
-    chunk = a.of[a.prefix] // step
-    for c in range(-(-len(a.ids) // step)):
-        own = a.prefix[chunk == c]
-        lo = np.searchsorted(terms_b, a.terms[own], "left")
-        n = np.searchsorted(terms_b, a.terms[own], "right") - lo
-        rows = min(step, len(a.ids) - c * step)
-        dots = np.zeros(rows * len(b.ids))
-        ends = np.cumsum(n)
-        cuts = np.unique(np.searchsorted(ends, np.arange(PRODUCTS, ends[-1] if len(ends) else 0, PRODUCTS), "right"))
-        for x, z in zip([0, *cuts], [*cuts, len(own)], strict=True):
-            if not n[x:z].sum():
-                continue
-            with_b = b.prefix[_runs(lo[x:z], n[x:z])]
-            with_a = np.repeat(own[x:z], n[x:z])
-            cell = (a.of[with_a] - c * step) * len(b.ids) + b.of[with_b]
-            dots += np.bincount(cell, a.weights[with_a] * b.weights[with_b], len(dots))
-        cell = np.flatnonzero(dots)
-        i, j = cell // max(1, len(b.ids)) + c * step, cell % max(1, len(b.ids))
-        most_a = dots[cell] + np.sqrt(a.behind[i] * b.rest[j, a.cut[i]])
-        most_b = dots[cell] + np.sqrt(b.behind[j] * a.rest[i, b.cut[j]])
+    if not len(a.prefix) or not len(b.prefix):
+        return
+    for i, j, dots in _shared(a, b):
+        most_a = dots + np.sqrt(a.behind[i] * b.rest[j, a.cut[i]])
+        most_b = dots + np.sqrt(b.behind[j] * a.rest[i, b.cut[j]])
         most = np.where(a.cut[i] < b.cut[j], most_a, np.where(a.cut[i] > b.cut[j], most_b, np.maximum(most_a, most_b)))
         on = most > threshold - 1e-9
         if same:
             on &= i < j
         i, j = i[on], j[on]
         long = a.starts[i + 1] - a.starts[i]
-        ends = np.cumsum(long)
-        cuts = np.unique(np.searchsorted(ends, np.arange(PRODUCTS, ends[-1] if len(ends) else 0, PRODUCTS), "right"))
-        for x, z in zip([0, *cuts], [*cuts, len(i)], strict=True):
-            if x == z:
-                continue
+        for x, z in _parts(long):
             entry = _runs(a.starts[i[x:z]], long[x:z])
             pair = np.repeat(np.arange(z - x), long[x:z])
-            shared = at[entry] < wide - 1
-            entry, pair = entry[shared], pair[shared]
-            wanted = b.of.dtype.type(0) + j[x:z][pair] * wide + at[entry]
-            place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            hit = keys[place] == wanted
+            place, hit = _places(b, j[x:z][pair], a.terms[entry])
             score = np.bincount(pair[hit], a.weights[entry[hit]] * b.weights[place[hit]], z - x)
             over = score > threshold
             yield i[x:z][over], j[x:z][over]
@@ -203,9 +232,13 @@ def _near(a: _Block, b: _Block, threshold: float, same: bool) -> Iterator[tuple[
 
 def _met(batches: Iterator[pa.RecordBatch], n: int, threshold: float) -> Iterator[pa.RecordBatch]:
     """(id, near): of two blocks, the earliest text of the other that is near a text."""
+    name = None
     for batch in batches:
         for row in batch.to_pylist():
-            a, b = _Block(row, "_a", n, threshold), _Block(row, "_b", n, threshold)
+            # a block meets several others, one after the other
+            if row["block_a"] != name:
+                name, a = row["block_a"], _Block(row, "_a", n, threshold)
+            b = _Block(row, "_b", n, threshold)
             late = np.iinfo(np.int64).max
             of_a, of_b = np.full(len(a.ids), late), np.full(len(b.ids), late)
             for i, j in _near(a, b, threshold, row["block_a"] == row["block_b"]):
@@ -216,15 +249,15 @@ def _met(batches: Iterator[pa.RecordBatch], n: int, threshold: float) -> Iterato
             yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(near[some])], ["id", "near"])
 
 
-def earliest_near(texts: DataFrame, n: int, threshold: float, held) -> DataFrame:
-    """texts: id (long, unique), copies, bag (terms between blanks); n: how many texts there are, copies and those without terms counted.
+def earliest_near(texts: DataFrame, total: int, count: int, n: int, threshold: float, held) -> DataFrame:
+    """texts: id (long, unique), copies, bag (terms between blanks), read once; total, count: their terms and rows; n: how many
+    texts there are, copies and those without terms counted.
 
     (id, near): the smallest id whose cosine with the text is over the threshold, where it is smaller than the text's own.
     held: keeps a table that is used several times.
     """
     spark = texts.sparkSession
-    total, count = texts.agg(F.coalesce(F.sum(F.size(F.split("bag", " "))), F.lit(0)), F.count(F.lit(1))).first()
-    entries = int(min(BLOCK[1], max(BLOCK[0], 100 * total**0.5)))
+    entries = int(min(BLOCK[1], max(BLOCK[0], 200 * total**0.5)))
     parts = max(1, -(-total // entries), -(-count // TEXTS))
     with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__execution__arrow__maxRecordsPerBatch="1000"):
         blocks = held(texts.select("id", "copies", "bag").coalesce(parts).mapInArrow(lambda it: _blocks(it, entries), "block long, ids binary, copies binary, lengths binary, terms binary, times binary"))
@@ -234,7 +267,7 @@ def earliest_near(texts: DataFrame, n: int, threshold: float, held) -> DataFrame
         # wide, and read once: it goes straight on into the vectors
         found = met.groupBy(F.col("block").alias("__b")).agg(F.collect_list(F.struct("term", "df")).alias("found"))
         joined = blocks.join(found, F.col("block") == F.col("__b"), "left").drop("__b", "copies")
-        vectors = held(joined.mapInArrow(lambda it: _weighted(it, n), "block long, ids binary, lengths binary, norms binary, terms binary, times binary, df binary"))
+        vectors = held(joined.mapInArrow(lambda it: _weighted(it, n, threshold), "block long, ids binary, lengths binary, norms binary, terms binary, times binary, df binary, inside binary"))
         side = lambda s: vectors.select(*(F.col(c).alias(c + s) for c in vectors.columns))
         pairs = side("_a").hint("shuffle_replicate_nl").crossJoin(side("_b")).where("block_a <= block_b")
         return held(pairs.mapInArrow(lambda it: _met(it, n, threshold), "id long, near long").groupBy("id").agg(F.min("near").alias("near")))

@@ -78,3 +78,14 @@ def test_answer_scores(spark):
     with pytest.raises(KeyError):
         S.weighted(m, {"other": 1.0})
     assert re.match("j", "jaccard") and df.select(S.jaccard(T.words("a"), T.words("e")).alias("j")).collect()[2].j is None
+
+
+def test_fast_patterns_tell_every_character_as_the_plain_ones(spark):
+    places = spark.sparkContext.range(0x110000).filter(lambda k: not 0xD800 <= k < 0xE000)
+    marks = places.map(lambda k: (chr(k),)).toDF("c string")
+    marks = marks.select("c", F.concat(F.lit("a"), "c", F.lit("B")).alias("t"))
+    kept = f"[^a-zA-Z0-9_\\x20\\p{{L}}\\p{{N}}{T.SPACE}]+"
+    assert marks.where(F.size(T.words("t")) != F.when(F.col("c").rlike(T.SPACES), 2).otherwise(1)).count() == 0
+    assert marks.where(T.remove_punctuation("t") != F.regexp_replace("t", kept, "")).count() == 0
+    assert marks.where(T.collapse_spaces("t") != F.trim(F.regexp_replace("t", T.SPACES, " "))).count() == 0
+    assert marks.where(F.col("c").rlike(T.SPACES)).count() == 29

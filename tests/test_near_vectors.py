@@ -3,11 +3,14 @@
 import math
 import os
 import random
+import time
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessera.operators import cleaning, near_vectors
+from tessera.plans import queries
 
 
 def by_definition(texts, threshold):
@@ -102,3 +105,46 @@ def test_cleaning_keeps_no_table_of_terms_of_blocks(spark):
     cleaning.clean(spark.createDataFrame(rows, "id long, text string"), "id")
     kept = size() - before
     assert kept < 7_500_000
+
+
+def _block(rng, texts, words, per, threshold):
+    """A block of texts of `per` terms each, as _Block reads it."""
+    terms = np.concatenate([np.sort(rng.choice(words, per, replace=False)) for _ in range(texts)]).astype("<u8")
+    df = np.bincount(terms.astype("<i8"), minlength=words)[terms.astype("<i8")].astype("<i8") + 1
+    w = np.log((1 + 2 * texts) / (1 + df)) + 1
+    norms = np.sqrt(np.bincount(np.repeat(np.arange(texts), per), w * w, texts))
+    columns = {"ids": np.arange(texts), "lengths": np.full(texts, per, "<i8"), "terms": terms, "times": np.ones(len(terms), "<i4"), "df": df, "norms": norms}
+    return near_vectors._Block({f"{c}_a": near_vectors._press(x) for c, x in columns.items()}, "_a", 2 * texts, threshold)
+
+
+def test_sorted_products_are_those_of_the_table(monkeypatch):
+    block = _block(np.random.default_rng(9), 300, 40, 6, 0.6)
+    found = []
+    for sparse in (10**9, 1e-9):
+        monkeypatch.setattr(near_vectors, "SPARSE", sparse)
+        found.append({(i, j) for x, y in near_vectors._near(block, block, 0.6, True) for i, j in zip(x, y, strict=True)})
+    dense = np.zeros((300, 40))
+    dense[block.of, block.terms.astype(int)] = block.weights
+    assert found[0] == found[1] == {(i, j) for i, j in zip(*np.nonzero(dense @ dense.T > 0.6), strict=True) if i < j} != set()
+
+
+def test_time_follows_the_shared_terms_not_the_pairs():
+    """30,000 texts meet themselves, 900 million pairs, of which few share a term of their prefixes."""
+    block = _block(np.random.default_rng(10), 30000, 10**6, 8, 0.9)
+    begun = time.process_time()
+    pairs = sum(len(i) for i, _ in near_vectors._near(block, block, 0.9, True))
+    assert time.process_time() - begun < 1 and pairs < 100
+
+
+def test_the_query_cleans_each_text_once(spark, monkeypatch):
+    asked = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        asked.add(1)
+        return x
+
+    docs = spark.createDataFrame([(k, f"some words of text {k % 40 + 10} and others") for k in range(50)], "doc_id long, text string")
+    counted = docs.withColumn("text", F.udf(seen, "string")("text"))
+    monkeypatch.setattr(queries, "t", lambda *_: counted)
+    assert queries.cleaned_corpus(spark, "").count() == 40
+    assert asked.value == 50
