@@ -268,6 +268,8 @@ def earliest_near(texts: DataFrame, total: int, count: int, n: int, threshold: f
         found = met.groupBy(F.col("block").alias("__b")).agg(F.collect_list(F.struct("term", "df")).alias("found"))
         joined = blocks.join(found, F.col("block") == F.col("__b"), "left").drop("__b", "copies")
         vectors = held(joined.mapInArrow(lambda it: _weighted(it, n, threshold), "block long, ids binary, lengths binary, norms binary, terms binary, times binary, df binary, inside binary"))
-        side = lambda s: vectors.select(*(F.col(c).alias(c + s) for c in vectors.columns))
+        # the product has a task for each two partitions: no more of them than blocks, whatever the shuffle made
+        few = vectors.coalesce(parts)
+        side = lambda s: few.select(*(F.col(c).alias(c + s) for c in few.columns))
         pairs = side("_a").hint("shuffle_replicate_nl").crossJoin(side("_b")).where("block_a <= block_b")
         return held(pairs.mapInArrow(lambda it: _met(it, n, threshold), "id long, near long").groupBy("id").agg(F.min("near").alias("near")))

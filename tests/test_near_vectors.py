@@ -148,3 +148,18 @@ def test_the_query_cleans_each_text_once(spark, monkeypatch):
     monkeypatch.setattr(queries, "t", lambda *_: counted)
     assert queries.cleaned_corpus(spark, "").count() == 40
     assert asked.value == 50
+
+
+def test_tasks_of_the_product_follow_the_blocks_not_the_shuffle(spark):
+    texts = edited(11, 60)
+    context = spark.sparkContext
+    context.setJobGroup("product", "blocks meet")
+    try:
+        with near_vectors.settings(spark, spark__sql__shuffle__partitions="40", spark__sql__adaptive__coalescePartitions__enabled="false"):
+            got = {r.id for r in cleaning.near_dedup(spark.createDataFrame(list(texts.items()), "id long, text string"), "id").collect()}
+        status = context.statusTracker()
+        stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup("product") for s in status.getJobInfo(j).stageIds]
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert got == by_definition(texts, 0.9)
+    assert max(s.numTasks for s in stages if s) <= 40
